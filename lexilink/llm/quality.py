@@ -150,9 +150,11 @@ class IsolationForest:
         n = np.maximum(np.asarray(n, float), 1.0)
         return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
-    def fit(self, x: np.ndarray) -> IsolationForest:
+    def fit(self, x: np.ndarray, weights: np.ndarray | None = None, margin: np.ndarray | None = None) -> IsolationForest:
+        """weights: how often a feature is split, 0 for never; margin: how far splits reach beyond the rows' range."""
         rng = np.random.default_rng(self.seed)
-        self.low, self.high = x.min(axis=0), x.max(axis=0)
+        self.weights = np.ones(x.shape[1]) if weights is None else weights
+        self.margin = 0.2 * (x.max(axis=0) - x.min(axis=0)) if margin is None else margin
         self.per_tree = min(self.sample, len(x))
         depth = int(np.ceil(np.log2(max(self.per_tree, 2)))) + 2
         self.nodes = [self._grow(x[rng.choice(len(x), self.per_tree, replace=False)], rng, depth) for _ in range(self.trees)]
@@ -166,13 +168,12 @@ class IsolationForest:
             feature.append(-1), cut.append(0.0), left.append(at), right.append(at), path.append(0.0)
             # Splits reach beyond the sample's own range, so that values that no good document has fall off early.
             low, high = rows.min(axis=0), rows.max(axis=0)
-            spread = np.flatnonzero(high > low)
-            if d >= depth or len(rows) <= 1 or not len(spread):
+            chance = self.weights * ((high > low) | (self.margin > 0))
+            if d >= depth or len(rows) <= 1 or not chance.any():
                 path[at] = d + float(self.usual_path(len(rows)))
                 return at
-            f = int(rng.choice(spread))
-            margin = 0.2 * (high[f] - low[f])
-            c = rng.uniform(low[f] - margin, high[f] + margin)
+            f = int(rng.choice(len(chance), p=chance / chance.sum()))
+            c = rng.uniform(low[f] - self.margin[f], high[f] + self.margin[f])
             under = rows[:, f] < c
             if under.all() or not under.any():
                 feature[at], cut[at] = f, c
@@ -204,6 +205,16 @@ class IsolationForest:
         return 2.0 ** (-total / max(len(self.nodes), 1) / max(float(self.usual_path(self.per_tree)), 1e-9))
 
 
+def separation(x: np.ndarray, y: np.ndarray, least: float = 0.3) -> np.ndarray:
+    """How well each feature alone tells the rows of x from those of y: twice the distance of the AUC from 1/2, below `least` 0."""
+    out = np.zeros(x.shape[1])
+    for f in range(x.shape[1]):
+        ordered = np.sort(x[:, f])
+        auc = (np.searchsorted(ordered, y[:, f], "left") + np.searchsorted(ordered, y[:, f], "right")).mean() / 2 / len(x)
+        out[f] = 2 * abs(auc - 0.5)
+    return np.where(out >= least, out, 0.0) if (out >= least).any() else np.ones(x.shape[1])
+
+
 def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = 20_000, keep_share: float = 0.995):
     """(forest, threshold) from at most max_labelled labelled rows; None without both kinds."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("label"))
@@ -220,9 +231,11 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     if len(good) < 20:
         return None
     # Even rows grow the forest; the threshold comes from rows that it hasn't seen.
-    forest = IsolationForest().fit(features({k: good[k].to_numpy()[::2] for k in names}))
-    held = forest.score(features({k: good[k].to_numpy()[1::2] for k in names}))
-    wrong = forest.score(features({k: bad[k].to_numpy() for k in names})) if len(bad) else np.zeros(0)
+    x, y = features({k: good[k].to_numpy() for k in names}), features({k: bad[k].to_numpy() for k in names})
+    both = np.concatenate([x, y])
+    weights = separation(x[::2], y[::2]) if len(y) >= 20 else np.ones(x.shape[1])
+    forest = IsolationForest().fit(x[::2], weights, 0.25 * (np.quantile(both, 0.99, axis=0) - np.quantile(both, 0.01, axis=0)))
+    held, wrong = forest.score(x[1::2]), forest.score(y[1::2]) if len(y) else np.zeros(0)
     floor = np.quantile(held, keep_share)
     above = np.sort(wrong[wrong > floor])
     top = held.max()
