@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from lexilink.llm.common import table
 from lexilink.llm.decontaminate import decontaminate
+from lexilink.llm.licenses import scan_licenses
 from lexilink.llm.linededup import dedup_lines
 from lexilink.llm.quality import quality_rules
 from lexilink.llm.urlfilter import RULES, filter_urls
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ","), 256)
@@ -75,6 +80,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict, n AS n_r
 
 def queries() -> dict:
     return {
+        "op1_license_scans": op1_license_scans,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op6_line_dedup": op6_line_dedup,
         "op9_quality_rules": op9_quality_rules,
