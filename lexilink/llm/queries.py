@@ -10,6 +10,7 @@ from lexilink.llm.decontaminate import decontaminate
 from lexilink.llm.licenses import scan_licenses
 from lexilink.llm.linededup import dedup_lines
 from lexilink.llm.quality import quality_rules
+from lexilink.llm.tokenfiles import tokenize_round_trip
 from lexilink.llm.urlfilter import RULES, filter_urls
 
 
@@ -17,6 +18,12 @@ def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenize_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ","), 256)
@@ -81,6 +88,7 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict, n AS n_r
 def queries() -> dict:
     return {
         "op1_license_scans": op1_license_scans,
+        "op2_token_ids": op2_token_ids,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op6_line_dedup": op6_line_dedup,
         "op9_quality_rules": op9_quality_rules,
