@@ -12,6 +12,7 @@ from lexilink.llm.linededup import dedup_lines
 from lexilink.llm.quality import quality_rules
 from lexilink.llm.tokenfiles import tokenize_round_trip
 from lexilink.llm.urlfilter import RULES, filter_urls
+from lexilink.llm.warc import warc_round_trip
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,10 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -90,6 +95,7 @@ def queries() -> dict:
         "op1_license_scans": op1_license_scans,
         "op2_token_ids": op2_token_ids,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
+        "op4_warc": op4_warc,
         "op6_line_dedup": op6_line_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_url_filters": op10_url_filters,
