@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexilink.llm.common import table
 from lexilink.llm.decontaminate import decontaminate
+from lexilink.llm.jaccard import jaccard_classes
 from lexilink.llm.licenses import scan_licenses
 from lexilink.llm.linededup import dedup_lines
 from lexilink.llm.quality import quality_rules
@@ -67,6 +68,10 @@ FROM k LEFT JOIN r USING (key) GROUP BY doc_id
 """
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -97,6 +102,7 @@ def queries() -> dict:
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_warc": op4_warc,
         "op6_line_dedup": op6_line_dedup,
+        "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_quality_rules": op9_quality_rules,
         "op10_url_filters": op10_url_filters,
     }
