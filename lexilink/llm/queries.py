@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexilink.llm.common import table
 from lexilink.llm.decontaminate import decontaminate
+from lexilink.llm.htmltext import extract_text
 from lexilink.llm.jaccard import jaccard_classes
 from lexilink.llm.licenses import scan_licenses
 from lexilink.llm.linededup import dedup_lines
@@ -52,6 +53,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
     kept = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -101,6 +106,7 @@ def queries() -> dict:
         "op2_token_ids": op2_token_ids,
         "op3_benchmark_decontamination": op3_benchmark_decontamination,
         "op4_warc": op4_warc,
+        "op5_html_extraction": op5_html_extraction,
         "op6_line_dedup": op6_line_dedup,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_quality_rules": op9_quality_rules,
