@@ -268,3 +268,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Every document with its counts, base_failed, kept and anomaly score. The counts are written once and read for both the fit and the verdicts."""
     stats = written(statistics(docs, id_col, text_col), "quality-statistics")
     return judge(stats, fit(stats, labels, id_col, max_labelled=max_labelled), id_col)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000) -> DataFrame:
+    """The rows of docs, with all their columns, that the rules keep; each row is judged where it is read."""
+    model = fit(written(statistics(docs, id_col, text_col), "quality-statistics"), labels, id_col, max_labelled=max_labelled)
+
+    def run(iterator):
+        for batch in wb.batches(iterator, text_col):
+            counts = count_statistics(batch.column(batch.schema.get_field_index(text_col)))
+            kept = ~base_failed(counts["n_words"], counts["n_repeat_words"])
+            if model is not None:
+                kept &= model[0].score(features(counts)) <= model[1]
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -11,6 +11,7 @@ from lexilink.llm.htmltext import extract_text
 from lexilink.llm.jaccard import jaccard_classes
 from lexilink.llm.licenses import scan_licenses
 from lexilink.llm.linededup import dedup_lines
+from lexilink.llm.packing import pack_documents
 from lexilink.llm.quality import quality_rules
 from lexilink.llm.tokenfiles import tokenize_round_trip
 from lexilink.llm.urlfilter import RULES, filter_urls
@@ -73,6 +74,10 @@ FROM k LEFT JOIN r USING (key) GROUP BY doc_id
 """
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -108,6 +113,7 @@ def queries() -> dict:
         "op4_warc": op4_warc,
         "op5_html_extraction": op5_html_extraction,
         "op6_line_dedup": op6_line_dedup,
+        "op7_best_fit_packing": op7_best_fit_packing,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_quality_rules": op9_quality_rules,
         "op10_url_filters": op10_url_filters,
