@@ -5,7 +5,7 @@ pivots would tell nothing apart and their windows would replicate everything. Th
 
 1. Ground pivots are single shingles. A document's own shingles are its nearest pivots (d({s}, x) = 1 - 1/|x|, ties broken by rarity, then hash), and its Voronoi
    regions are those of its first |x| - ceil(t|x|) + 1 pivots: two documents with J >= t share a region, since fewer shared shingles than that are left.
-2. In a region documents are points of pivot counts |x & H_j| for 64 classes H_j of the shingles. By the triangle inequality of the symmetric difference, linked documents differ
+2. In a region documents are points of pivot counts |x & H_j| for 256 classes H_j of the shingles. By the triangle inequality of the symmetric difference, linked documents differ
    there by at most (1 - t) / (1 + t) * (|x| + |y|) in sum. Small regions test all their points this way; in large ones leaders take up the points within a radius,
    and later points are compared with leaders only, in windows widened by that radius. What passes is connected to cells, which hold every link.
 3. Each cell is joined exactly on whole sets: documents as pivots, each against the cell through an inverted index, first a few, then all that aren't in the
@@ -32,8 +32,8 @@ from lexilink.llm import wordbytes as wb
 from lexilink.llm.common import written
 from lexilink.llm.components import UnionFind, components, forest, local_forest
 
-BUCKETS = 64
-_TOP = np.uint64(58)
+BUCKETS = 256
+_TOP = np.uint64(56)
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -72,20 +72,20 @@ def _sets_of(column) -> list[np.ndarray]:
 
 
 def set_table(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """rid, id, n, digest, counts, tokens of every row, as a written table."""
+    """rid, id, mark (of the text), n, digest, counts, tokens of every row, as a written table."""
 
     def run(iterator):
         for batch in wb.batches(iterator, "text", 1 << 20):
-            sets = shingle_sets(batch.column(2), n)
+            sets = shingle_sets(batch.column(3), n)
             raw = [s.tobytes() for s in sets]
             digests = [hashlib.blake2b(r, digest_size=16).digest() for r in raw]
             counts = [c.tobytes() for c in counts_by_class(sets)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), _binary(digests), _binary(counts), _binary(raw)], ["rid", "id", "n", "digest", "counts", "tokens"]
+                [*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()), _binary(digests), _binary(counts), _binary(raw)], ["rid", "id", "mark", "n", "digest", "counts", "tokens"]
             )
 
-    plain = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return written(plain.mapInArrow(run, "rid long, id long, n long, digest binary, counts binary, tokens binary"), "shingle-sets")
+    plain = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
+    return written(plain.mapInArrow(run, "rid long, id long, mark long, n long, digest binary, counts binary, tokens binary"), "shingle-sets")
 
 
 def frequent_tokens(sets: DataFrame, one_in: int = 1000, most: int = 1_000_000, chunk: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +139,7 @@ def nearest_pivots(s: np.ndarray, hot: np.ndarray, count: np.ndarray, percent: i
 
 
 def region_rows(sets: DataFrame, hot: np.ndarray, count: np.ndarray, percent: int) -> DataFrame:
-    """(token, rid): the regions of one row per distinct set and task."""
+    """(token, rid, n): the regions of one row per distinct set and task."""
     spark = sets.sparkSession
     shared = spark.sparkContext.broadcast((hot, count))
 
@@ -147,43 +147,47 @@ def region_rows(sets: DataFrame, hot: np.ndarray, count: np.ndarray, percent: in
         hot, count = shared.value
         seen = set()
         for batch in iterator:
-            tokens, rids = [], []
+            tokens, rids, sizes = [], [], []
             for rid, digest, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _sets_of(batch.column(2)), strict=True):
                 if digest not in seen:
                     seen.add(digest)
                     p = nearest_pivots(s, hot, count, percent)
                     tokens.append(p)
                     rids.append(np.full(len(p), rid, np.int64))
+                    sizes.append(np.full(len(p), len(s), np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(rids))], ["token", "rid"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(rids)), pa.array(np.concatenate(sizes))], ["token", "rid", "n"])
 
-    return sets.where("n > 0").select("rid", "digest", "tokens").mapInArrow(run, "token long, rid long")
+    return sets.where("n > 0").select("rid", "digest", "tokens").mapInArrow(run, "token long, rid long, n int")
 
 
-def shared_regions(rows: DataFrame) -> DataFrame:
-    """Rows of regions with two rows at least; a stream over sorted rows that holds one row back."""
+def shared_regions(rows: DataFrame, percent: int) -> DataFrame:
+    """(token, rid) of rows with another row in their region whose size allows a link; a stream over sorted rows that holds one row back."""
 
     def run(iterator):
-        last_token = last_rid = None
+        last = None
         out_last = False
         for batch in iterator:
-            tokens, rids = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(tokens):
+            now = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(now[0]):
                 continue
-            if last_token is not None:
-                tokens, rids = np.concatenate([[last_token], tokens]), np.concatenate([[last_rid], rids])
-            same = tokens[1:] == tokens[:-1]
+            if last is not None:
+                now = tuple(np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(last, now, strict=True))
+            tokens, rids, n = now
+            # Sizes ascend in a region, so a row's neighbours are the nearest in size.
+            near = (tokens[1:] == tokens[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
             keep = np.zeros(len(tokens), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            # The first row may be out already, and the last one waits for the next batch unless it is known to be kept.
-            if last_token is not None and out_last:
+            keep[1:] |= near
+            keep[:-1] |= near
+            # The first row may be out already; the last one may be kept once more is known.
+            known = bool(keep[-1])
+            if last is not None and out_last:
                 keep[0] = False
-            out_last = bool(keep[-1]) or (len(tokens) == 1 and out_last)
-            last_token, last_rid = tokens[-1], rids[-1]
+            out_last = known or (len(tokens) == 1 and out_last)
+            last = tokens[-1], rids[-1], n[-1]
             yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(rids[keep])], ["token", "rid"])
 
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, rid long")
+    return rows.repartition("token").sortWithinPartitions("token", "n").select("token", "rid", "n").mapInArrow(run, "token long, rid long")
 
 
 def passes(n_a, n_b, c_a, c_b, percent: int, slack=0) -> np.ndarray:
@@ -370,13 +374,28 @@ def exact_edges(members: DataFrame, sets: DataFrame, percent: int, cell_tokens:
     return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "rid").mapInArrow(run, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", cell_tokens: int = 8_000_000) -> DataFrame:
+def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", cell_tokens: int = 4_000_000) -> DataFrame:
     """id, n_shingles, component_id per row of docs; component_id is the smallest id of the row's class."""
+    found = _classes(docs, n, percent, id_col, text_col, cell_tokens)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cell_tokens: int = 4_000_000) -> DataFrame:
+    """docs with the document of the smallest id of each class; rows that repeat both an id and a text are reduced to one."""
+    found = _classes(docs, n, percent, id_col, text_col, cell_tokens)
+    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_anti")
+    repeated = found.groupBy("id", "mark").count().where("count > 1").limit(1).count()
+    return left.dropDuplicates([id_col, text_col]) if repeated else left
+
+
+def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, cell_tokens: int) -> DataFrame:
     sets = set_table(docs, n, id_col, text_col)
     # Equal sets: one row stands for all.
     equal = sets.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("digest", "rep")
     copies = written(sets.where("n > 0").select("rid", "digest").join(equal, "digest").select("rid", "rep"), "equal-sets")
-    regions = shared_regions(region_rows(sets, *frequent_tokens(sets), percent))
+    regions = shared_regions(region_rows(sets, *frequent_tokens(sets), percent), percent)
     standing = regions.join(copies.where("rid != rep"), "rid", "left").select("token", F.coalesce("rep", "rid").alias("rid")).distinct()
     edges = candidate_edges(written(standing, "regions"), sets.select("rid", "n", "counts"), percent)
     cells = components(edges)
@@ -385,6 +404,5 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     classes = written(components(links), "classes")
     named = classes.join(sets.select("rid", "id"), classes["node"] == F.col("rid")).groupBy("component").agg(F.min("id").alias("component_id"))
     of_row = classes.join(named, "component").select(F.col("node").alias("rid"), "component_id", F.lit(True).alias("in_class"))
-    return sets.select("rid", "id", "n").join(of_row, "rid", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("in_class"), F.col("component_id")).otherwise(F.col("id")).alias("component_id")
-    )
+    component = F.when(F.col("in_class"), F.col("component_id")).otherwise(F.col("id"))
+    return sets.select("rid", "id", "mark", "n").join(of_row, "rid", "left").select("id", "mark", "n", component.alias("component_id"))
