@@ -31,7 +31,7 @@ def _load() -> None:
         import_module(f"lexilink.plans.{module}")
 
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("homonym_plans",)
 
 
 def queries() -> dict[str, Query]:
