@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lexilink.llm import wordbytes as wb
 from lexilink.llm.common import written
-from lexilink.llm.components import UnionFind, components, forest, local_forest
+from lexilink.llm.components import UnionFind, components, local_forest
 
 BUCKETS = 256
 _TOP = np.uint64(56)
@@ -71,6 +71,13 @@ def _sets_of(column) -> list[np.ndarray]:
     return [np.frombuffer(b.as_py(), np.uint64) for b in column]
 
 
+def _slices(iterator, rows: int = 500):
+    """Batches of few rows: Python objects are made of a few sets at a time."""
+    for batch in iterator:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def set_table(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """rid, id, mark (of the text), n, digest, counts, tokens of every row, as a written table."""
 
@@ -88,7 +95,7 @@ def set_table(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     return written(plain.mapInArrow(run, "rid long, id long, mark long, n long, digest binary, counts binary, tokens binary"), "shingle-sets")
 
 
-def frequent_tokens(sets: DataFrame, one_in: int = 1000, most: int = 1_000_000, chunk: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent_tokens(sets: DataFrame, one_in: int = 1000, most: int = 1_000_000, chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """(tokens ascending, counts) of shingles in at least about one_in documents' sets; at most `most` of them, the most frequent ones.
 
     A chunk of c tokens of m documents reports tokens that are in at least m / (2 one_in) of them, so reports are bounded by 2 one_in times the mean set size per chunk.
@@ -102,7 +109,7 @@ def frequent_tokens(sets: DataFrame, one_in: int = 1000, most: int = 1_000_000,
             hot = counts >= max(4, docs / (2 * one_in))
             return pa.RecordBatch.from_arrays([pa.array(tokens[hot].view(np.int64)), pa.array(counts[hot])], ["token", "count"])
 
-        for batch in iterator:
+        for batch in _slices(iterator):
             for s in _sets_of(batch.column(0)):
                 held.append(s)
                 size, docs = size + len(s), docs + 1
@@ -146,7 +153,7 @@ def region_rows(sets: DataFrame, hot: np.ndarray, count: np.ndarray, percent: in
     def run(iterator):
         hot, count = shared.value
         seen = set()
-        for batch in iterator:
+        for batch in _slices(iterator):
             tokens, rids, sizes = [], [], []
             for rid, digest, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _sets_of(batch.column(2)), strict=True):
                 if digest not in seen:
@@ -243,13 +250,16 @@ def region_edges(tokens: np.ndarray, n: np.ndarray, rid: np.ndarray, c: np.ndarr
                 found = region.feed(int(n[i]), int(rid[i]), c[i])
                 a.append(found), b.append(np.full(len(found), rid[i]))
             continue
-        found_a, found_b = [], []
+        # Labels instead of a list of pairs, of which a region of near copies has millions.
+        label = np.arange(size)
         for i in range(at, to - 1):
             end = at + int(np.searchsorted(n[at:to], 100 * n[i] // percent, "right"))
-            ok = np.flatnonzero(passes(n[i], n[i + 1 : end], c[i], c[i + 1 : end], percent)) + i + 1
-            found_a.append(np.full(len(ok), rid[i])), found_b.append(rid[ok])
-        x, y = forest(np.concatenate(found_a), np.concatenate(found_b))
-        a.append(x), b.append(y)
+            ok = np.flatnonzero(passes(n[i], n[i + 1 : end], c[i], c[i + 1 : end], percent)) + i + 1 - at
+            joined = np.unique(label[np.append(ok, i - at)])
+            if len(joined) > 1:
+                label[np.isin(label, joined)] = joined[0]
+        other = np.flatnonzero(label != np.arange(size))
+        a.append(rid[at + other]), b.append(rid[at + label[other]])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -310,9 +320,13 @@ def join_cell(rids: np.ndarray, sets: list[np.ndarray], percent: int, first: int
     if g == 2:
         shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return (rids[1:], rids[:1]) if linked(n[0], n[1], shared, percent) else (rids[:0], rids[:0])
-    owner = np.repeat(np.arange(g), n)
-    _, of = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(of, kind="stable")
+    owner = np.repeat(np.arange(g, dtype=np.int32), n)
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens)
+    ordered = tokens[order]
+    of = np.empty(len(tokens), np.int32)
+    of[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]), dtype=np.int32)
+    del tokens, ordered
     posting, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(of))])
     bounds = np.concatenate([[0], np.cumsum(n)])
     found = UnionFind(g)
@@ -360,7 +374,7 @@ def exact_edges(members: DataFrame, sets: DataFrame, percent: int, cell_tokens:
             a, b = join_cell(np.array(rids), held, percent)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in iterator:
+        for batch in _slices(iterator):
             for *now, rid, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now != key:
                     if len(held) > 1:
@@ -374,13 +388,13 @@ def exact_edges(members: DataFrame, sets: DataFrame, percent: int, cell_tokens:
     return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "rid").mapInArrow(run, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", cell_tokens: int = 4_000_000) -> DataFrame:
+def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", cell_tokens: int = 1_500_000) -> DataFrame:
     """id, n_shingles, component_id per row of docs; component_id is the smallest id of the row's class."""
     found = _classes(docs, n, percent, id_col, text_col, cell_tokens)
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cell_tokens: int = 4_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cell_tokens: int = 1_500_000) -> DataFrame:
     """docs with the document of the smallest id of each class; rows that repeat both an id and a text are reduced to one."""
     found = _classes(docs, n, percent, id_col, text_col, cell_tokens)
     gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct()
