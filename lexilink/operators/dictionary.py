@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexilink.operators.sharding import global_row_number
 from lexilink.sources.fixtures import NON_SYMBOL, SYMBOL
 
 
@@ -46,9 +47,7 @@ def last_wins(df: DataFrame, key: str, value: str, order: list[str]) -> DataFram
 
 
 def ordinal(df: DataFrame, by: str, name: str, first: int = 0) -> DataFrame:
-    """Rows numbered in the order of `by`, without a single-task window: range partitions are numbered apart and shifted by the rows before them."""
-    from lexilink.operators.sharding import global_row_number
-
+    """Rows numbered in the order of `by`."""
     return global_row_number(df, [by], name, first)
 
 

@@ -6,14 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def range_borders(df: DataFrame, column: str, parts: int, sample: int = 2000) -> list:
+    """At most parts - 1 ascending values that split a column into about equal ranges, from a bounded sample by hash."""
+    rows = df.select(column).where(F.col(column).isNotNull()).orderBy(F.xxhash64(column)).limit(sample).collect()
+    values = sorted(r[0] for r in rows)
+    return sorted({values[k * len(values) // parts] for k in range(1, parts)}) if values else []
+
+
 def global_row_number(df: DataFrame, by: list[str], name: str = "row", first: int = 0) -> DataFrame:
-    """Rows numbered in the order of `by`. Rows are range-partitioned; each partition numbers its own, and the counts of earlier ones, one small row each, shift them."""
-    # With a number given, AQE leaves the partitions as they are, so both uses see the same ones.
-    ranged = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by).withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
-    local = ranged.withColumn("__local", F.col("__id") - F.shiftleft(F.col("__part").cast("long"), 33)).drop("__id")
-    sizes = local.groupBy("__part").agg(F.count("*").alias("__n"))
+    """Rows numbered in the order of `by`, without a window over all rows.
+
+    Fixed borders cut the first column into ranges; each range is numbered on its own and shifted by the sizes of those before it, of which there are few. Borders are
+    literals of the plan, so a recomputed task numbers as before. Nulls come first.
+    """
+    borders = range_borders(df, by[0], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b <= F.col(by[0]))) if borders else F.lit(0)
+    ranged = df.withColumn("__part", F.greatest(part, F.lit(0)))
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return local.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__local") + first).drop("__part", "__local", "__before")
+    local = ranged.withColumn("__local", F.row_number().over(Window.partitionBy("__part").orderBy(*by)))
+    return local.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__local") - 1 + first).drop("__part", "__local", "__before")
 
 
 def shard_address(row: Column, shard_size: int) -> tuple[Column, Column]:
