@@ -15,7 +15,8 @@ Files and frames are in ascending document id; equal ids are ordered by text, nu
 gives no frames.
 
 Encoding: the vocabulary's pre-tokenizer drops white space and never crosses it, so a text's ids are those of its white-space
-chunks one after another. Each chunk is encoded once by the tokenizers library and remembered, up to `MEMO_WORDS` chunks per worker.
+chunks one after another. A chunk's body and its trailing punctuation are each encoded once by the tokenizers library and remembered,
+up to `MEMO_WORDS` chunks and twice as many parts per worker.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ from lexilink.llm.common import fresh_path, written
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
 INDEX_MAGIC, SEEK_FRAME_MAGIC, SEEK_MAGIC = 0x184D2A51, 0x184D2A5E, 0x8F92EAB1
 _ENTRY = struct.Struct("<qqBBII")
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 _OTHER_SPACE = re.compile(r"[\x1c-\x1f]")
+_TAIL = re.compile(r"(?<=[^\W\d_])[!-/:-@\[-`{-~]+\Z")
 _SPACE = re.compile(r"[ \t\n\r]+")
 
 
@@ -51,6 +53,12 @@ class _Memo(dict):
         return number
 
 
+def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """values[start : start + length] of all runs, one after another."""
+    ends = np.cumsum(lengths)
+    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)]
+
+
 class Encoder:
     """Ids of whole texts with an end id, chunk by chunk."""
 
@@ -71,6 +79,7 @@ class Encoder:
         special = [(t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.mark = special[-1] if special else None
         self._forget()
+        self._forget_parts()
 
     def _forget(self) -> None:
         self.memo = _Memo()
@@ -78,38 +87,56 @@ class Encoder:
         # Number 0 is the end id.
         self.start, self.length, self.ids = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.end], np.uint32)
 
-    def _ids_of(self, chunks: list[str]) -> list[list[int] | np.ndarray]:
-        if self.mark is None or any(self.mark[0] in c or "<|" in c or "|>" in c for c in chunks):
-            return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        # One call for many chunks: an added token between them splits the ids again.
-        text, mark = self.mark
-        ids = np.array(self.tokenizer.encode(text.join(chunks), add_special_tokens=False).ids, np.uint32)
-        return np.split(ids, np.flatnonzero(ids == mark)) if len(chunks) > 1 else [ids]
+    def _forget_parts(self) -> None:
+        self.parts = {"": 0}
+        self.part_start, self.part_length, self.part_ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    @staticmethod
+    def _split(chunk: str) -> tuple[str, str]:
+        """(body, tail): a run of ASCII punctuation after a letter is a pre-token of its own, and ASCII letters count as small ones; so many chunks share a body."""
+        if "<|" in chunk or "|>" in chunk:
+            return chunk, ""
+        if chunk.isascii():
+            chunk = chunk.lower()
+        m = _TAIL.search(chunk)
+        return (chunk[: m.start()], m[0]) if m else (chunk, "")
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        odd = [p for p in parts if self.mark is None or "<|" in p or "|>" in p]
+        plain = [p for p in parts if not (self.mark is None or "<|" in p or "|>" in p)]
+        arrays, at = [self.part_ids], len(self.part_ids)
+        starts, lengths = [self.part_start], [self.part_length]
+        for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False):
+            arrays.append(np.array(e.ids, np.uint32))
+            starts.append(np.array([at])), lengths.append(np.array([len(e.ids)]))
+            at += len(e.ids)
+        for k in range(0, len(plain), 5000):
+            # One call for many parts: an added token between them tells their ids apart.
+            text, mark = self.mark
+            ids = np.array(self.tokenizer.encode_batch_fast([text.join(plain[k : k + 5000])], add_special_tokens=False)[0].ids, np.uint32)
+            borders = np.concatenate([[-1], np.flatnonzero(ids == mark), [len(ids)]])
+            arrays.append(ids)
+            starts.append(at + borders[:-1] + 1), lengths.append(np.diff(borders) - 1)
+            at += len(ids)
+        for p in odd + plain:
+            self.parts[p] = len(self.parts)
+        self.part_ids, self.part_start, self.part_length = np.concatenate(arrays), np.concatenate(starts), np.concatenate(lengths)
 
     def _learn(self) -> None:
-        odd = [c for c in self.memo.new if "<|" in c or "|>" in c]
-        if odd:
-            plain = [c for c in self.memo.new if not ("<|" in c or "|>" in c)]
-            known = dict(zip(odd, self._ids_of(odd), strict=True))
-            known.update(self._plain(plain))
-        else:
-            known = self._plain(self.memo.new)
-        parts = [np.asarray(known[c], np.uint32) for c in self.memo.new]
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        starts = len(self.ids) + np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        if len(self.parts) > 2 * MEMO_WORDS:
+            self._forget_parts()
+        split = [part for chunk in self.memo.new for part in self._split(chunk)]
+        unknown = list(dict.fromkeys(p for p in split if p not in self.parts))
+        if unknown:
+            self._learn_parts(unknown)
+        of = np.fromiter(map(self.parts.__getitem__, split), np.int64, len(split))
+        ids = _gather(self.part_ids, self.part_start[of], self.part_length[of])
+        lengths = self.part_length[of].reshape(-1, 2).sum(axis=1)
+        starts = len(self.ids) + np.cumsum(lengths) - lengths
         self.start, self.length = np.concatenate([self.start, starts]), np.concatenate([self.length, lengths])
-        self.ids = np.concatenate([self.ids, *parts])
+        self.ids = np.concatenate([self.ids, ids])
         self.memo.new.clear()
 
-    def _plain(self, chunks: list[str]) -> dict:
-        out = {}
-        for at in range(0, len(chunks), 5000):
-            some = chunks[at : at + 5000]
-            ids = self._ids_of(some)
-            # All parts but the first begin with the mark.
-            out.update(zip(some, [p if k == 0 or self.mark is None else p[1:] for k, p in enumerate(ids)], strict=True))
-        return out
-
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         if len(self.memo) > MEMO_WORDS:
@@ -127,9 +154,8 @@ class Encoder:
         of = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
         lengths = self.length[of]
         ends = np.cumsum(lengths)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[of] - ends + lengths, lengths)
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        return self.ids[at], np.diff(bounds)
+        return _gather(self.ids, self.start[of], lengths), np.diff(bounds)
 
 
 def pack_frame(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, width: int) -> bytes:
