@@ -46,7 +46,7 @@ def knn_sharded_merge(spark, d):
 
 @register("knn_ivf")
 def knn_ivf(spark, d):
-    return R.knn_ivf(S.query_vectors(spark, d), S.kb_vectors(spark, d), 10, factor=2.0)
+    return R.knn_ivf(S.query_vectors(spark, d), S.kb_vectors(spark, d), 10, factor=3.5)
 
 
 @register("ivf_params", "SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS nlist, CAST(greatest(1, floor(sqrt(floor(sqrt(count(*)))) * 1.5)) AS BIGINT) AS nprobe FROM embeddings WHERE vec_id >= 100")
