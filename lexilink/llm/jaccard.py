@@ -5,6 +5,7 @@ pivots would tell nothing apart and their windows would replicate everything. Th
 
 1. Ground pivots are single shingles. A document's own shingles are its nearest pivots (d({s}, x) = 1 - 1/|x|, ties broken by rarity, then hash), and its Voronoi
    regions are those of its first |x| - ceil(t|x|) + 1 pivots: two documents with J >= t share a region, since fewer shared shingles than that are left.
+   Sharing more than one of their first pivots is asked for where sizes imply it: of pairs in small regions only those with as many shared regions as a link needs go on.
 2. In a region documents are points of pivot counts |x & H_j| for 256 classes H_j of the shingles. By the triangle inequality of the symmetric difference, linked documents differ
    there by at most (1 - t) / (1 + t) * (|x| + |y|) in sum. Small regions test all their points this way; in large ones leaders take up the points within a radius,
    and later points are compared with leaders only, in windows widened by that radius. What passes is connected to cells, which hold every link.
@@ -168,33 +169,84 @@ def region_rows(sets: DataFrame, hot: np.ndarray, count: np.ndarray, percent: in
     return sets.where("n > 0").select("rid", "digest", "tokens").mapInArrow(run, "token long, rid long, n int")
 
 
-def shared_regions(rows: DataFrame, percent: int) -> DataFrame:
-    """(token, rid) of rows with another row in their region whose size allows a link; a stream over sorted rows that holds one row back."""
+def shared_regions(rows: DataFrame, percent: int, small: int = 8) -> DataFrame:
+    """(token, a, b, n_a, n_b): of regions with at most `small` rows the pairs whose sizes allow a link; of larger ones the rows as a (b null) with another row of such a size.
+
+    A stream over sorted rows that holds back at most `small` rows.
+    """
 
     def run(iterator):
-        last = None
-        out_last = False
+        held, large = None, None  # the last region so far, or the token of a large one that goes on
+
+        def out(token, a, b, n_a, n_b, pairs):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(token), pa.array(a), pa.array(b, pa.int64()) if pairs else pa.nulls(len(a), pa.int64()), pa.array(n_a), pa.array(n_b, pa.int32()) if pairs else pa.nulls(len(a), pa.int32())],
+                ["token", "a", "b", "n_a", "n_b"],
+            )
+
+        def pairs_of(tokens, rids, n, size):
+            found = []
+            for step in range(1, small):
+                if len(tokens) > step:
+                    i = np.flatnonzero((tokens[step:] == tokens[:-step]) & (size[step:] <= small) & (100 * n[:-step].astype(np.int64) >= percent * n[step:].astype(np.int64)))
+                    found.append((i, i + step))
+            if found:
+                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield out(tokens[i], rids[i], rids[j], n[i], n[j], True)
+
         for batch in iterator:
             now = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(now[0]):
-                continue
-            if last is not None:
-                now = tuple(np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(last, now, strict=True))
+            if held is not None:
+                now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
             tokens, rids, n = now
-            # Sizes ascend in a region, so a row's neighbours are the nearest in size.
-            near = (tokens[1:] == tokens[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
-            keep = np.zeros(len(tokens), bool)
-            keep[1:] |= near
-            keep[:-1] |= near
-            # The first row may be out already; the last one may be kept once more is known.
-            known = bool(keep[-1])
-            if last is not None and out_last:
-                keep[0] = False
-            out_last = known or (len(tokens) == 1 and out_last)
-            last = tokens[-1], rids[-1], n[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(rids[keep])], ["token", "rid"])
-
-    return rows.repartition("token").sortWithinPartitions("token", "n").select("token", "rid", "n").mapInArrow(run, "token long, rid long")
+            if not len(tokens):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            sizes = np.diff(np.append(starts, len(tokens)))
+            if large is not None and tokens[0] == large:
+                sizes[0] = max(sizes[0], small + 1)
+            # The last region is whole only at the end, unless it is known to be large.
+            cut = len(tokens) if sizes[-1] > small else int(starts[-1])
+            large = tokens[-1] if sizes[-1] > small else None
+            held = tuple(x[cut:] for x in now) if cut < len(tokens) else None
+            size = np.repeat(sizes, np.diff(np.append(starts, len(tokens))))[:cut]
+            tokens, rids, n = tokens[:cut], rids[:cut], n[:cut]
+            yield from pairs_of(tokens, rids, n, size)
+            big = size > small
+            if big.any():
+                yield out(tokens[big], rids[big], None, n[big], None, False)
+        if held is not None:
+            tokens, rids, n = held
+            yield from pairs_of(tokens, rids, n, np.full(len(tokens), len(tokens)))
+
+    return rows.repartition("token").sortWithinPartitions("token", "n").select("token", "rid", "n").mapInArrow(run, "token long, a long, b long, n_a int, n_b int")
+
+
+def paired_edges(regions: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of small regions' pairs that share enough regions and pass as points.
+
+    Of two linked sets, let x be the one whose last pivot comes first. Shingles of both up to that pivot are pivots of both, and x has ceil(t|x|) - 1 others, so the two share at
+    least ceil(t(|x| + |y|) / (1 + t)) - ceil(t|x|) + 1 regions; x is unknown, so the larger set stands for it. Large regions, whose pairs aren't counted, count as shared.
+    """
+    pairs = regions.where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    in_large = regions.where("b IS NULL").groupBy("a").agg(F.count("*").alias("m"))
+    known = pairs.join(in_large.withColumnRenamed("m", "m_a"), "a", "left").join(in_large.select(F.col("a").alias("b"), F.col("m").alias("m_b")), "b", "left")
+    most = F.least(F.coalesce("m_a", F.lit(0)), F.coalesce("m_b", F.lit(0)))
+    overlap = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    enough = known.where(F.col("shared") + most >= overlap - F.ceil(F.lit(percent) * F.greatest("n_a", "n_b") / 100) + 1)
+    of_a = points.select(F.col("rid").alias("a"), F.col("counts").alias("c_a"))
+    of_b = points.select(F.col("rid").alias("b"), F.col("counts").alias("c_b"))
+    full = enough.select("a", "b", "n_a", "n_b").join(of_a, "a").join(of_b, "b").select("a", "b", "n_a", "n_b", "c_a", "c_b")
+
+    def run(iterator):
+        for batch in iterator:
+            if batch.num_rows:
+                a, b, n_a, n_b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+                c_a, c_b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS) for k in (4, 5))
+                ok = passes(n_a.astype(np.int64), n_b.astype(np.int64), c_a, c_b, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+
+    return full.mapInArrow(run, "a long, b long")
 
 
 def passes(n_a, n_b, c_a, c_b, percent: int, slack=0) -> np.ndarray:
@@ -356,7 +408,7 @@ def join_cell(rids: np.ndarray, sets: list[np.ndarray], percent: int, first: int
 def exact_edges(members: DataFrame, sets: DataFrame, percent: int, cell_tokens: int) -> DataFrame:
     """(a, b): spanning edges of the exact classes in each cell; members is (rid, cell)."""
     sized = members.join(sets.select("rid", "n"), "rid")
-    blocks = sized.groupBy("cell").agg(F.ceil(F.sum("n") / (cell_tokens / 2)).cast("int").alias("blocks"))
+    blocks = sized.groupBy("cell").agg(F.ceil(F.sum("n") / (cell_tokens / 2)).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
     block = F.when(F.col("blocks") <= 2, F.lit(0)).otherwise(F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     others = F.when(F.col("blocks") <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = written(
@@ -409,10 +461,15 @@ def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
     # Equal sets: one row stands for all.
     equal = sets.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("digest", "rep")
     copies = written(sets.where("n > 0").select("rid", "digest").join(equal, "digest").select("rid", "rep"), "equal-sets")
-    regions = shared_regions(region_rows(sets, *frequent_tokens(sets), percent), percent)
-    standing = regions.join(copies.where("rid != rep"), "rid", "left").select("token", F.coalesce("rep", "rid").alias("rid")).distinct()
-    edges = candidate_edges(written(standing, "regions"), sets.select("rid", "n", "counts"), percent)
-    cells = components(edges)
+    regions = written(shared_regions(region_rows(sets, *frequent_tokens(sets), percent), percent), "regions")
+    points = sets.select("rid", "n", "counts")
+    rows = regions.where("b IS NULL").select("token", F.col("a").alias("rid"))
+    standing = rows.join(copies.where("rid != rep"), "rid", "left").select("token", F.coalesce("rep", "rid").alias("rid")).distinct()
+    edges = written(local_forest(paired_edges(regions, points, percent).unionByName(candidate_edges(standing, points, percent))), "candidate-edges")
+    # Copies met in different tasks stand for one set from here on.
+    met = edges.select(F.col("a").alias("rid")).union(edges.select("b")).distinct()
+    cells = components(edges.unionByName(copies.where("rid != rep").join(met, "rid", "left_semi").select(F.col("rid").alias("a"), F.col("rep").alias("b"))))
+    cells = cells.join(copies.where("rid != rep").select(F.col("rid").alias("node")), "node", "left_anti")
     exact = exact_edges(cells.select(F.col("node").alias("rid"), F.col("component").alias("cell")), sets, percent, cell_tokens)
     links = written(local_forest(exact).unionByName(copies.where("rid != rep").select(F.col("rid").alias("a"), F.col("rep").alias("b"))), "links")
     classes = written(components(links), "classes")

@@ -67,7 +67,8 @@ def test_near_copies_equal_brute_force(spark):
 def test_blocks_and_leaders_equal_brute_force(spark, monkeypatch):
     rows = near_copies(3, 3, 60)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    plain = jaccard.region_edges
+    plain, shared = jaccard.region_edges, jaccard.shared_regions
+    monkeypatch.setattr(jaccard, "shared_regions", lambda *a: shared(*a, small=2))
     monkeypatch.setattr(jaccard, "region_edges", lambda *a: plain(*a, small=2, large=3))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(df, cell_tokens=4000).collect()}
     assert got == brute(rows)
