@@ -64,7 +64,8 @@ def spans(found: DataFrame) -> DataFrame:
     fresh = ends.where(F.col("end") > F.col("reached")).select(*own, F.greatest("start", "reached").alias("from"), F.col("end").alias("to"))
     covered = fresh.groupBy(*own).agg(F.sum(F.col("to") - F.col("from")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("from", "to"))).alias("ranges"))
     items = found.select(*own, F.explode("items").alias("item")).groupBy(*own).agg(F.collect_set("item").alias("items"))
-    return covered.join(items, own)
+    items = items.withColumnsRenamed({"doc": "d", "mark": "m"})
+    return covered.join(items, F.col("doc").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).drop("d", "m")
 
 
 def decontaminate(

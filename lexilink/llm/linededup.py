@@ -5,7 +5,7 @@ code points are never dropped. Keys are held as two 64-bit hashes. Documents are
 descending id. Each batch becomes a sorted run (key, number of documents); a merge-anti-join with the runs written so far
 leaves the keys that no earlier batch had, and their largest document of this batch is their holder, which
 makes it the largest of all. When a level has `fanout` runs they are merged into one of the next level; the last merge leaves
-the totals. Runs are bucketed by key and sorted in each bucket, in the warehouse, so joins and merges of runs read buckets
+the totals. Runs are bucketed by key and sorted in each bucket, in the warehouse, so anti-joins with runs read buckets
 side by side and shuffle nothing.
 
 Keys in at least `min_docs` documents lose all their lines but those of the holder.
@@ -61,8 +61,11 @@ class LineRuns:
         return [name for level in self.levels for name in level]
 
     def merged(self, names: list[str]) -> DataFrame:
-        tables = [self.spark.table(n) for n in names]
-        return reduce(DataFrame.unionByName, tables).groupBy(*_KEY).agg(F.sum("n_docs").alias("n_docs"))
+        # The files are read without their buckets: a union of bucketed tables may be grouped as if it were bucketed itself, which splits keys.
+        files = [f for n in names for f in self.spark.table(n).inputFiles()]
+        schema = "h1 long, h2 long, n_docs long"
+        rows = self.spark.read.schema(schema).parquet(*files) if files else self.spark.createDataFrame([], schema)
+        return rows.groupBy(*_KEY).agg(F.sum("n_docs").alias("n_docs"))
 
     def fresh(self, keys: DataFrame) -> DataFrame:
         """Rows of keys (bucketed alike) that no run has."""
