@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -59,3 +61,24 @@ def alnum_words(text: Column) -> Column:
     """The words of a text, lower-cased; none for null."""
     gapped = F.split(ascii_lower(F.coalesce(text, F.lit(""))), ALNUM_WORD_GAP, -1)
     return F.array_remove(gapped, "")
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """While plans of wide rows run, Arrow batches hold at most `most` rows; the session's setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def give_back() -> None:
+    """Returns freed memory of a reused Python worker to the system, where the C library can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

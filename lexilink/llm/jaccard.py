@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexilink.llm import wordbytes as wb
-from lexilink.llm.common import written
+from lexilink.llm.common import arrow_rows, give_back, written
 from lexilink.llm.components import UnionFind, components, local_forest
 
 BUCKETS = 256
@@ -91,6 +91,7 @@ def set_table(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()), _binary(digests), _binary(counts), _binary(raw)], ["rid", "id", "mark", "n", "digest", "counts", "tokens"]
             )
+        give_back()
 
     plain = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
     return written(plain.mapInArrow(run, "rid long, id long, mark long, n long, digest binary, counts binary, tokens binary"), "shingle-sets")
@@ -119,6 +120,8 @@ def frequent_tokens(sets: DataFrame, one_in: int = 1000, most: int = 1_000_000,
                     held, size, docs = [], 0, 0
         if size:
             yield out()
+        held.clear()
+        give_back()
 
     n = sets.count()
     found = sets.select("tokens").mapInArrow(run, "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
@@ -165,6 +168,7 @@ def region_rows(sets: DataFrame, hot: np.ndarray, count: np.ndarray, percent: in
                     sizes.append(np.full(len(p), len(s), np.int32))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(rids)), pa.array(np.concatenate(sizes))], ["token", "rid", "n"])
+        give_back()
 
     return sets.where("n > 0").select("rid", "digest", "tokens").mapInArrow(run, "token long, rid long, n int")
 
@@ -357,6 +361,8 @@ def candidate_edges(rows: DataFrame, points: DataFrame, percent: int) -> DataFra
                 held = None
         if held is not None:
             yield out(*region_edges(*held, percent))
+        held = stream = None
+        give_back()
 
     return placed.repartition("token").sortWithinPartitions("token", "n", "rid").mapInArrow(run, "a long, b long")
 
@@ -436,6 +442,8 @@ def exact_edges(members: DataFrame, sets: DataFrame, percent: int, cell_tokens:
                 held.append(np.frombuffer(tokens, np.uint64))
         if len(held) > 1:
             yield out()
+        held = []
+        give_back()
 
     return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "rid").mapInArrow(run, "a long, b long")
 
@@ -457,6 +465,12 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
 
 
 def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, cell_tokens: int) -> DataFrame:
+    with arrow_rows(docs.sparkSession, 2000):
+        return _found_classes(docs, n, percent, id_col, text_col, cell_tokens)
+
+
+def _found_classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, cell_tokens: int) -> DataFrame:
+    """All that runs Python is done and written when this returns."""
     sets = set_table(docs, n, id_col, text_col)
     # Equal sets: one row stands for all.
     equal = sets.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("digest", "rep")
