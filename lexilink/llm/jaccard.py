@@ -223,7 +223,8 @@ def shared_regions(rows: DataFrame, percent: int, small: int = 8) -> DataFrame:
             tokens, rids, n = held
             yield from pairs_of(tokens, rids, n, np.full(len(tokens), len(tokens)))
 
-    return rows.repartition("token").sortWithinPartitions("token", "n").select("token", "rid", "n").mapInArrow(run, "token long, a long, b long, n_a int, n_b int")
+    # By rid too: two sets of one size must be the same (a, b) in all regions, however shuffle blocks arrive.
+    return rows.repartition("token").sortWithinPartitions("token", "n", "rid").select("token", "rid", "n").mapInArrow(run, "token long, a long, b long, n_a int, n_b int")
 
 
 def paired_edges(regions: DataFrame, points: DataFrame, percent: int) -> DataFrame:

@@ -74,6 +74,26 @@ def test_blocks_and_leaders_equal_brute_force(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_equal_sizes_in_any_order_equal_brute_force(spark, monkeypatch):
+    rows = []
+    for g in range(30):
+        words = [f"w{g}_{i}" for i in range(200)]
+        rows.append((2 * g, " ".join(words)))
+        for k in range(3):
+            words[50 + 40 * k] = f"e{g}_{k}"
+        rows.append((2 * g + 1, " ".join(words)))
+    plain = jaccard.region_rows
+
+    def swapped(*a):
+        """As other executors' blocks may arrive: rows of every other region the other way round."""
+        found = sorted(map(tuple, plain(*a).collect()), key=lambda r: r[1] if r[0] % 2 else -r[1])
+        return spark.createDataFrame(spark.sparkContext.parallelize(found, 1), "token long, rid long, n int")
+
+    monkeypatch.setattr(jaccard, "region_rows", swapped)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_leader_regions_lose_no_link(seed):
     rng = np.random.default_rng(seed)
