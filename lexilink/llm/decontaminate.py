@@ -6,7 +6,7 @@ up in; equal words confirm a hit. The set is broadcast while it has at most `bro
 that the same join shuffles hashes instead.
 
 Edge cases: a null text and a text without words have no windows and no hits; items without words match nothing; items with
-equal windows all count as found; rows that repeat an id with another text are judged apart; tables without rows give
+equal windows all count as found; items with a null id hit like others, and all of them count as one in n_items and are one null in items; rows that repeat an id with another text are judged apart; tables without rows give
 tables without rows; only the id, the text and the item's columns are read, so further columns may have any name.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexilink.llm.common import ALNUM_WORD, alnum_words, written
@@ -24,12 +24,17 @@ _ANY_CASE_WORD = ALNUM_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
 _ANY_CASE_GAP = "[" + _ANY_CASE_WORD[2:-1]
 
 
+def _distinct(column: str) -> Column:
+    """The distinct values of a group, null among them, which collect_set alone drops."""
+    return F.transform(F.collect_set(F.struct(F.col(column).alias("value"))), lambda s: s["value"])
+
+
 def windows_of_items(benchmark: DataFrame, n: int, item_col: str, text_col: str) -> DataFrame:
     """hash, gram (array of words), size, items: one row per distinct window."""
     words = benchmark.select(F.col(item_col).alias("item"), alnum_words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (n - 1), F.lit(1)))
     grams = words.select("item", F.explode(starts).alias("at"), "words").select("item", F.slice("words", F.col("at"), n).alias("gram"))
-    return grams.groupBy("gram").agg(F.collect_set("item").alias("items")).select(F.xxhash64("gram").alias("hash"), "gram", F.size("gram").alias("size"), "items")
+    return grams.groupBy("gram").agg(_distinct("item").alias("items")).select(F.xxhash64("gram").alias("hash"), "gram", F.size("gram").alias("size"), "items")
 
 
 def hits(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str, broadcast_windows: int) -> DataFrame:
@@ -63,7 +68,7 @@ def spans(found: DataFrame) -> DataFrame:
     ends = places.withColumn("end", F.col("start") + F.col("size")).withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
     fresh = ends.where(F.col("end") > F.col("reached")).select(*own, F.greatest("start", "reached").alias("from"), F.col("end").alias("to"))
     covered = fresh.groupBy(*own).agg(F.sum(F.col("to") - F.col("from")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("from", "to"))).alias("ranges"))
-    items = found.select(*own, F.explode("items").alias("item")).groupBy(*own).agg(F.collect_set("item").alias("items"))
+    items = found.select(*own, F.explode("items").alias("item")).groupBy(*own).agg(_distinct("item").alias("items"))
     items = items.withColumnsRenamed({"doc": "d", "mark": "m"})
     return covered.join(items, F.col("doc").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))).drop("d", "m")
 

@@ -47,6 +47,28 @@ def test_equals_brute_force(spark, most):
     assert all(r.n_items == len(r["items"]) for r in got)
 
 
+def test_items_without_id_hit_and_count_as_one(spark):
+    docs = spark.createDataFrame([(1, "x " + ITEM), (2, "short item here " + ITEM), (3, "clean"), (4, "other item text " + ITEM)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, ITEM), (7, "short item here"), (None, "other item text")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, set(r["items"]), r.contaminated) for r in decontaminate(docs, items).collect()}
+    assert got == {1: (12, 1, {None}, True), 2: (15, 2, {None, 7}, True), 3: (0, 0, set(), False), 4: (15, 1, {None}, True)}
+    assert [r.doc_id for r in remove_contaminated(docs, items).collect()] == [3]
+
+
+def test_items_without_id_equal_sql(spark, tmp_path):
+    import duckdb
+
+    from lexilink.llm import queries
+
+    spark.createDataFrame([(1, "x " + ITEM), (2, "short item here " + ITEM), (3, "clean")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, ITEM), (7, "short item here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    duck = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(tuple, queries.op3_benchmark_decontamination(spark, str(tmp_path)).collect()))
+    assert got == sorted(duck.sql(queries.OP3_SQL).fetchall())
+
+
 def test_removal_of_documents_and_spans(spark):
     docs = spark.createDataFrame([(1, f"A b, {ITEM} C.", 7), (2, "clean", 7), (3, ITEM, 7), (4, None, 7)], "doc_id long, text string, __x int")
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
