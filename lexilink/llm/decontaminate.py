@@ -84,6 +84,11 @@ def decontaminate(
     broadcast_windows: int = 2_000_000,
 ) -> DataFrame:
     """Per row of docs: id, n_words, n_hit, n_items, items, ranges of hit words (from, to), contaminated."""
+    return _judged(docs, benchmark, n, id_col, text_col, item_col, item_text_col, broadcast_windows).drop("__mark")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, n: int, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = 2_000_000) -> DataFrame:
+    """What decontaminate returns, with the mark of each row's text."""
     windows = written(windows_of_items(benchmark, n, item_col, item_text_col), "benchmark-windows")
     found = written(hits(docs, windows, id_col, text_col, broadcast_windows), "benchmark-hits")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -97,16 +102,18 @@ def decontaminate(
         F.coalesce("items", F.array().cast(found.schema["items"].dataType)).alias("items"),
         "ranges",
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+        rows["mark"].alias("__mark"),
     )
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", max_share: float = 0.0, **options) -> DataFrame:
     """docs less what is contaminated: documents with over max_share of their words hit go, the others lose just the hit spans."""
-    judged = decontaminate(docs, benchmark, n, id_col, text_col, **options).where("contaminated")
-    judged = judged.groupBy(F.col(id_col).alias("__doc")).agg(
+    judged = _judged(docs, benchmark, n, id_col, text_col, **options).where("contaminated")
+    judged = judged.groupBy(F.col(id_col).alias("__doc"), "__mark").agg(
         F.max(F.col("n_hit") / F.col("n_words")).alias("__share"), F.max_by("ranges", "n_hit").alias("__ranges"), F.count("*").alias("__rows")
     )
-    joined = docs.join(judged, F.col(id_col).eqNullSafe(F.col("__doc")), "left").where(F.col("__share").isNull() | (F.col("__share") <= max_share))
+    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    joined = docs.join(judged, F.col(id_col).eqNullSafe(F.col("__doc")) & (mark == F.col("__mark")), "left").where(F.col("__share").isNull() | (F.col("__share") <= max_share))
     if max_share <= 0.0:
         return joined.select(*docs.columns)
     # Each piece is a word with what stands before it, in the case it has; a null text is never hit.

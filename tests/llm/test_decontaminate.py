@@ -77,6 +77,15 @@ def test_removal_of_documents_and_spans(spark):
     assert cut == {1: "A b C.", 2: "clean", 4: None}
 
 
+def test_removal_tells_rows_of_one_id_apart(spark):
+    docs = spark.createDataFrame([(1, "x " + ITEM), (1, "clean"), (None, ITEM), (None, "clean too"), (None, None), (1, "x " + ITEM)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    got = sorted(map(tuple, remove_contaminated(docs, items).collect()), key=repr)
+    assert got == sorted([(1, "clean"), (None, "clean too"), (None, None)], key=repr)
+    cut = sorted(map(tuple, remove_contaminated(docs, items, max_share=0.95).collect()), key=repr)
+    assert cut == sorted([(1, "x"), (1, "x"), (1, "clean"), (None, "clean too"), (None, None)], key=repr)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
