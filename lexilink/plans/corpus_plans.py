@@ -218,11 +218,11 @@ def tfidf_best_name(spark, d):
 
 
 def _choices(spark, d):
-    """Every order line's part name against the names of its brand's symbols."""
+    """(mention, text, identifier) of every name, and (identifier, choice): the distinct homonyms among an identifier's names."""
     kb = S.kb(spark, d)
-    mentions = kb.where("uid % 5 = 0").select(F.col("uid").alias("mention"), T.fuzzy_process(F.col("name")).alias("text"), "identifier")
-    names = kb.select("identifier", T.fuzzy_process(F.col("name")).alias("choice"), "uid")
-    return mentions.join(names.join(_homonym_uids(kb).withColumn("homonym", F.lit(True)), "uid", "left"), "identifier")
+    mentions = kb.select(F.col("uid").alias("mention"), T.fuzzy_process(F.col("name")).alias("text"), "identifier")
+    choices = kb.join(_homonym_uids(kb), "uid", "left_semi").select("identifier", T.fuzzy_process(F.col("name")).alias("choice")).distinct()
+    return mentions, choices
 
 
 def _homonym_uids(kb):
@@ -239,8 +239,12 @@ def indel_ratio(spark, d):
 
 @register("ambiguous_mentions")
 def ambiguous_mentions(spark, d):
-    scored = X.with_indel_ratio(_choices(spark, d).where("homonym"), "text", "choice")
-    best = scored.groupBy("mention").agg(F.max("ratio").alias("ratio"))
+    mentions, choices = _choices(spark, d)
+    # Each distinct pair is compared once, for all the identifiers that have it.
+    pairs = mentions.select("identifier", "text").distinct().join(choices, "identifier").groupBy("text", "choice").agg(F.collect_list("identifier").alias("identifiers"))
+    scored = X.with_indel_ratio(pairs, "text", "choice").select(F.explode("identifiers").alias("identifier"), "text", "ratio")
+    of_text = scored.groupBy("identifier", "text").agg(F.max("ratio").alias("ratio"))
+    best = mentions.join(of_text, ["identifier", "text"]).groupBy("mention").agg(F.max("ratio").alias("ratio"))
     return best.agg(*[F.count_if(F.col("ratio") >= t).alias(f"at_{t}") for t in (80, 85, 95, 100)])
 
 
@@ -253,7 +257,9 @@ _FUZZY = r"trim(regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_]',
     SELECT count(DISTINCT m.uid) AS n FROM kb m JOIN kb c ON m.identifier = c.identifier AND {_FUZZY.format(c='m.name')} = {_FUZZY.format(c='c.name')} WHERE m.uid % 5 = 0 AND c.uid IN (SELECT uid FROM h)""",
 )
 def ambiguous_exact(spark, d):
-    return _choices(spark, d).where(F.col("homonym") & (F.col("text") == F.col("choice"))).agg(F.count_distinct("mention").alias("n"))
+    mentions, choices = _choices(spark, d)
+    found = mentions.where("mention % 5 = 0").join(choices, "identifier").where(F.col("text") == F.col("choice"))
+    return found.agg(F.count_distinct("mention").alias("n"))
 
 
 # Abbreviations, over literal rows: the driver tables have none.
