@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexilink.operators import candidates as C
@@ -39,9 +41,8 @@ def knn_flat_l2(spark, d):
 def knn_sharded_merge(spark, d):
     """Each of four shards is searched alone; their top-k lists merge to the global one."""
     index = S.kb_vectors(spark, d)
-    ids, q = next(R.query_blocks(S.query_vectors(spark, d)))
-    parts = [R.partial_top_k(index.where(F.col("uid") % 4 == s), ids, q, 5, "ip") for s in range(4)]
-    return R.merge_top_k(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]), 5).select("mention", "rank", "uid")
+    parts = [R.partial_top_k(index.where(F.col("uid") % 4 == s), ids, q, 5, "ip") for ids, q in R.query_blocks(S.query_vectors(spark, d)) for s in range(4)]
+    return R.merge_top_k(reduce(DataFrame.unionByName, parts), 5).select("mention", "rank", "uid")
 
 
 @register("knn_ivf")

@@ -24,3 +24,15 @@ def test_ambiguous_mentions_of_all_names(spark, tmp_path):
     got = catalog.queries()["ambiguous_mentions"](spark, str(tmp_path)).first().asDict()
     assert got == {f"at_{t}": sum(x >= t for x in best) for t in (80, 85, 95, 100)}
     assert got["at_100"] > 3
+
+
+def test_sharded_search_reads_all_query_blocks(spark, monkeypatch):
+    from functools import partial
+
+    from lexilink.operators import retrieval as R
+
+    d = "/root/testdata/sf0.001"
+    want = {tuple(r) for r in catalog.queries()["knn_sharded_merge"](spark, d).collect()}
+    monkeypatch.setattr(R, "query_blocks", partial(R.query_blocks, most=40))
+    got = catalog.queries()["knn_sharded_merge"](spark, d).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
