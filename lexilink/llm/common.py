@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Words of the licence and benchmark operators: what stands between ASCII characters other than digits and small letters.
 ALNUM_WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same gaps, character by character: Java's patterns look such a class up in one table, ranges one after another.
+_GAP_TABLE = "[" + "".join(f"\\x{c:02X}" for c in range(0x80) if not chr(c).isdigit() and not 0x61 <= c <= 0x7A) + "]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one is made only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; one is made only where that is unset and all is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lexilink-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,15 +38,37 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends there and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, what)
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, fresh_path(df.sparkSession, what))
+
+
+class Scratch:
+    """Written tables that go when the block ends; what is returned from it must have been written outside, or read none of them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        path = fresh_path(self.spark, what)
+        out = _write(df, path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """What no later plan reads goes at once."""
+        remove(self.spark, *(self.paths.pop(id(t))[0] for t in tables))
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, *(path for path, _ in self.paths.values()))
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
@@ -52,6 +79,16 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def free_name(base: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    name, n = f"_{base}", 0
+    while name.lower() in taken:
+        n += 1
+        name = f"_{base}_{n}"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does just that for ASCII texts, at a fraction of translate()'s price."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
@@ -59,20 +96,22 @@ def ascii_lower(text: Column) -> Column:
 
 def alnum_words(text: Column) -> Column:
     """The words of a text, lower-cased; none for null."""
-    gapped = F.split(ascii_lower(F.coalesce(text, F.lit(""))), ALNUM_WORD_GAP, -1)
+    gapped = F.split(ascii_lower(F.coalesce(text, F.lit(""))), _GAP_TABLE, -1)
     return F.array_remove(gapped, "")
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, most: int):
-    """While plans of wide rows run, Arrow batches hold at most `most` rows; the session's setting is put back."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
+def arrow_rows(spark: SparkSession, most: int, size: int = 4 << 20):
+    """While plans of wide rows run, Arrow batches hold at most `most` rows and about `size` bytes; the session's settings are put back."""
+    rows, limit = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = {k: spark.conf.get(k) for k in (rows, limit)}
+    spark.conf.set(rows, str(min(most, int(before[rows])) if int(before[rows]) > 0 else most))
+    spark.conf.set(limit, str(size))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def give_back() -> None:
