@@ -1,7 +1,7 @@
 """Top-k retrieval over vectors: exact by blocks, merged over shards, and over inverted cells.
 
-The queries are a stated set and stay in memory in blocks of `query_block`; the index side is streamed in Arrow batches, so each task multiplies one
-batch by one block of queries and keeps k rows per query. What is shuffled is k rows per query and task, merged by a final top-k.
+The queries are a stated set and stay in memory in blocks of bounded size; the index side is streamed in Arrow batches, so each task multiplies one
+batch by `query_block` queries at a time and keeps the k best rows of each query so far. What is shuffled is k rows per query and task, merged by a final top-k.
 Scores are rounded to `DIGITS` decimals before ranking, so that the order doesn't hang on how a matrix product was blocked; ties go to the smaller uid.
 """
 
@@ -45,20 +45,38 @@ def best_of(scores: np.ndarray, uids: np.ndarray, k: int) -> tuple[np.ndarray, n
     return rows[place < k], columns[place < k]
 
 
+class RunningTop:
+    """The k best (row, uid, score) of each query over all that was added."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.rows, self.uids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, rows: np.ndarray, uids: np.ndarray, scores: np.ndarray) -> None:
+        rows, uids, scores = (np.concatenate(x) for x in ((self.rows, rows), (self.uids, uids), (self.scores, scores)))
+        order = np.lexsort((uids, -scores, rows))
+        ordered = rows[order]
+        kept = order[np.arange(len(order)) - np.searchsorted(ordered, ordered) < self.k]
+        self.rows, self.uids, self.scores = rows[kept], uids[kept], scores[kept]
+
+
 def partial_top_k(index: DataFrame, mentions: np.ndarray, queries: np.ndarray, k: int, metric: str, query_block: int = 1024) -> DataFrame:
-    """(mention, uid, score): the k best of each batch of index (uid, embedding)."""
+    """(mention, uid, score): the k best of each task's share of index (uid, embedding)."""
     shared = index.sparkSession.sparkContext.broadcast((mentions, queries))
 
     def run(iterator):
         ids, q = shared.value
+        tops = [RunningTop(k) for _ in range(0, len(ids), query_block)]
         for batch in iterator:
             if not batch.num_rows or not len(ids):
                 continue
             uids, vectors = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
-            for at in range(0, len(ids), query_block):
-                scores = score_block(q[at : at + query_block], vectors, metric)
+            for b, top in enumerate(tops):
+                scores = score_block(q[b * query_block : (b + 1) * query_block], vectors, metric)
                 rows, columns = best_of(scores, uids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + rows]), pa.array(uids[columns]), pa.array(scores[rows, columns])], ["mention", "uid", "score"])
+                top.add(rows, uids[columns], scores[rows, columns])
+        for b, top in enumerate(tops):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[b * query_block + top.rows]), pa.array(top.uids), pa.array(top.scores)], ["mention", "uid", "score"])
 
     return index.select("uid", "embedding").where(F.col("embedding").isNotNull()).mapInArrow(run, "mention long, uid long, score double")
 
@@ -69,11 +87,11 @@ def merge_top_k(partial: DataFrame, k: int) -> DataFrame:
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("mention", "rank", "uid", "score")
 
 
-def query_blocks(queries: DataFrame, most: int = 200_000):
-    """(mentions, matrix) blocks of at most `most` queries: what is broadcast at once is bounded."""
+def query_blocks(queries: DataFrame, most: int = 200_000, size: int = 256 << 20):
+    """(mentions, matrix) blocks of at most `most` queries and about `size` bytes: what is broadcast at once is bounded."""
     rows = queries.select("mention", "embedding").where(F.col("embedding").isNotNull())
-    n = rows.count()
-    blocks = max(1, -(-n // most))
+    found = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("d")).first()
+    blocks = max(1, -(-found["n"] // max(1, min(most, size // (8 * max(1, found["d"]))))))
     for b in range(blocks):
         table = rows.where(F.pmod(F.xxhash64("mention"), F.lit(blocks)) == b).toArrow().combine_chunks()
         yield table.column(0).to_numpy(), _matrix(table.column(1).combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.float32())))
@@ -108,20 +126,34 @@ def factory_string(kind: str, n: int, codes: int = 16, bits: int = 8, opq: bool
     return f"OPQ{codes},{text}" if opq and "PQ" in text else text
 
 
-def train_cells(index: DataFrame, cells: int, sample: int = 50_000, rounds: int = 12, seed: int = 3) -> np.ndarray:
-    """Centroids by k-means on at most `sample` vectors, those with the smallest hashes of their uids."""
-    table = index.where(F.col("embedding").isNotNull()).orderBy(F.xxhash64("uid")).limit(sample).select("embedding").toArrow().combine_chunks()
-    x = _matrix(table.column(0).combine_chunks())
+def sampled_vectors(index: DataFrame, sample: int) -> np.ndarray:
+    """At most `sample` vectors, those with the smallest hashes of their uids; no partition sends much more than its share to the driver."""
+    rows = index.where(F.col("embedding").isNotNull()).select("uid", "embedding", F.xxhash64("uid").alias("place"))
+    n = rows.count()
+    if n > 2 * sample:
+        rows = rows.where(F.col("place") <= int(-(2.0**63) + 2.0**64 * 1.2 * sample / n))
+    table = rows.orderBy("place", "uid").limit(sample).select("embedding").toArrow().combine_chunks()
+    return _matrix(table.column(0).combine_chunks()) if table.num_rows else np.zeros((0, 0))
+
+
+def k_means(x: np.ndarray, cells: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
+    """At most `cells` centroids of the rows of x."""
     rng = np.random.default_rng(seed)
     centers = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(rounds):
         nearest = (x @ centers.T - (centers**2).sum(axis=1) / 2).argmax(axis=1)
-        for c in range(len(centers)):
-            own = x[nearest == c]
-            centers[c] = own.mean(axis=0) if len(own) else x[rng.integers(len(x))]
+        counts = np.bincount(nearest, minlength=len(centers))
+        sums = np.zeros_like(centers)
+        np.add.at(sums, nearest, x)
+        centers = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], x[rng.integers(len(x), size=len(centers))])
     return centers
 
 
+def train_cells(index: DataFrame, cells: int, sample: int = 50_000, rounds: int = 12, seed: int = 3) -> np.ndarray:
+    """Centroids by k-means on at most `sample` vectors."""
+    return k_means(sampled_vectors(index, sample), cells, rounds, seed)
+
+
 def assign_cells(df: DataFrame, id_col: str, centers: np.ndarray, probes: int) -> DataFrame:
     """(id, embedding, cell): each vector with its `probes` nearest cells."""
     shared = df.sparkSession.sparkContext.broadcast(centers)
