@@ -28,8 +28,19 @@ def hashing_encoder(dim: int) -> Encoder:
     return run
 
 
-def _lists(x: np.ndarray) -> pa.Array:
-    flat = pa.array(np.ascontiguousarray(x, np.float32).ravel())
+def letter_encoder(dim: int) -> Encoder:
+    """Unit vectors of the counts of characters by their code modulo dim: one that SQL can say too."""
+
+    def run(texts: list[str]) -> np.ndarray:
+        codes = [[ord(c) % dim for c in (t or "").lower()] for t in texts]
+        out = np.stack([np.bincount(c, minlength=dim) for c in codes]).astype(np.float64) if codes else np.zeros((0, dim))
+        return out / np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), 1e-12)
+
+    return run
+
+
+def _lists(x: np.ndarray, kind=np.float32) -> pa.Array:
+    flat = pa.array(np.ascontiguousarray(x, kind).ravel())
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), flat)
 
 
@@ -57,6 +68,12 @@ class Projection:
         rng = np.random.default_rng(seed)
         return cls(rng.normal(0, size**-0.5, (size, out)), np.zeros(out))
 
+    @classmethod
+    def stepped(cls, size: int, out: int) -> Projection:
+        """Small weights by rule, for comparisons."""
+        i, j = np.indices((size, out))
+        return cls(((i * 7 + j * 13) % 11 - 5) / 10, np.zeros(out))
+
     @staticmethod
     def normalise(x: np.ndarray, eps: float = 1e-5) -> np.ndarray:
         return (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + eps)
@@ -70,6 +87,6 @@ def project(df: DataFrame, id_col: str, column: str, head: Projection) -> DataFr
         for rows in iterator:
             if rows.num_rows:
                 x = rows.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([rows.column(0), _lists(head(x))], [id_col, column])
+                yield pa.RecordBatch.from_arrays([rows.column(0), _lists(head(x), np.float64)], [id_col, column])
 
-    return df.select(F.col(id_col).cast("long"), column).where(F.col(column).isNotNull()).mapInArrow(run, f"{id_col} long, {column} array<float>")
+    return df.select(F.col(id_col).cast("long"), column).where(F.col(column).isNotNull()).mapInArrow(run, f"{id_col} long, {column} array<double>")

@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexilink.operators.corpus import replace_in_order
+
 _PARENTHESES = re.compile(r"([^()\n]*?)\s*\(([^()\n]{2,60})\)")
 
 
@@ -55,10 +57,19 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInPandas(run, "doc long, ord long, short string, long string")
 
 
-def parse_extractor_output(lines: DataFrame) -> DataFrame:
-    """(doc, short, long, score) from lines `id|...` and, below each, `short|long|score`; lines has (ord, line, doc)."""
+def parse_extractor_output(lines: DataFrame, block: int = 1_000_000) -> DataFrame:
+    """(doc, short, long, score) from lines (ord, line): a header `id|...` names the document of the rows `short|long|score` below it.
+
+    A header holds until the next one: within blocks of lines by a window, and from block to block by each block's last header."""
     parts = F.split("line", r"\|", -1)
-    rows = lines.withColumn("parts", parts).where((F.size("parts") == 3) & F.get("parts", F.lit(2)).try_cast("double").isNotNull())
+    is_row = (F.size(parts) == 3) & F.get(parts, F.lit(2)).try_cast("double").isNotNull()
+    header = F.when(F.get(parts, F.lit(0)).rlike(r"^\d+$") & ~is_row, F.get(parts, F.lit(0)).cast("int"))
+    blocks = lines.select("ord", parts.alias("parts"), header.alias("header"), F.floor(F.col("ord") / block).alias("block"))
+    last = blocks.groupBy("block").agg(F.max_by("header", F.when(F.col("header").isNotNull(), F.col("ord"))).alias("last"))
+    before = last.select("block", F.last("last", ignorenulls=True).over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    within = F.last("header", ignorenulls=True).over(Window.partitionBy("block").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    known = blocks.withColumn("within", within).join(F.broadcast(before), "block").withColumn("doc", F.coalesce("within", "before"))
+    rows = known.where((F.size("parts") == 3) & F.get("parts", F.lit(2)).try_cast("double").isNotNull())
     return rows.select("doc", F.trim(F.get("parts", F.lit(0))).alias("short"), F.trim(F.get("parts", F.lit(1))).alias("long"), F.get("parts", F.lit(2)).cast("double").alias("score"))
 
 
@@ -73,21 +84,22 @@ def relocate(text: str, mentions: list[str]) -> list[tuple[int, int] | None]:
 
 
 def remap_mentions(passages: DataFrame) -> DataFrame:
-    """(doc, passage_id, mention, start, end) of the mentions that are found; passages has (doc, passage_id, text, mentions)."""
+    """(doc, passage_id, mention, start, end, place) of the mentions that are found, in offsets of the document, with their places in the passage by start.
+
+    passages has (doc, passage_id, offset, text, mentions); mentions are in the order of the text."""
 
     def run(iterator):
         for pdf in iterator:
-            rows = [
-                (doc, pid, m, *span)
-                for doc, pid, text, mentions in pdf[["doc", "passage_id", "text", "mentions"]].itertuples(index=False)
-                for m, span in zip(mentions, relocate(text or "", list(mentions)), strict=True)
-                if span
-            ]
-            yield pd.DataFrame(rows, columns=["doc", "passage_id", "mention", "start", "end"])
+            rows = []
+            for doc, pid, offset, text, mentions in pdf[["doc", "passage_id", "offset", "text", "mentions"]].itertuples(index=False):
+                mentions = [] if mentions is None else list(mentions)
+                found = sorted((span, m) for m, span in zip(mentions, relocate(text or "", mentions), strict=True) if span)
+                rows += [(doc, pid, m, offset + start, offset + end, k) for k, ((start, end), m) in enumerate(found, 1)]
+            yield pd.DataFrame(rows, columns=["doc", "passage_id", "mention", "start", "end", "place"])
 
-    return passages.select("doc", "passage_id", "text", "mentions").mapInPandas(run, "doc long, passage_id long, mention string, start long, end long")
+    return passages.select("doc", "passage_id", "offset", "text", "mentions").mapInPandas(run, "doc long, passage_id long, mention string, start long, end long, place int")
 
 
-def expand(text: Column, short: Column, long: Column) -> Column:
-    """A whole mention that equals a short form becomes the long form."""
-    return F.when(text == short, long).otherwise(text)
+def expand(rows: DataFrame, text: str, mentions: str, pairs: str) -> DataFrame:
+    """rows with every pair's short form replaced by its long form, in their order, in the text and within each of its mentions."""
+    return rows.withColumns({text: replace_in_order(F.col(text), F.col(pairs)), mentions: F.transform(mentions, lambda m: F.aggregate(pairs, m, lambda t, p: F.replace(t, p["short"], p["long"])))})

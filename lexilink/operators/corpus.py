@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,11 +87,12 @@ def mark_mentions(text: Column, spans: Column, start_mark: str = "[MS] ", end_ma
 
 
 def extract_mentions(tokens: Column, start: int, end: int) -> Column:
-    """The token runs between start and end marks, in order; pairs the k-th start with the k-th end."""
+    """The token runs between start and end marks, in order; pairs the k-th start with the k-th end. Other numbers of starts than of ends are an error."""
     at = F.sequence(F.lit(0), F.size(tokens) - 1)
     starts = F.filter(at, lambda i: F.get(tokens, i) == start)
     ends = F.filter(at, lambda i: F.get(tokens, i) == end)
-    return F.zip_with(starts, ends, lambda a, b: F.slice(tokens, a + 2, b - a - 1))
+    runs = F.zip_with(starts, ends, lambda a, b: F.slice(tokens, a + 2, b - a - 1))
+    return F.when(F.size(starts) == F.size(ends), runs).otherwise(F.raise_error(F.lit("start and end marks don't pair")).cast("array<array<int>>"))
 
 
 def context_window(left: Column, mention: Column, right: Column, most: int) -> Column:
@@ -134,3 +137,27 @@ def clean_abbreviations(pairs: DataFrame) -> DataFrame:
 def last_dictionary(pairs: DataFrame, order: str) -> DataFrame:
     """(doc, short, long) over several dictionaries; the last one with an entry wins."""
     return pairs.groupBy("doc", "short").agg(F.max_by("long", order).alias("long"))
+
+
+def concat_splits(splits: dict[str, DataFrame]) -> DataFrame:
+    """Corpora of like columns one after another, each row with the name of its split."""
+    return reduce(DataFrame.unionByName, [df.withColumn("split", F.lit(name)) for name, df in splits.items()])
+
+
+def only_test_of(rows: DataFrame, corpus: str, names: list[str]) -> DataFrame:
+    """Rows of all splits, but of the named corpora those of the test split only."""
+    return rows.where(~F.col(corpus).isin(names) | (F.col("split") == "test"))
+
+
+def first_token(states: Column) -> Column:
+    """The state of the first token of a sequence stands for all."""
+    return F.get(states, F.lit(0))
+
+
+def split_arrays(packed: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row for each place of arrays that run in parallel; arrays of different lengths are an error."""
+    even = F.array_min(F.array(*[F.size(c) for c in columns])) == F.array_max(F.array(*[F.size(c) for c in columns]))
+    zipped = F.arrays_zip(*columns)
+    off = F.raise_error(F.concat(F.lit("arrays of different lengths in "), F.col(key).cast("string")))
+    checked = packed.select(key, F.when(even, zipped).otherwise(off.cast(packed.select(zipped.alias("z")).schema["z"].dataType)).alias("z"))
+    return checked.select(key, F.explode("z").alias("z")).select(key, *[F.col("z")[c].alias(c) for c in columns])

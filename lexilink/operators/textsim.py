@@ -29,12 +29,24 @@ def unit_vectors(rows: DataFrame, key: list[str], text: str, idf: DataFrame) ->
 
 
 def best_names(mentions: DataFrame, choices: DataFrame, idf: DataFrame, digits: int = 6) -> DataFrame:
-    """(mention, ord, name, score): the most similar of each mention's own choices (mention, ord, name), the first of equals. Only a mention's choices are compared."""
-    m = unit_vectors(mentions, ["mention"], "text", idf)
-    c = unit_vectors(choices, ["mention", "ord"], "name", idf).withColumnRenamed("weight", "other")
-    scores = c.join(m, ["mention", "gram"]).groupBy("mention", "ord").agg(F.sum(F.col("weight") * F.col("other")).alias("score"))
-    every = choices.join(scores, ["mention", "ord"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), digits))
-    return every.groupBy("mention").agg(F.max(F.struct("score", (-F.col("ord")).alias("back"), "name")).alias("best")).select("mention", (-F.col("best.back")).alias("ord"), F.col("best.name").alias("name"), F.col("best.score").alias("score"))
+    """(mention, ord, name, score): the most similar of the choices (key, ord, name) under each mention's own key (mention, key, text), the first of equals.
+
+    Vectors are made of each distinct text and name of a key once, however many mentions and choices have it, and only those of one key that share a trigram meet."""
+    texts = mentions.select("key", F.lower("text").alias("text")).distinct()
+    named = choices.select("key", "ord", "name", F.lower("name").alias("lower")).groupBy("key", "lower").agg(F.min(F.struct("ord", "name")).alias("first"))
+    names = named.select("key", "lower", "first.ord", "first.name")
+    of_text = unit_vectors(texts.select("text").distinct(), ["text"], "text", idf)
+    of_name = unit_vectors(names.select("lower").distinct(), ["lower"], "lower", idf).withColumnRenamed("weight", "other")
+    left, right = texts.join(of_text, "text"), names.select("key", "lower").join(of_name, "lower")
+    scores = left.join(right, ["key", "gram"]).groupBy("key", "text", "lower").agg(F.sum(F.col("weight") * F.col("other")).alias("score"))
+    place = F.struct(F.round("score", digits).alias("score"), (-F.col("ord")).alias("back"), "name")
+    shared = scores.join(names, ["key", "lower"]).groupBy("key", "text").agg(F.max(place).alias("best"))
+    # Where no name shares a trigram all have score 0, and the first of the key stands.
+    first = names.groupBy("key").agg(F.min(F.struct("ord", "name")).alias("first"))
+    found = texts.join(first, "key").join(shared, ["key", "text"], "left")
+    best = found.select("key", "text", F.coalesce(F.when(F.col("best.score") > 0, F.col("best")), F.struct(F.lit(0.0).alias("score"), (-F.col("first.ord")).alias("back"), F.col("first.name").alias("name"))).alias("best"))
+    each = mentions.select("mention", "key", F.lower("text").alias("text")).join(best, ["key", "text"])
+    return each.select("mention", (-F.col("best.back")).alias("ord"), F.col("best.name").alias("name"), F.col("best.score").alias("score"))
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -84,3 +96,36 @@ def trie_leaves(sequences: DataFrame, column: str) -> DataFrame:
     """Sequences that no other one continues."""
     s = sequences.select(F.col(column).alias("tokens")).distinct()
     return s.join(trie_children(sequences, column).select(F.col("prefix").alias("tokens")).distinct(), "tokens", "left_anti")
+
+
+def trie_with_fallback(first: DataFrame, second: DataFrame, column: str) -> DataFrame:
+    """(prefix, next, source): children in the first trie (source 0), and in the second (1) those of prefixes that the first lacks."""
+    own = trie_children(first, column)
+    rest = trie_children(second, column).join(own.select("prefix").distinct(), "prefix", "left_anti")
+    return own.withColumn("source", F.lit(0)).unionByName(rest.withColumn("source", F.lit(1)))
+
+
+def letter_counts(text: Column, classes: int = 32) -> Column:
+    """How many characters of each of a few classes a text has: two texts share at most the sum of the lesser counts."""
+    code = F.transform(F.split(text, ""), lambda c: F.ascii(c) % classes)
+    return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.size(F.filter(code, lambda c: c == k)))
+
+
+def ambiguous_counts(mentions: DataFrame, choices: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
+    """at_<t> for each threshold: how many mentions (mention, identifier, text) have a choice (identifier, choice) with an Indel ratio of at least t.
+
+    Texts that are choices themselves have 100 and need no comparison. Of the other distinct pairs only those go to Python whose lengths and letters allow the least
+    threshold, for the common subsequence is at most the shorter length, and at most the letters that both have."""
+    least = min(thresholds)
+    texts = mentions.select("identifier", "text").distinct()
+    own = choices.select("identifier", F.col("choice").alias("text")).distinct()
+    rest = texts.join(own, ["identifier", "text"], "left_anti").withColumn("of_text", letter_counts(F.col("text")))
+    total = F.length("text") + F.length("choice")
+    lengths = 200 * F.least(F.length("text"), F.length("choice")) >= least * total
+    both = F.aggregate(F.zip_with("of_text", "of_choice", lambda a, b: F.least(a, b)), F.lit(0), lambda n, x: n + x)
+    pairs = rest.join(choices.select("identifier", "choice").distinct().withColumn("of_choice", letter_counts(F.col("choice"))), "identifier").where(lengths).where(200 * both >= least * total)
+    pairs = pairs.select("identifier", "text", "choice")
+    scored = with_indel_ratio(pairs.select("text", "choice").distinct(), "text", "choice").where(F.col("ratio") >= least)
+    near = pairs.join(scored, ["text", "choice"]).groupBy("identifier", "text").agg(F.max("ratio").alias("ratio"))
+    best = texts.join(own, ["identifier", "text"], "left_semi").withColumn("ratio", F.lit(100.0)).unionByName(near)
+    return mentions.join(best, ["identifier", "text"]).agg(*[F.count_if(F.col("ratio") >= t).alias(f"at_{t}") for t in thresholds])

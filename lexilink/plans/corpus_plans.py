@@ -60,14 +60,13 @@ def examples_regroup(spark, d):
 def split_passages(spark, d):
     packed = S.passages(spark, d).groupBy("eid").agg(F.array_sort(F.collect_list(F.struct("passage_id", "role", "text"))).alias("s"))
     arrays = packed.select("eid", F.col("s.passage_id").alias("passage_id"), F.col("s.role").alias("role"), F.col("s.text").alias("text"))
-    return arrays.select("eid", F.explode(F.arrays_zip("passage_id", "role", "text")).alias("p")).select("eid", "p.passage_id", "p.role", F.length("p.text").cast("long").alias("n"))
+    return C.split_arrays(arrays, "eid", ["passage_id", "role", "text"]).select("eid", "passage_id", "role", F.length("text").cast("long").alias("n"))
 
 
-@register("corpus_union", f"WITH {PA} SELECT 'train' AS split, count(*) AS n FROM pa WHERE eid % 3 = 0 UNION ALL SELECT 'dev', count(*) FROM pa WHERE eid % 3 = 1")
+@register("corpus_union", f"WITH {PA} SELECT 'train' AS split, count(*) AS n FROM pa WHERE eid % 3 = 0 UNION ALL SELECT 'dev', count(*) FROM pa WHERE eid % 3 = 1 UNION ALL SELECT 'test', count(*) FROM pa WHERE eid % 3 = 2")
 def corpus_union(spark, d):
     p = S.passages(spark, d)
-    both = p.where("eid % 3 = 0").withColumn("split", F.lit("train")).unionByName(p.where("eid % 3 = 1").withColumn("split", F.lit("dev")))
-    return both.groupBy("split").agg(F.count("*").alias("n"))
+    return C.concat_splits({name: p.where(F.col("eid") % 3 == k) for k, name in enumerate(("train", "dev", "test"))}).groupBy("split").agg(F.count("*").alias("n"))
 
 
 # Token arrays: word lengths of a passage, so that SQL can say them too.
@@ -93,9 +92,9 @@ def tokenize_names(spark, d):
     return S.kb(spark, d).select("uid", F.array_join(F.regexp_extract_all(F.lower("name"), F.lit("[a-z]+|[0-9]"), F.lit(0)), " ").alias("tokens"))
 
 
-@register("pad_batch", f"WITH {_TOK}, s AS (SELECT eid, passage_id, tokens[1:40] AS t FROM tk), w AS (SELECT eid, max(len(t)) AS w FROM s GROUP BY eid) SELECT s.eid, passage_id, {_text(_PADR.format(w='w', a='t', v='-1'))} AS padded, {_text(_PADL.format(w='w', a='t', v='-1'))} AS padded_left FROM s JOIN w USING (eid)")
+@register("pad_batch", f"WITH {_TOK}, s AS (SELECT eid, passage_id, tokens AS t FROM tk), w AS (SELECT eid, max(len(t)) AS w FROM s GROUP BY eid) SELECT s.eid, passage_id, {_text(_PADR.format(w='w', a='t', v='-1'))} AS padded, {_text(_PADL.format(w='w', a='t', v='-1'))} AS padded_left FROM s JOIN w USING (eid)")
 def pad_batch(spark, d):
-    rows = _tokens(spark, d).withColumn("tokens", F.slice("tokens", 1, 40)).withColumn("left", F.col("tokens"))
+    rows = _tokens(spark, d).withColumn("left", F.col("tokens"))
     both = C.pad_batch(C.pad_batch(rows, "eid", "tokens").drop("width"), "eid", "left", "left")
     return both.select("eid", "passage_id", _joined("tokens").alias("padded"), _joined("left").alias("padded_left"))
 
@@ -105,15 +104,16 @@ def encode_names(spark, d):
     return _tokens(spark, d).select("eid", "passage_id", _joined(C.encode_name(F.col("tokens"), 16, CLS, SEP)).alias("encoded"))
 
 
-@register("add_special_tokens", f"WITH {_TOK}, p AS (SELECT eid, passage_id, list_transform(tokens[1:20], lambda x: x + 1) AS t FROM tk) SELECT eid, passage_id, {_text(_PADR.format(w=22, a='list_concat([101], t, [102])', v='0'))} AS encoded FROM p")
+@register("add_special_tokens", f"WITH {_TOK}, p AS (SELECT eid, passage_id, list_transform(tokens, lambda x: x + 1) AS t, max(len(tokens)) OVER (PARTITION BY eid) + 2 AS w FROM tk) SELECT eid, passage_id, {_text(_PADR.format(w='w', a='list_concat([101], t, [102])', v='0'))} AS encoded FROM p")
 def add_special_tokens(spark, d):
-    padded = C.pad(F.transform(F.slice("tokens", 1, 20), lambda x: x + 1), 20, value=0)
-    return _tokens(spark, d).select("eid", "passage_id", _joined(C.add_special_tokens(padded, CLS, SEP)).alias("encoded"))
+    rows = _tokens(spark, d).withColumn("tokens", F.transform("tokens", lambda x: x + 1))
+    padded = C.pad_batch(rows, "eid", "tokens", value=0)
+    return padded.select("eid", "passage_id", _joined(C.add_special_tokens(F.col("tokens"), CLS, SEP)).alias("encoded"))
 
 
-@register("attention_mask", f"WITH {_TOK} SELECT eid, passage_id, {_text('list_transform(tokens[1:30], lambda x: CAST(x <> 2 AS INT))')} AS mask, {_text('list_transform(tokens[1:30], lambda x: CAST(x = 3 OR x = 4 AS INT))')} AS global_mask FROM tk")
+@register("attention_mask", f"WITH {_TOK} SELECT eid, passage_id, {_text('list_transform(tokens, lambda x: CAST(x <> 2 AS INT))')} AS mask, {_text('list_transform(tokens, lambda x: CAST(x = 3 OR x = 4 AS INT))')} AS global_mask FROM tk")
 def attention_mask(spark, d):
-    t = F.slice("tokens", 1, 30)
+    t = F.col("tokens")
     return _tokens(spark, d).select("eid", "passage_id", _joined(C.attention_mask(t, 2)).alias("mask"), _joined(C.global_attention_mask(t, [3, 4])).alias("global_mask"))
 
 
@@ -184,11 +184,11 @@ def mention_markers(spark, d):
     return S.passages(spark, d).select("eid", "passage_id", C.mark_mentions(F.col("text"), spans).alias("marked"))
 
 
-@register("char_to_token_spans", f"WITH {PA}, w AS (SELECT eid, passage_id, ws, unnest(generate_series(1, len(ws))) AS i FROM (SELECT *, string_split(text, ' ') AS ws FROM pa)), t AS (SELECT eid, passage_id, CAST(i - 1 AS INT) AS token, CAST(list_sum(list_concat([0], list_transform(ws[1:i - 1], lambda x: length(x) + 1))) AS BIGINT) AS s, length(ws[i]) AS n FROM w) SELECT a.eid, a.passage_id, a.s AS start, a.token AS first_token, b.token AS last_token FROM t a JOIN t b ON a.eid = b.eid AND a.passage_id = b.passage_id AND b.token = a.token + 1 WHERE a.token % 5 = 0")
+@register("char_to_token_spans", f"WITH {PA}, w AS (SELECT eid, passage_id, ws, unnest(generate_series(1, len(ws))) AS i FROM (SELECT *, string_split(text, ' ') AS ws FROM pa)), t AS (SELECT eid, passage_id, CAST(i - 1 AS INT) AS token, CAST(list_sum(list_concat([0], list_transform(ws[1:i - 1], lambda x: length(x) + 1))) AS BIGINT) AS s, length(ws[i]) AS n FROM w) SELECT a.eid, a.passage_id, a.s AS start, a.token AS first_token, b.token AS last_token FROM t a JOIN t b ON a.eid = b.eid AND a.passage_id = b.passage_id AND b.token = a.token + 1")
 def char_to_token_spans(spark, d):
     t = C.tokens_with_offsets(S.passages(spark, d), ["eid", "passage_id"], "text")
     nxt = t.select("eid", "passage_id", (F.col("token") - 1).alias("token"), F.col("end").alias("span_end"))
-    spans = t.where("token % 5 = 0").join(nxt, ["eid", "passage_id", "token"]).select("eid", "passage_id", "start", F.col("span_end").alias("end"))
+    spans = t.join(nxt, ["eid", "passage_id", "token"]).select("eid", "passage_id", "start", F.col("span_end").alias("end"))
     return C.char_to_token_spans(spans, t, ["eid", "passage_id"]).select("eid", "passage_id", "start", "first_token", "last_token")
 
 
@@ -204,7 +204,7 @@ _GRAM = "list_transform(generate_series(1, greatest(0, length({c}) - 2)), lambda
 @register(
     "tfidf_best_name",
     f"""WITH {KB}, n AS (SELECT DISTINCT lower(name) AS name FROM kb), idf AS (SELECT g, ln((1.0 + (SELECT count(*) FROM n)) / (1.0 + count(*))) + 1.0 AS w FROM (SELECT DISTINCT name, unnest({_GRAM.format(c='name')}) AS g FROM n) GROUP BY g),
-    m AS (SELECT p_partkey AS mention, lower(p_name) AS text, p_brand FROM part WHERE p_partkey % 10 = 0), c AS (SELECT m.mention, kb.uid AS ord, kb.name FROM m JOIN kb ON kb.string_identifier = m.p_brand),
+    m AS (SELECT p_partkey AS mention, lower(p_name) AS text, p_brand FROM part), c AS (SELECT m.mention, kb.uid AS ord, kb.name FROM m JOIN kb ON kb.string_identifier = m.p_brand),
     mv AS (SELECT mention, g, count(*) * any_value(w) AS x FROM (SELECT mention, unnest({_GRAM.format(c='text')}) AS g FROM m) JOIN idf USING (g) GROUP BY mention, g), mn AS (SELECT mention, sqrt(sum(x * x)) AS l FROM mv GROUP BY mention),
     cv AS (SELECT uid, g, count(*) * any_value(w) AS x FROM (SELECT uid, unnest({_GRAM.format(c='lower(name)')}) AS g FROM kb) JOIN idf USING (g) GROUP BY uid, g), cn AS (SELECT uid, sqrt(sum(x * x)) AS l FROM cv GROUP BY uid),
     sc AS (SELECT c.mention, c.ord, sum((mv.x / mn.l) * (cv.x / cn.l)) AS s FROM c JOIN mv ON c.mention = mv.mention JOIN cv ON cv.uid = c.ord AND cv.g = mv.g JOIN mn ON mn.mention = c.mention JOIN cn ON cn.uid = c.ord GROUP BY ALL)
@@ -212,9 +212,9 @@ _GRAM = "list_transform(generate_series(1, greatest(0, length({c}) - 2)), lambda
 )
 def tfidf_best_name(spark, d):
     kb = S.kb(spark, d)
-    mentions = S.table(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("mention"), F.col("p_name").alias("text"), F.col("p_brand").alias("string_identifier"))
-    choices = mentions.select("mention", "string_identifier").join(kb, "string_identifier").select("mention", F.col("uid").alias("ord"), "name")
-    return X.best_names(mentions.select("mention", "text"), choices, X.inverse_frequencies(kb))
+    mentions = S.table(spark, d, "part").select(F.col("p_partkey").alias("mention"), F.col("p_brand").alias("key"), F.col("p_name").alias("text"))
+    choices = kb.select(F.col("string_identifier").alias("key"), F.col("uid").alias("ord"), "name")
+    return X.best_names(mentions, choices, X.inverse_frequencies(kb))
 
 
 def _choices(spark, d):
@@ -239,13 +239,9 @@ def indel_ratio(spark, d):
 
 @register("ambiguous_mentions")
 def ambiguous_mentions(spark, d):
+    """How many mentions, names of the knowledge base, have a homonym among the names of their own identifier that is alike to so many percent."""
     mentions, choices = _choices(spark, d)
-    # Each distinct pair is compared once, for all the identifiers that have it.
-    pairs = mentions.select("identifier", "text").distinct().join(choices, "identifier").groupBy("text", "choice").agg(F.collect_list("identifier").alias("identifiers"))
-    scored = X.with_indel_ratio(pairs, "text", "choice").select(F.explode("identifiers").alias("identifier"), "text", "ratio")
-    of_text = scored.groupBy("identifier", "text").agg(F.max("ratio").alias("ratio"))
-    best = mentions.join(of_text, ["identifier", "text"]).groupBy("mention").agg(F.max("ratio").alias("ratio"))
-    return best.agg(*[F.count_if(F.col("ratio") >= t).alias(f"at_{t}") for t in (80, 85, 95, 100)])
+    return X.ambiguous_counts(mentions, choices, (80, 85, 95, 100))
 
 
 _FUZZY = r"trim(regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_]', ' ', 'g'), ' +', ' ', 'g'))"
@@ -254,11 +250,11 @@ _FUZZY = r"trim(regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}_]',
 @register(
     "ambiguous_exact",
     f"""WITH {KB}, h AS (SELECT uid FROM kb WHERE name IN (SELECT name FROM kb GROUP BY name HAVING count(DISTINCT foreign_identifier) > 1) OR (name, foreign_identifier) IN (SELECT (name, foreign_identifier) FROM kb GROUP BY name, foreign_identifier HAVING count(DISTINCT identifier) > 1))
-    SELECT count(DISTINCT m.uid) AS n FROM kb m JOIN kb c ON m.identifier = c.identifier AND {_FUZZY.format(c='m.name')} = {_FUZZY.format(c='c.name')} WHERE m.uid % 5 = 0 AND c.uid IN (SELECT uid FROM h)""",
+    SELECT count(DISTINCT m.uid) AS n FROM kb m JOIN kb c ON m.identifier = c.identifier AND {_FUZZY.format(c='m.name')} = {_FUZZY.format(c='c.name')} WHERE c.uid IN (SELECT uid FROM h)""",
 )
 def ambiguous_exact(spark, d):
     mentions, choices = _choices(spark, d)
-    found = mentions.where("mention % 5 = 0").join(choices, "identifier").where(F.col("text") == F.col("choice"))
+    found = mentions.join(choices, "identifier").where(F.col("text") == F.col("choice"))
     return found.agg(F.count_distinct("mention").alias("n"))
 
 
@@ -274,11 +270,7 @@ def _pairs(spark):
 
 @register("ab3p_output_parse", "SELECT * FROM (VALUES (1, 'MS', 'multiple sclerosis', 0.99::DOUBLE), (2, 'AD', 'Alzheimer disease', 0.95::DOUBLE), (2, '-GT', '-glucosyl transferase', 0.8::DOUBLE)) v(doc, short, long, score)")
 def ab3p_output_parse(spark, d):
-    doc, rows = 0, []
-    for k, line in enumerate(_LINES):
-        doc = int(line.split("|")[0]) if line.split("|")[0].isdigit() else doc
-        rows.append((k, line, doc))
-    return A.parse_extractor_output(spark.createDataFrame(rows, "ord int, line string, doc int"))
+    return A.parse_extractor_output(spark.createDataFrame(list(enumerate(_LINES)), "ord int, line string"))
 
 
 @register("abbr_clean", f"WITH {_PAIRS_SQL} SELECT * FROM p UNION ALL SELECT doc, ord, trim(replace(short, '-', '')), trim(replace(long, '-', '')) FROM p WHERE contains(short, ' -')")
@@ -299,13 +291,30 @@ def abbr_expand(spark, d):
     return S.passages(spark, d).select("eid", "passage_id", F.md5(C.replace_in_order(F.col("text"), pairs)).alias("expanded"))
 
 
-@register("remap_mentions")
+@register("remap_mentions", f"WITH {PA}, o AS (SELECT *, CAST(coalesce(sum(length(text)) OVER (PARTITION BY eid ORDER BY passage_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o, string_split(text, ' ') AS ws FROM pa), w AS (SELECT eid, passage_id, o, ws, unnest(generate_series(1, len(ws))) AS i FROM o), f AS (SELECT eid, passage_id, ws[i] AS mention, o + CAST(list_sum(list_concat([0], list_transform(ws[1:i - 1], lambda x: length(x) + 1))) AS BIGINT) AS start FROM w WHERE ws[i] <> '') SELECT eid AS doc, CAST(passage_id AS BIGINT) AS passage_id, mention, start, start + length(mention) AS \"end\", CAST(row_number() OVER (PARTITION BY eid, passage_id ORDER BY start) AS INT) AS place FROM f")
 def remap_mentions(spark, d):
-    p = S.passages(spark, d).select(F.col("eid").alias("doc"), F.col("passage_id").cast("long").alias("passage_id"), "text", F.slice(F.split("text", " ", -1), 2, 4).alias("mentions"))
-    return A.remap_mentions(p)
+    """Every word of every passage, found again in document offsets and in order of place."""
+    p = C.passage_offsets(S.passages(spark, d), "eid", "passage_id")
+    return A.remap_mentions(p.select(F.col("eid").alias("doc"), F.col("passage_id").cast("long").alias("passage_id"), F.col("offset").cast("long").alias("offset"), "text", F.split("text", " ", -1).alias("mentions")))
 
 
-@register("abbr_extract")
+@register("abbr_extract", "SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 'MS', 'multiple sclerosis'), (1, 1, 'AD', 'Alzheimer disease')) v(doc, ord, short, long)")
 def abbr_extract(spark, d):
     rows = [(1, "We saw multiple sclerosis (MS) and Alzheimer disease (AD, old)."), (2, "no (x) here"), (3, None)]
     return A.extract(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+
+
+@register("abbr_documents", "SELECT doc_id AS doc, 'XQZ' AS short, 'xeno quartz zone' AS long FROM documents WHERE text IS NOT NULL")
+def abbr_documents(spark, d):
+    """Every document, with one definition put in front of its text, is read for definitions."""
+    docs = S.table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.lit("The xeno quartz zone (XQZ) is known.\n"), "text").alias("text"))
+    return A.extract(docs, "doc_id", "text").where("short = 'XQZ'").select("doc", "short", "long")
+
+
+@register("abbr_mentions", f"WITH {PA} SELECT eid, passage_id, replace(replace(string_split(text, ' ')[1], 'th', 'ter'), 'er', 'long') AS mention, md5(replace(replace(text, 'th', 'ter'), 'er', 'long')) AS text FROM pa")
+def abbr_mentions(spark, d):
+    """Short forms go from a text and from the mentions in it alike, also within a mention."""
+    pairs = F.array(F.struct(F.lit("th").alias("short"), F.lit("ter").alias("long")), F.struct(F.lit("er").alias("short"), F.lit("long").alias("long")))
+    rows = S.passages(spark, d).withColumns({"mentions": F.slice(F.split("text", " ", -1), 1, 1), "pairs": pairs})
+    done = A.expand(rows, "text", "mentions", "pairs")
+    return done.select("eid", "passage_id", F.get("mentions", F.lit(0)).alias("mention"), F.md5("text").alias("text"))

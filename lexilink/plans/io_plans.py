@@ -29,10 +29,13 @@ _SAMPLE = """100|t|Effect of BRCA1 in patients.
 """
 
 
-@register("pubtator_parse")
+@register("pubtator_parse", """SELECT * FROM (VALUES (100::BIGINT, 10, 15, 'BRCA1', 'Gene', '672/675', 'Effect of BRCA1 in patients.'), (100, 19, 27, 'patients', 'OrganismTaxon', '9606', 'Effect of BRCA1 in patients.'),
+(200, 0, 3, 'Rat', 'OrganismTaxon', '10116', 'Rat.'), (200, 0, 3, 'Rat', 'Species', '', 'Rat.')) v(pmid, start, "end", text, type, ids, title)""")
 def pubtator_parse(spark, d):
+    """What a file can hold besides annotations: relations, empty lines, bars in texts, prefixes, placeholders. Whole tables go through pubtator_files."""
     lines = spark.createDataFrame([(x,) for x in _SAMPLE.split("\n")], "value string")
-    return P.parse_annotations(lines).join(P.parse_texts(lines).where("kind = 't'").select("pmid", F.col("text").alias("title")), "pmid")
+    found = P.parse_annotations(lines).join(P.parse_texts(lines).where("kind = 't'").select("pmid", F.col("text").alias("title")), "pmid")
+    return found.withColumn("ids", F.array_join("ids", "/"))
 
 
 @register("pubtator_format", f"WITH {PA}, r AS (SELECT *, row_number() OVER (PARTITION BY eid ORDER BY passage_id) AS k FROM pa) SELECT eid, eid || '|t|' || max(text) FILTER (WHERE k = 1) AS title, eid || '|a|' || coalesce(string_agg(text, ' ' ORDER BY k) FILTER (WHERE k > 1), '') AS abstract FROM r GROUP BY eid")
@@ -98,12 +101,12 @@ def block_ranges(spark, d):
     return total.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(1000).cast("long"))).alias("lo"), "n").select("lo", F.least(F.col("lo") + 1000, "n").alias("hi"))
 
 
-@register("sink_roundtrip")
+@register("sink_roundtrip", "SELECT vec_id AS uid, len(embedding) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 5) AS total FROM embeddings")
 def sink_roundtrip(spark, d):
     """Embeddings written in shards of fixed row counts and read back."""
     path = f"{R.scratch(spark)}/roundtrip-{uuid.uuid4().hex}"
     S.table(spark, d, "embeddings").select(F.col("vec_id").alias("uid"), "embedding").write.option("maxRecordsPerFile", 200).option("compression", "gzip").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("uid", F.size("embedding").cast("long").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
 
 
 @register("blink_mentions", f"WITH {AN} SELECT to_json({{'mention_id': doc * 100 + start, 'start_index': start, 'label_document_id': id}}) AS line FROM (SELECT *, unnest([identifier, supplier]) AS id FROM an WHERE NOT is_foreign)")
@@ -203,16 +206,27 @@ def best_run(spark, d):
     return steps.groupBy("run").agg(F.max_by("step", F.struct("m", "step")).alias("step"))
 
 
-@register("encode_seam")
+@register(
+    "encode_seam",
+    f"WITH {KB}, c AS (SELECT uid, list_transform(string_split(lower(name), ''), lambda c: ascii(c) % 32) AS codes FROM kb), n AS (SELECT uid, list_transform(generate_series(0, 31), lambda k: len(list_filter(codes, lambda x: x = k))) AS n FROM c), m AS (SELECT uid, n, sqrt(list_sum(list_transform(n, lambda x: x * x))) AS l FROM n) SELECT uid, k, round(CAST(CAST(n[k + 1] / l AS FLOAT) AS DOUBLE), 6) AS value FROM (SELECT *, unnest(generate_series(0, 31)) AS k FROM m)",
+)
 def encode_seam(spark, d):
-    """Names through an encoder given as a function on token lists."""
-    from lexilink.functions.encoder import encode, hashing_encoder
+    """Names through an encoder given as a function on texts."""
+    from lexilink.functions.encoder import encode, letter_encoder
 
-    return encode(S.kb(spark, d).select("uid", "name"), "uid", "name", hashing_encoder(32)).select("uid", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    vectors = encode(S.kb(spark, d).select("uid", "name"), "uid", "name", letter_encoder(32))
+    return vectors.select("uid", F.posexplode("embedding").alias("k", "x")).select("uid", F.col("k").cast("long").alias("k"), F.round(F.col("x").cast("double"), 6).alias("value"))
 
 
-@register("project_vectors")
+_NORMAL = "list_transform({x}, lambda v: (v - list_avg({x})) / sqrt(list_var_pop({x}) + 1e-5))"
+
+
+@register(
+    "project_vectors",
+    f"WITH a AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), b AS (SELECT vec_id, {_NORMAL.format(x='x')} AS x FROM a), c AS (SELECT vec_id, list_transform(generate_series(0, 15), lambda j: list_sum(list_transform(generate_series(0, 63), lambda i: x[i + 1] * ((i * 7 + j * 13) % 11 - 5) / 10))) AS y FROM b), e AS (SELECT vec_id, {_NORMAL.format(x='y')} AS y FROM c) SELECT vec_id, k, round(y[k + 1], 5) AS value FROM (SELECT *, unnest(generate_series(0, 15)) AS k FROM e)",
+)
 def project_vectors(spark, d):
     from lexilink.functions.encoder import Projection, project
 
-    return project(S.table(spark, d, "embeddings"), "vec_id", "embedding", Projection.seeded(64, 16))
+    out = project(S.table(spark, d, "embeddings"), "vec_id", "embedding", Projection.stepped(64, 16))
+    return out.select("vec_id", F.posexplode("embedding").alias("k", "x")).select("vec_id", F.col("k").cast("long").alias("k"), F.round("x", 5).alias("value"))
