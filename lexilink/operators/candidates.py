@@ -59,3 +59,8 @@ def marginal_nll(scored: DataFrame) -> DataFrame:
 
 def l2_norm(values: Column) -> Column:
     return F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+
+
+def joined_scores(local: DataFrame, other: DataFrame) -> DataFrame:
+    """(mention, score, label) of local candidates and of those from the rest of the document or batch, for one loss over both."""
+    return local.select("mention", "score", "label").unionByName(other.select("mention", "score", "label"))

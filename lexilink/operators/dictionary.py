@@ -56,3 +56,9 @@ def assign_codes(names: DataFrame, known: DataFrame, key: str, code: str) -> Dat
     top = known.agg(F.coalesce(F.max(code), F.lit(-1)).alias("top"))
     fresh = ordinal(names.join(known, key, "left_anti"), key, "n", first=1)
     return known.select(key, code).unionByName(fresh.join(F.broadcast(top)).select(key, (F.col("n") + F.col("top")).alias(code)))
+
+
+def inverted(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(value, key) of a map without repeated values; a value that several keys have is an error."""
+    unique = F.when(F.count_distinct(key) == 1, F.min(key)).otherwise(F.raise_error(F.concat(F.lit("several keys have "), F.col(value).cast("string"))).cast(df.schema[key].dataType))
+    return df.groupBy(value).agg(unique.alias(key))

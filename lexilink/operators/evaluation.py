@@ -75,3 +75,15 @@ def pivot_results(results: DataFrame, rows: str, columns: str, value: str, names
     """One row per `rows`, one column per name; missing cells are `-`."""
     wide = results.groupBy(rows).pivot(columns, names).agg(F.first(value))
     return wide.select(rows, *[F.coalesce(F.col(n).cast("string"), F.lit("-")).alias(n) for n in names])
+
+
+def reconcile_predictions(predicted: DataFrame, gold: DataFrame, history: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(hexdigest, ids): what predictions (doc, start, end, ids in rank order) say of gold spans.
+
+    Ids go through the history of replaced ones (id, new_id), then through the mapping to the dictionary's (id, new_id), NIL where it has none; predictions at spans that gold lacks go."""
+    from lexilink.operators import identifiers as I
+
+    each = predicted.select("doc", "start", "end", F.posexplode("ids").alias("pos", "id"))
+    named = I.or_nil(I.canonical(each, "id", history), "id", mapping)
+    rows = named.groupBy("doc", "start", "end").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids"))
+    return rows.join(gold.select("doc", "start", "end", "hexdigest"), ["doc", "start", "end"]).select("hexdigest", "ids")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,8 +12,14 @@ from lexilink.operators.dictionary import assign_codes, ordinal
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lexilink-')}"
+    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where all is one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='lexilink-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def config_digest(settings: dict[str, Column]) -> Column:
@@ -57,3 +64,42 @@ def best_so_far(log: DataFrame) -> DataFrame:
     """Steps whose metric is greater than all before it."""
     before = F.max("metric").over(Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
     return with_steps(log).withColumn("before", before).where(F.col("before").isNull() | (F.col("metric") > F.col("before"))).select("run", "step", "metric")
+
+
+def every(steps: DataFrame, n: int) -> DataFrame:
+    """Every n-th step, counted from 1."""
+    return steps.where(F.col("step") % n == 0)
+
+
+def by(*columns: str) -> Window:
+    return Window.partitionBy(*columns)
+
+
+def zipped(parts: dict[str, DataFrame], place: str) -> DataFrame:
+    """Columns of several numbered files side by side; a place that one of them lacks is an error."""
+    whole = None
+    for name, df in parts.items():
+        whole = df if whole is None else whole.join(df, place, "full")
+    checked = [F.when(F.col(n).isNull(), F.raise_error(F.concat(F.lit(f"{n} has no line "), F.col(place).cast("string")))).otherwise(F.col(n)).cast("string").alias(n) for n in parts]
+    return whole.select(place, *checked)
+
+
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+
+
+def is_done(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has its marker, in any file system that Spark knows."""
+    fs, p = _file(spark, f"{path}/_DONE")
+    return fs.exists(p)
+
+
+def mark_done(spark: SparkSession, path: str) -> None:
+    fs, p = _file(spark, f"{path}/_DONE")
+    fs.create(p, True).close()
