@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 
+from lexilink.llm import htmlblocks
 from lexilink.llm import wordbytes as wb
 from lexilink.llm.htmlblocks import Block, blocks
 
@@ -32,19 +33,42 @@ def _slot(mark: str) -> int:
 
 
 _paths: dict[tuple, np.ndarray] = {}
-
-
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
+#: Paths of at most so many marks are remembered by their marks, longer ones know for each slot where it was marked last.
+_SHORT = 64
+
+
+def _last_marked(path: htmlblocks.Path) -> np.ndarray:
+    """For each slot the place of its last mark on the path, from 0, or -1; every element copies what its parent knows."""
+    way = []
+    at = path
+    while at is not None and at.last is None:
+        way.append(at)
+        at = at.parent
+    for node in reversed(way):
+        last = np.full(PATH_DIM, -1, np.int32) if node.parent is None else node.parent.last.copy()
+        for k, mark in enumerate(node.own):
+            last[_slot(mark)] = node.size - len(node.own) + k
+        node.last = last
+    return path.last
+
+
+def path_vector(path: htmlblocks.Path | None) -> np.ndarray:
     """Hashed marks of a path; nearer to the leaf counts more."""
-    v = _paths.get(path)
+    if path is None:
+        return np.zeros(PATH_DIM, np.float32)
+    if path.size > _SHORT:
+        last = _last_marked(path)
+        return np.where(last < 0, 0.0, 1.0 / (1 + 0.15 * (path.size - 1 - last))).astype(np.float32)
+    marks = tuple(path.marks())
+    v = _paths.get(marks)
     if v is None:
         v = np.zeros(PATH_DIM, np.float32)
-        for back, mark in enumerate(reversed(path)):
+        for back, mark in enumerate(reversed(marks)):
             k = _slot(mark)
             v[k] = max(v[k], 1.0 / (1 + 0.15 * back))
         if len(_paths) > 50_000:
             _paths.clear()
-        _paths[path] = v
+        _paths[marks] = v
     return v
 
 
@@ -68,7 +92,7 @@ def vectors(found: list[Block]) -> np.ndarray:
     out[:, k] = np.log1p(n_words) / 5
     out[:, k + 1] = [b.link_chars / max(1, len(b.text)) for b in found]
     out[:, k + 2] = np.minimum(1, (stops[offsets[1:]] - stops[offsets[:-1]]) / np.maximum(n_words, 1) * 5)
-    out[:, k + 3] = [b.path[-1:] != () and any(m in _HEADS for m in b.path[-4:]) for b in found]
+    out[:, k + 3] = [b.path is not None and any(m in _HEADS for m in b.path.marks(4)) for b in found]
     out[:, k + 4] = np.minimum(1, size / np.maximum(1, n_words) / 12)
     out[:, k + 5] = np.arange(len(found)) / max(1, len(found))
     out[:, k + 6] = 1

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 #: HTML's inline elements, empty elements, and elements whose content is no markup.
@@ -29,10 +30,29 @@ _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", r
 _NAME = re.compile(r"[a-z]+")
 
 
+class Path:
+    """An open element: its marks (tag, then words of class, id and role) behind those of the elements around it. Elements share what is above them, so memory follows their number, not their depth."""
+
+    __slots__ = ("parent", "own", "size", "last")
+
+    def __init__(self, parent: Path | None, own: tuple[str, ...]):
+        self.parent, self.own = parent, own
+        self.size = len(own) + (parent.size if parent else 0)
+        self.last = None  # for blocklabel: where each slot was marked last
+
+    def marks(self, most: int | None = None) -> list[str]:
+        """The marks, or the last `most` of them, from the outermost to the leaf's last."""
+        out, at = [], self
+        while at is not None and (most is None or len(out) < most):
+            out += at.own[::-1]
+            at = at.parent
+        return out[:most][::-1]
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    path: Path | None
     link_chars: int
 
 
@@ -47,7 +67,8 @@ def _marks(attributes: str) -> list[str]:
 def blocks(page: str) -> list[Block]:
     """Every non-empty block of a page in order, with texts decoded and trimmed."""
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path]] = []
+    is_open: Counter[str] = Counter()
     pieces: list[str] = []
     links = link_chars = 0
     at = 0
@@ -58,12 +79,13 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                found.append(Block(text, stack[-1][1] if stack else (), min(link_chars, len(text))))
+                found.append(Block(text, stack[-1][1] if stack else None, min(link_chars, len(text))))
             pieces.clear()
         link_chars = 0
 
-    def pop_to(k: int) -> None:
-        flush()
+    def close(k: int) -> None:
+        for name, _ in stack[k:]:
+            is_open[name] -= 1
         del stack[k:]
 
     def add(raw: str) -> None:
@@ -91,14 +113,17 @@ def blocks(page: str) -> list[Block]:
                 if name == "br":
                     pieces.append(" ")
                 continue
+            if not is_open[name]:
+                if name in _SCOPE or not any(is_open[x] for x in _SCOPE):
+                    flush()
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    pop_to(k)
+                    flush()
+                    close(k)
                     break
                 if stack[k][0] in _SCOPE and name not in _SCOPE:
                     break
-            else:
-                flush()
             continue
         if name == "br":
             pieces.append(" ")
@@ -116,14 +141,15 @@ def blocks(page: str) -> list[Block]:
         else:
             flush()
             ends = IMPLIED_END.get(name, frozenset()) | ({"p"} if name in ENDS_P else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
-            parent = stack[-1][1] if stack else ()
-            stack.append((name, (*parent, name, *(f".{w}" for w in _marks(m[3])))))
+            if any(is_open[x] for x in ends):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] in ends:
+                        close(k)
+                        break
+                    if stack[k][0] in _SCOPE:
+                        break
+            stack.append((name, Path(stack[-1][1] if stack else None, (name, *(f".{w}" for w in _marks(m[3]))))))
+            is_open[name] += 1
             links = 0 if name in _SCOPE else links
     flush()
     return found

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexilink.llm import wordbytes as wb
 from lexilink.llm.blocklabel import Labeller
+from lexilink.llm.common import give_back
 from lexilink.llm.htmlblocks import blocks
 
 
@@ -29,6 +30,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         for batch in wb.batches(iterator, "html", 2 << 20):
             texts = main_texts(batch.column(2).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [id_col, url_col, "text", "n_chars"])
+        give_back()
 
     plain = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("html"))
     return plain.mapInArrow(run, f"`{id_col}` {kinds[id_col]}, `{url_col}` {kinds[url_col]}, text string, n_chars long")

@@ -22,7 +22,7 @@ def test_blocks():
     page = "<title>t</title><script>if(a<b){}</script><p>a <b>b\n c<br>d<p>e&amp;f&nbsp;g</p><!-- x <p>y -->h<ul><li>i<li>j</ul><td>k</b></p>&lt;p&gt"
     assert [b.text for b in blocks(page)] == ["a b c d", "e&f g", "h", "i", "j", "k", "<p>"]
     assert [b.text for b in blocks("a<br/>b</p>c<p")] == ["a b", "c"] and blocks("") == [] and blocks("<style>x") == [] and blocks(" \n") == []
-    assert blocks("<div class='Side-bar x' id=mainMenu><a href=x>abc</a>d")[0].path == ("div", ".side", ".bar", ".x", ".main", ".menu")
+    assert blocks("<div class='Side-bar x' id=mainMenu><a href=x>abc</a>d")[0].path.marks() == ["div", ".side", ".bar", ".x", ".main", ".menu"]
     assert [b.text for b in blocks("x < y > z <a")] == ["x < y > z"]
 
 
@@ -65,3 +65,32 @@ def test_edges(spark):
     assert extract_text(df.limit(0)).count() == 0
     long = "<body><nav><a href=x>a</a></nav><article>" + "<p>Some words that go on, é.</p>" * 20000 + "</article></body>"
     assert main_texts([long], Labeller.load())[0].count("\n\n") > 19000
+
+
+def test_deep_pages_need_memory_by_elements():
+    """Every nested element with a text of its own; a path's vector is the same either way it is found."""
+    import tracemalloc
+
+    from lexilink.llm import blocklabel
+
+    deep = blocks("".join(f"<div class=c{i % 50}>t{i}" for i in range(300)))
+    assert len(deep) == 300 and deep[-1].path.size == 600
+    long = [blocklabel.path_vector(b.path) for b in deep]
+    blocklabel._SHORT, before = 10**9, blocklabel._SHORT
+    try:
+        assert all(np.allclose(a, blocklabel.path_vector(b.path)) for a, b in zip(long, deep, strict=True))
+    finally:
+        blocklabel._SHORT = before
+    tracemalloc.start()
+    found = blocks("<div class=a>x" * 20000)
+    blocklabel.vectors(found)
+    assert len(found) == 20000 and tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+    assert len(blocks("<h1>a</q></section><x>" * 5000)) == 5000
+
+
+def test_repeated_rows(spark):
+    html_of = "<body><nav><a href=x>menu</a></nav><article>" + "<p>Some words of a longer text that go on and on.</p>" * 5 + "</article></body>"
+    df = spark.createDataFrame([(1, "u", html_of)] * 3 + [(1, "v", html_of)], "page_id long, url string, html string")
+    got = extract_text(df).collect()
+    assert len(got) == 4 and len({r.text for r in got}) == 1 and got[0].n_chars > 100
