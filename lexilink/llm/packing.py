@@ -1,26 +1,32 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Documents are taken in descending length. Each goes to the open bin with the least room that still fits it; if there is none, a bin is opened, of the permitted
-capacity with the least cost per token that it can be expected to hold: a capacity costs its length plus `overhead`, and what it can hold beyond the document is limited by the
-tokens that are still to come less the room already open. At the end each bin shrinks to the least capacity that holds its contents. Documents longer than the largest capacity are cut
+A document is its token ids and an end id, from the encoder of the token files. Documents are taken in descending length. Each goes to the open bin with the least room that still fits it; if there is none, a bin is opened, of the permitted
+capacity with the least cost per token that it can be expected to hold: a bin costs its capacity plus `overhead`, and what it can hold beyond the document is limited by the
+tokens that are still to come less the room already open. At the end each bin shrinks to the least capacity that holds its contents. A group of documents is packed with every choice of the permitted capacities that has
+the largest one needed, and the choice of the least total cost stays, so capacities are decided on jointly, not bin by bin alone. Documents longer than the largest capacity are cut
 into pieces of it and a rest, and all pieces are packed, so no token is lost.
 
-Only ids and lengths are packed, never texts. They are dealt into groups of about `group_items` by hash, and each group is packed on its own, in one task with
-bounded memory; what this costs is at most the open bins at each group's end.
+Bins are decided on by ids and lengths alone. These are dealt into groups of about `group_items` by row number, so equal rows spread, and each group is packed on its own, in one task with
+bounded memory; what this costs is at most the open bins at each group's end. `sequences` then fills bins with token ids; a bin is bounded by its capacity.
 
-Edge cases: a null or empty text has its end token alone; ties are packed by id, null ids first; rows that repeat an id are packed each for itself; an empty table gives an
+Edge cases: a null or empty text has its end token alone; ties are packed by id, null ids first, then by row; rows that repeat an id are packed each for itself and told apart by `row`; an empty table gives an
 empty one; only the id and the text are read.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexilink.llm import wordbytes as wb
+from lexilink.llm.common import arrow_rows, give_back, written
+from lexilink.llm.tokenfiles import Encoder
+
 CAPACITIES = (1024, 2048, 4096)
 OVERHEAD = 64
 
@@ -64,34 +70,69 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead:
     return bins, offsets, np.array(capacities)[np.searchsorted(capacities, used)] if used else np.zeros(0, np.int64)
 
 
-def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, length): words and one end token."""
-    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select(F.col(id_col).alias("id"), (words + 1).cast("long").alias("length"))
+def cost(sizes: np.ndarray, overhead: int) -> int:
+    return int(sizes.sum()) + overhead * len(sizes)
+
+
+def pack_jointly(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What pack gives for the choice of capacities of the least total cost, of equal ones the first of the fewest; bins shrink to any permitted capacity."""
+    capacities = tuple(sorted(capacities))
+    best = None
+    for k in range(1, len(capacities) + 1):
+        for chosen in combinations(capacities, k):
+            if not lengths or chosen[-1] >= lengths[0]:
+                bins, offsets, sizes = pack(lengths, chosen, overhead)
+                used = np.bincount(bins, lengths, len(sizes)).astype(np.int64) if len(sizes) else sizes
+                sizes = np.array(capacities)[np.searchsorted(capacities, used)] if len(sizes) else sizes
+                if best is None or cost(sizes, overhead) < cost(best[2], overhead):
+                    best = bins, offsets, sizes
+    return best
+
+
+def token_lengths(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(row, id, length) and on request `ids` of each row of docs, as a written table, so that row numbers stay what they are."""
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"row long, id {kind}, length long" + (", ids array<int>" if with_ids else "")
+
+    def run(iterator):
+        encoder = Encoder.at(tokenizer_path, end_id)
+        for batch in wb.batches(iterator, "text"):
+            ids, counts = encoder.encode(batch.column(2))
+            columns = [batch.column(0), batch.column(1), pa.array(counts, pa.int64())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "length", "ids"][: len(columns)])
+        give_back()
+
+    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    with arrow_rows(spark, 1000):
+        return written(plain.mapInArrow(run, schema), "token-lengths")
 
 
 def pack_lengths(items: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, group_items: int = 50_000) -> DataFrame:
-    """bin_id, capacity, id, start (of the piece in its document), n_tokens, offset (in the bin) for (id, length) rows."""
+    """bin_id, capacity, row, id, start (of the piece in its document), n_tokens, offset (in the bin) for (row, id, length) rows, a table that gives the same rows each time it is read."""
     largest = max(capacities)
     kind = items.schema["id"].dataType.simpleString()
     starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(largest).cast("long"))
-    pieces = items.where("length > 0").select("id", "length", F.explode(starts).alias("start")).select("id", "start", F.least(F.col("length") - F.col("start"), F.lit(largest).cast("long")).alias("n_tokens"))
-    groups = max(1, -(-pieces.count() // group_items))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("id", "start", "n_tokens"), F.lit(groups)).cast("int"))
+    pieces = items.where("length > 0").select("row", "id", "length", F.explode(starts).alias("start")).select("row", "id", "start", F.least(F.col("length") - F.col("start"), F.lit(largest).cast("long")).alias("n_tokens"))
+    n = items.where("length > 0").agg(F.sum(F.ceil(F.col("length") / largest))).first()[0] or 0
+    groups = max(1, -(-n // group_items))
+    # Row numbers run on within a partition, so neighbours and copies fall in different groups; a long document's pieces do too.
+    dealt = pieces.withColumn("group", F.pmod(F.col("row") + F.shiftright("row", 33) + F.floor(F.col("start") / largest), F.lit(groups)).cast("int"))
 
     def run(iterator):
         group, held = None, []
 
         def out():
-            ids = pa.chunked_array([b.column(0) for b in held]).combine_chunks()
-            start, tokens = (pa.chunked_array([b.column(k) for b in held]).combine_chunks() for k in (1, 2))
-            bins, offsets, size = pack(tokens.to_pylist(), capacities, overhead)
+            rows, ids, start, tokens = (pa.chunked_array([b.column(k) for b in held]).combine_chunks() for k in range(4))
+            bins, offsets, size = pack_jointly(tokens.to_pylist(), capacities, overhead)
             return pa.RecordBatch.from_arrays(
-                [pa.array((np.int64(group) << 32) + bins), pa.array(size[bins].astype(np.int64)), ids, start, tokens, pa.array(offsets)], ["bin_id", "capacity", "id", "start", "n_tokens", "offset"]
+                [pa.array((np.int64(group) << 32) + bins), pa.array(size[bins].astype(np.int64)), rows, ids, start, tokens, pa.array(offsets)], ["bin_id", "capacity", "row", "id", "start", "n_tokens", "offset"]
             )
 
         for batch in iterator:
-            groups_of = batch.column(3).to_numpy()
+            groups_of = batch.column(4).to_numpy()
             cuts = [0, *(np.flatnonzero(groups_of[1:] != groups_of[:-1]) + 1).tolist(), len(groups_of)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
@@ -103,10 +144,27 @@ def pack_lengths(items: DataFrame, capacities: tuple[int, ...] = CAPACITIES, ove
                 held.append(batch.slice(a, b - a))
         if held:
             yield out()
+        held = []
+        give_back()
+
+    ordered = dealt.select("row", "id", "start", "n_tokens", "group").repartition("group").sortWithinPartitions("group", F.desc("n_tokens"), "id", "row", "start")
+    return ordered.mapInArrow(run, f"bin_id long, capacity long, row long, id {kind}, start long, n_tokens long, offset long")
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Where each piece of each document goes: bin_id, capacity, row, id, start, n_tokens, offset."""
+    return pack_lengths(token_lengths(docs, tokenizer_path, end_id, id_col, text_col), **options).withColumnRenamed("id", id_col)
+
 
-    ordered = dealt.select("id", "start", "n_tokens", "group").repartition("group").sortWithinPartitions("group", F.desc("n_tokens"), "id", "start")
-    return ordered.mapInArrow(run, f"bin_id long, capacity long, id {kind}, start long, n_tokens long, offset long")
+def sequences(tokens: DataFrame, placements: DataFrame) -> DataFrame:
+    """bin_id, capacity, ids, pieces (id, start, offset, n_tokens): the bins with their contents, from token_lengths(with_ids=True) and pack_lengths of it."""
+    placed = placements.select("bin_id", "capacity", "row", "id", "start", "n_tokens", "offset")
+    cut = placed.join(tokens.select("row", "ids"), "row").withColumn("ids", F.slice("ids", F.col("start").cast("int") + 1, F.col("n_tokens").cast("int")))
+    bins = cut.groupBy("bin_id", "capacity").agg(F.array_sort(F.collect_list(F.struct("offset", "row", "id", "start", "n_tokens", "ids"))).alias("p"))
+    return bins.select("bin_id", "capacity", F.flatten(F.transform("p", lambda p: p["ids"])).alias("ids"), F.transform("p", lambda p: F.struct(p["id"].alias("id"), p["start"].alias("start"), p["offset"].alias("offset"), p["n_tokens"].alias("n_tokens"))).alias("pieces"))
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    return pack_lengths(token_lengths(docs, id_col, text_col), **options).withColumnRenamed("id", id_col)
+def pack_sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Training sequences of docs: bin_id, capacity, ids (at most capacity), pieces."""
+    tokens = token_lengths(docs, tokenizer_path, end_id, id_col, text_col, with_ids=True)
+    return sequences(tokens, written(pack_lengths(tokens.drop("ids"), **options), "placements"))

@@ -1,7 +1,18 @@
+from itertools import combinations
+
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
+
+from lexilink.llm.packing import CAPACITIES, OVERHEAD, cost, open_capacity, pack, pack_documents, pack_jointly, pack_lengths, pack_sequences
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+LIBRARY = Tokenizer.from_file(PATH)
 
-from lexilink.llm.packing import CAPACITIES, OVERHEAD, open_capacity, pack, pack_documents, pack_lengths
+
+def ids(text):
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def brute(lengths, capacities, overhead):
@@ -35,8 +46,8 @@ def test_whole_documents_and_capacities(spark):
     rows = [(i, f"{'w ' * int(n)}") for i, n in enumerate(np.random.default_rng(1).integers(0, 3000, 300))]
     rows += [(1000, None), (1001, ""), (None, "x y"), (1002, "w " * 20000), (5, "again"), (5, "again")]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, start long, capacity long")
-    got = pack_documents(df, group_items=100).toPandas()
-    assert got.n_tokens.sum() == sum(len((t or "").split()) + 1 for _, t in rows)
+    got = pack_documents(df, PATH, group_items=100).toPandas()
+    assert got.n_tokens.sum() == sum(len(ids(t)) for _, t in rows)
     for _, one in got.groupby("bin_id"):
         one = one.sort_values("offset")
         assert one.capacity.nunique() == 1 and one.offset.tolist() == np.concatenate([[0], np.cumsum(one.n_tokens)[:-1]]).tolist()
@@ -47,7 +58,46 @@ def test_whole_documents_and_capacities(spark):
 
 
 def test_empty_table_and_single_capacity(spark):
-    df = spark.createDataFrame([(1, 5), (2, 4), (3, 3)], "id long, length long")
+    df = spark.createDataFrame([(0, 1, 5), (1, 2, 4), (2, 3, 3)], "row long, id long, length long")
     assert pack_lengths(df.limit(0)).count() == 0
     got = {r.id: (r.bin_id, r.offset, r.capacity) for r in pack_lengths(df, (8,), OVERHEAD).collect()}
     assert got == {1: (0, 0, 8), 2: (1, 0, 8), 3: (0, 5, 8)}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_joint_choice_is_the_least_of_all(seed):
+    rng = np.random.default_rng(seed)
+    capacities, overhead = (8, 16, 32), 3
+    lengths = sorted(rng.integers(1, [8, 16, 33][seed % 3], 60).tolist(), reverse=True)
+    costs = []
+    for k in (1, 2, 3):
+        for chosen in combinations(capacities, k):
+            if max(chosen) >= lengths[0]:
+                where = brute(lengths, chosen, overhead)[0]
+                used = {}
+                for (b, _), n in zip(where, lengths, strict=True):
+                    used[b] = used.get(b, 0) + n
+                costs.append(sum(min(c for c in capacities if c >= u) + overhead for u in used.values()))
+    bins, offsets, sizes = pack_jointly(lengths, capacities, overhead)
+    assert cost(sizes, overhead) == min(costs)
+    for b in range(len(sizes)):
+        mine = np.flatnonzero(bins == b)
+        assert sum(lengths[i] for i in mine) <= sizes[b] and sorted(offsets[mine])[0] == 0
+
+
+def test_equal_rows_fall_in_all_groups(spark):
+    items = spark.range(0, 20000, 1, 5).selectExpr("monotonically_increasing_id() AS row", "7L AS id", "3L AS length")
+    groups = pack_lengths(items, group_items=1000).selectExpr("shiftright(bin_id, 32) AS g").groupBy("g").count().collect()
+    assert len(groups) == 20 and max(g["count"] for g in groups) < 1100
+
+
+def test_sequences_hold_the_ids_of_their_documents(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 50, " ".join(f"word{k}" for k in rng.integers(0, 99, int(rng.integers(0, 60))))) for i in range(80)] + [(None, None), (99, "long " * 300)]
+    got = pack_sequences(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, capacities=(32, 64, 128), overhead=4).collect()
+    pieces = []
+    for r in got:
+        assert len(r["ids"]) == sum(p.n_tokens for p in r.pieces) <= r.capacity and r.capacity == min(c for c in (32, 64, 128) if c >= len(r["ids"]))
+        pieces += [(p.id, p.start, r["ids"][p.offset : p.offset + p.n_tokens]) for p in r.pieces]
+    want = [(doc, at, ids(text)[at : at + 128]) for doc, text in rows for at in range(0, len(ids(text)), 128)]
+    assert sorted(pieces, key=repr) == sorted(want, key=repr)

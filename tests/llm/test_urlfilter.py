@@ -30,3 +30,15 @@ def test_empty_tables_and_no_rules(spark):
     assert filter_urls(df.limit(0), RULES).count() == 0
     none = spark.createDataFrame([], "action string, host string, path string")
     assert filter_urls(df, none, default="block").collect()[0].verdict == "block"
+
+
+def test_repeated_ids_repeated_urls_and_long_urls(spark):
+    long = "http://" + "a." * 300 + "example.org/en/1" + "x" * 200_000 + "?" + "y" * 1000
+    rows = [(1, "http://a.com/de/x"), (1, "http://a.com/de/x"), (1, "http://a.com/fr/"), (None, "http://a.com/de/x"), (None, None), (2, long), (2, "http://" + "b" * 300_000)]
+    got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in filter_urls(spark.createDataFrame(rows * 3, "page_id long, url string"), RULES).collect()), key=repr)
+    assert got == sorted([(i, *brute(u)) for i, u in rows * 3], key=repr)
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "http://x.org/", "a", "b", "c")], "page_id long, url string, `key` string, best string, rule string")
+    assert filter_urls(df, RULES).first().rule == "org/"
