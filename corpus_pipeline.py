@@ -2,6 +2,11 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet in the shared folder and reads again as the next stage's docs. All
 stages but the last return the columns of documents. The isolation forest and the packing can't be said in SQL, so ORACLE_SQL is None and the tests hold every stage against a brute-force version.
+
+Edge cases, for docs of any stage: a null or empty text has no words, so the quality rules reject it; further on it has one empty line, is near nothing, holds no benchmark window and is
+packed as its end token alone. Rows that repeat an id with other texts are judged each by its own text; rows that repeat both an id and a text are kept or rejected together until the join keeps one of them. Null ids are documents
+like others: of a class of near duplicates, one with an id stays before one without, the smallest id first, then the smallest hash of a text. Tables without rows give tables without rows. Columns beyond those of documents come along whatever
+their names are, and texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines in three documents or more stay in the one with the largest id; n_chars follows the text."""
-    less = dedup_lines(docs)
+    less = dedup_lines(docs, with_counts=False)
     return less.select(*[F.char_length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
@@ -39,8 +44,10 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
-    return pack_documents(docs)
+    """Where each piece of each document's token ids goes."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
