@@ -4,11 +4,11 @@ The forest grows trees of random splits over the statistics of good labelled doc
 isolate (a short mean path) is anomalous. The threshold on the anomaly score is calibrated on labelled rows: of all
 thresholds that keep at least `keep_share` of the good ones, the one that rejects the most bad ones.
 
-At most `max_labelled` labelled documents (those with the smallest hashes of their ids) are used for fitting and calibration; the statistics
+Of the 2 * `max_labelled` labelled documents with the smallest hashes of their ids, at most `max_labelled` that pass the base rules are used for fitting and calibration, so what goes to the driver is bounded; the statistics
 and the verdicts cover every row.
 
 Edge cases: a null or empty text has 0 words and fails the base rules; documents with equal texts get equal
-verdicts; without usable labels the base rules alone decide; a table without rows gives one without rows. The input
+verdicts; with fewer than `least_good` good labels the base rules alone decide; a table without rows gives one without rows. The input
 may have any further columns: only the id and the text are read.
 """
 
@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexilink.llm import wordbytes as wb
-from lexilink.llm.common import written
+from lexilink.llm.common import Scratch, arrow_rows, give_back, written
 
+#: Texts are counted in batches of about so many bytes, or one text.
+BATCH_BYTES = 1 << 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_chars", "n_lines", "n_upper", "n_digits", "n_bang", "n_distinct_words", "n_marked_words")
 _SYMBOL = np.zeros(256, bool)
@@ -29,9 +31,12 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    """How many flags each text has, without an array of numbers as long as the text."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    filled = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(filled):
+        out[filled] = np.add.reduceat(flags, offsets[filled], dtype=np.int64)
+    return out
 
 
 def _owner(bounds: np.ndarray) -> np.ndarray:
@@ -78,10 +83,8 @@ def count_statistics(column: pa.Array, shingle: int = 3) -> dict[str, np.ndarray
     keys = _salted(words, word_owner)
     distinct = np.unique(keys, return_index=True)[1]
     out["n_distinct_words"] = np.bincount(word_owner[distinct], minlength=n)
-    marks = _SYMBOL[data] | (data == 33)
-    marked = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(marks, out=marked[1:])
-    out["n_marked_words"] = np.bincount(word_owner[marked[ends] > marked[starts]], minlength=n)
+    marks = np.flatnonzero(_SYMBOL[data] | (data == 33))
+    out["n_marked_words"] = np.bincount(word_owner[np.searchsorted(marks, ends) > np.searchsorted(marks, starts)], minlength=n)
 
     windows = wb.shingle_hash(words, shingle)
     inside = word_owner[: len(windows)] == word_owner[shingle - 1 :][: len(windows)]
@@ -107,9 +110,10 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(iterator):
-        for batch in wb.batches(iterator, "text"):
+        for batch in wb.batches(iterator, "text", BATCH_BYTES):
             counts = count_statistics(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(counts[c]) for c in names]], [id_col, *names])
+        give_back()
 
     plain = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     return plain.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in names))
@@ -215,25 +219,28 @@ def separation(x: np.ndarray, y: np.ndarray, least: float = 0.3) -> np.ndarray:
     return np.where(out >= least, out, 0.0) if (out >= least).any() else np.ones(x.shape[1])
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = 20_000, keep_share: float = 0.995):
-    """(forest, threshold) from at most max_labelled labelled rows; None without both kinds."""
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("label"))
+def sampled_labels(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
+    """(id, label) of the labelled documents with the smallest hashes of their ids, at most `most`."""
+    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("label")).withColumn("place", F.xxhash64(id_col))
+    n = marks.count()
+    if n > 2 * most:
+        # A range of hashes with about twice what is asked for first: no partition sends more than its share to the driver.
+        marks = marks.where(F.col("place") <= int(-(2.0**63) + 2.0**64 * 2 * most / n))
+    return marks.orderBy("place", id_col).limit(most)
+
+
+def fit(stats: DataFrame, chosen: DataFrame, id_col: str = "doc_id", max_labelled: int = 20_000, keep_share: float = 0.995, least_good: int = 20):
+    """(forest, threshold) from at most max_labelled of the `chosen` labelled rows that pass the base rules; None with fewer than least_good good ones, which tell nothing of a distribution. Features are weighed by labels from least_good bad ones on."""
     names = [*COUNTS, *EXTRA]
-    rows = (
-        stats.join(marks, id_col)
-        .where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-        .orderBy(F.xxhash64(id_col), id_col)
-        .limit(max_labelled)
-        .select("label", *names)
-        .toPandas()
-    )
+    passed = stats.join(F.broadcast(chosen), id_col).where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    rows = passed.orderBy("place", id_col).limit(max_labelled).select("label", *names).toPandas()
     good, bad = rows[rows.label == 1], rows[rows.label == 0]
-    if len(good) < 20:
+    if len(good) < least_good:
         return None
     # Even rows grow the forest; the threshold comes from rows that it hasn't seen.
     x, y = features({k: good[k].to_numpy() for k in names}), features({k: bad[k].to_numpy() for k in names})
     both = np.concatenate([x, y])
-    weights = separation(x[::2], y[::2]) if len(y) >= 20 else np.ones(x.shape[1])
+    weights = separation(x[::2], y[::2]) if len(y) >= least_good else np.ones(x.shape[1])
     forest = IsolationForest().fit(x[::2], weights, 0.25 * (np.quantile(both, 0.99, axis=0) - np.quantile(both, 0.01, axis=0)))
     held, wrong = forest.score(x[1::2]), forest.score(y[1::2]) if len(y) else np.zeros(0)
     floor = np.quantile(held, keep_share)
@@ -260,26 +267,36 @@ def judge(stats: DataFrame, model, id_col: str = "doc_id") -> DataFrame:
                 [batch.column(batch.schema.get_field_index(id_col)), *[pa.array(table[k]) for k in COUNTS], pa.array(failed), pa.array(kept), pa.array(score)],
                 [id_col, *COUNTS, "base_failed", "kept", "score"],
             )
+        give_back()
 
     return stats.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, score double")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 20_000, least_good: int = 20) -> DataFrame:
     """Every document with its counts, base_failed, kept and anomaly score. The counts are written once and read for both the fit and the verdicts."""
-    stats = written(statistics(docs, id_col, text_col), "quality-statistics")
-    return judge(stats, fit(stats, labels, id_col, max_labelled=max_labelled), id_col)
+    with arrow_rows(docs.sparkSession, 2000), Scratch(docs.sparkSession) as scratch:
+        stats = written(statistics(docs, id_col, text_col), "quality-statistics")
+        chosen = scratch.written(sampled_labels(labels, id_col, label_col, 2 * max_labelled), "quality-labels")
+        return judge(stats, fit(stats, chosen, id_col, max_labelled, least_good=least_good), id_col)
+
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 20_000, least_good: int = 20) -> DataFrame:
+    """The rows of docs, with all their columns, that the rules keep; each row is judged where it is read.
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000) -> DataFrame:
-    """The rows of docs, with all their columns, that the rules keep; each row is judged where it is read."""
-    model = fit(written(statistics(docs, id_col, text_col), "quality-statistics"), labels, id_col, max_labelled=max_labelled)
+    The fit comes before that and counts the texts of its labelled rows alone."""
+    spark = docs.sparkSession
+    with Scratch(spark) as scratch, arrow_rows(spark, 2000):
+        chosen = scratch.written(sampled_labels(labels, id_col, label_col, 2 * max_labelled), "quality-labels")
+        known = docs.select(id_col, text_col).join(F.broadcast(chosen.select(id_col)), id_col, "left_semi")
+        model = fit(scratch.written(statistics(known, id_col, text_col), "quality-statistics"), chosen, id_col, max_labelled, least_good=least_good)
 
     def run(iterator):
-        for batch in wb.batches(iterator, text_col):
+        for batch in wb.batches(iterator, text_col, BATCH_BYTES):
             counts = count_statistics(batch.column(batch.schema.get_field_index(text_col)))
             kept = ~base_failed(counts["n_words"], counts["n_repeat_words"])
             if model is not None:
                 kept &= model[0].score(features(counts)) <= model[1]
             yield batch.filter(pa.array(kept))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -73,3 +73,47 @@ def test_nulls_empty_tables_and_no_labels(spark):
 def test_base_failed_short(text):
     counts = quality.count_statistics(pa.array([text]))
     assert quality.base_failed(counts["n_words"], counts["n_repeat_words"])[0]
+
+
+def walked(forest, row):
+    """The mean path of one row, node by node."""
+    total = 0.0
+    for feature, cut, left, right, path, _ in forest.nodes:
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if row[feature[at]] < cut[at] else right[at]
+        total += path[at]
+    return total / len(forest.nodes)
+
+
+def test_verdicts_equal_trees_walked_row_by_row(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = quality.fit(quality.statistics(docs), quality.sampled_labels(labels, "doc_id", "quality", 40_000))
+    rows = docs.collect()
+    counts = quality.count_statistics(pa.array([r.text for r in rows], pa.string()))
+    x = quality.features(counts)
+    usual = float(model[0].usual_path(model[0].per_tree))
+    want = {}
+    for i, r in enumerate(rows):
+        n, *_, repeated = brute(r.text)
+        score = 2.0 ** (-walked(model[0], x[i]) / usual)
+        want[r.doc_id] = not (n < 50 or 100 * repeated > 50 * n) and score <= model[1]
+    assert {r.doc_id: r.kept for r in quality.quality_rules(docs, labels).collect()} == want
+    assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == {k for k, v in want.items() if v}
+    assert 0 < sum(want.values()) < len(want)
+
+
+def test_labels_are_bounded_before_they_travel(spark):
+    labels = spark.range(5000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality").unionByName(spark.createDataFrame([(None, 1), (7, None), (7, 0)], "doc_id long, quality int"))
+    found = quality.sampled_labels(labels, "doc_id", "quality", 100).collect()
+    assert len(found) == 100 and len({r.doc_id for r in found}) == 100
+    smallest = [r.doc_id for r in spark.range(5000).selectExpr("id AS doc_id", "xxhash64(id) AS h").orderBy("h").limit(100).collect()]
+    assert {r.doc_id for r in found} == set(smallest)
+
+
+def test_few_labels_leave_the_base_rules(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}_{k}" for k in range(60))) for i in range(30)] + [(99, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(10)], "doc_id long, quality int")
+    assert quality.keep_good(docs, labels).count() == 30
+    assert quality.fit(quality.statistics(docs), quality.sampled_labels(labels, "doc_id", "quality", 50), least_good=5) is not None
