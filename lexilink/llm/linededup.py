@@ -20,10 +20,10 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexilink.llm.common import ascii_lower, written
+from lexilink.llm.common import Scratch, ascii_lower, free_name, written
 
 _KEY = ["h1", "h2"]
 
@@ -46,8 +46,8 @@ def keyed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 class LineRuns:
     """Levelled sorted runs of (h1, h2, n_docs) as bucketed tables."""
 
-    def __init__(self, spark: SparkSession, buckets: int, fanout: int = 4):
-        self.spark, self.buckets, self.fanout = spark, buckets, fanout
+    def __init__(self, scratch: Scratch, buckets: int, fanout: int = 4):
+        self.scratch, self.spark, self.buckets, self.fanout = scratch, scratch.spark, buckets, fanout
         self.levels: list[list[str]] = [[]]
         self._name, self._made = f"line_runs_{uuid.uuid4().hex}", 0
 
@@ -75,7 +75,7 @@ class LineRuns:
         """Adds a batch with one row per key and document; returns (h1, h2, holder) of keys not seen before."""
         counted = batch.groupBy(*_KEY).agg(F.count("*").alias("n_docs"), F.max("doc").alias("holder"))
         name = self._write(counted)
-        holders = written(self.fresh(self.spark.table(name)).select(*_KEY, "holder"), "line-holders")
+        holders = self.scratch.written(self.fresh(self.spark.table(name)).select(*_KEY, "holder"), "line-holders")
         self.levels[0].append(name)
         self._compact()
         return holders
@@ -113,32 +113,39 @@ def descending_batches(lines: DataFrame, batches: int) -> list[Column]:
 
 def repeated_keys(lines: DataFrame, min_docs: int, batches: int, keys_per_bucket: int = 500_000) -> DataFrame:
     """(h1, h2, holder) of keys in at least min_docs documents, as a written table."""
-    runs = LineRuns(lines.sparkSession, buckets=max(8, -(-lines.count() // keys_per_bucket)))
-    holders = [runs.add(lines.where(c).groupBy("doc", *_KEY).agg(F.count("*").alias("n"))) for c in descending_batches(lines, batches)]
-    out = written(reduce(DataFrame.unionByName, holders).join(runs.totals().where(F.col("n_docs") >= min_docs), _KEY).select(*_KEY, "holder"), "repeated-lines")
-    runs.drop()
+    with Scratch(lines.sparkSession) as scratch:
+        # As many buckets as shuffles have partitions, at least: each task of a shuffle by key then writes one file.
+        buckets = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // keys_per_bucket))
+        runs = LineRuns(scratch, buckets)
+        holders = [runs.add(lines.where(c).groupBy("doc", *_KEY).agg(F.count("*").alias("n"))) for c in descending_batches(lines, batches)]
+        out = written(reduce(DataFrame.unionByName, holders).join(runs.totals().where(F.col("n_docs") >= min_docs), _KEY).select(*_KEY, "holder"), "repeated-lines")
+        runs.drop()
     return out
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4) -> DataFrame:
-    """(doc, mark, drops): the ascending positions of the lines that a document loses; only documents that lose any."""
-    lines = written(keyed_lines(docs, id_col, text_col, min_chars), "keyed-lines")
-    repeated = repeated_keys(lines, min_docs, batches)
-    lost = lines.join(repeated, _KEY).where(~F.col("doc").eqNullSafe(F.col("holder")))
-    return lost.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("pos")).alias("drops"))
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, broadcast_keys: int = 500_000) -> DataFrame:
+    """(doc, mark, drops): the ascending positions of the lines that a document loses; only documents that lose any. Written.
 
+    Repeated keys (24 bytes each) are broadcast while there are at most broadcast_keys, so lines that are very common go to no task of their own; beyond that the join shuffles, and Spark splits frequent keys."""
+    with Scratch(docs.sparkSession) as scratch:
+        lines = scratch.written(keyed_lines(docs, id_col, text_col, min_chars), "keyed-lines")
+        repeated = repeated_keys(lines, min_docs, batches)
+        side = F.broadcast(repeated) if repeated.count() <= broadcast_keys else repeated
+        lost = lines.join(side, _KEY).where(~F.col("doc").eqNullSafe(F.col("holder")))
+        return written(lost.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("pos")).alias("drops")), "dropped-lines")
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with its text less the repeated lines, and llm_n_lines (before) and llm_n_dropped."""
-    drops = dropped_lines(docs, id_col, text_col, **options).withColumnsRenamed({"doc": "__doc", "mark": "__mark", "drops": "__drops"})
-    joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col("__doc")) & (row_mark(F.col(text_col)) == F.col("__mark")), "left")
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_counts: bool = True, **options) -> DataFrame:
+    """docs with its text less the repeated lines, and with_counts llm_n_lines (before) and llm_n_dropped, to which columns of docs that have these names give way."""
+    doc, mark, gone = (free_name(x, docs) for x in ("doc", "mark", "drops"))
+    drops = dropped_lines(docs, id_col, text_col, **options).withColumnsRenamed({"doc": doc, "mark": mark, "drops": gone})
+    joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col(doc)) & (row_mark(F.col(text_col)) == F.col(mark)), "left")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     # array_except hashes, so a text with many dropped lines stays linear.
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__drops")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     less = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    out = joined.select(
-        *[F.when(F.col("__drops").isNull(), F.col(c)).otherwise(less).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.size(lines).cast("long").alias("llm_n_lines"),
-        F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias("llm_n_dropped"),
-    )
-    return out
+    texts = [F.when(F.col(gone).isNull(), F.col(c)).otherwise(less).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    if not with_counts:
+        return joined.select(*texts)
+    kept_columns = [e for e, c in zip(texts, docs.columns, strict=True) if c.lower() not in ("llm_n_lines", "llm_n_dropped")]
+    return joined.select(*kept_columns, F.size(lines).cast("long").alias("llm_n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("llm_n_dropped"))

@@ -2,6 +2,7 @@ import hashlib
 
 import pytest
 
+from lexilink.llm.common import Scratch
 from lexilink.llm.linededup import LineRuns, dedup_lines
 
 LONG = "This line is long enough"
@@ -49,7 +50,7 @@ def test_repeated_and_null_ids(spark):
 
 
 def test_runs_are_levelled_and_merged(spark):
-    runs = LineRuns(spark, buckets=2, fanout=2)
+    runs = LineRuns(Scratch(spark), buckets=2, fanout=2)
     for k in range(5):
         batch = spark.createDataFrame([(i, i, 100 - k) for i in range(k, k + 3)], "h1 long, h2 long, doc long")
         fresh = {r.h1 for r in runs.add(batch).collect()}
@@ -57,3 +58,12 @@ def test_runs_are_levelled_and_merged(spark):
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     assert {r.h1: r.n_docs for r in runs.totals().collect()} == {0: 1, 1: 2, 2: 3, 3: 3, 4: 3, 5: 2, 6: 1}
     runs.drop()
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, LONG, i, "a", "b", 7, 8) for i in range(4)], "doc_id long, text string, __doc long, _doc string, _DROPS string, llm_n_lines int, _mark int")
+    got = dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "__doc", "_doc", "_DROPS", "_mark", "llm_n_lines", "llm_n_dropped"]
+    assert {r.doc_id: (r.text, r._doc, r.llm_n_lines, r.llm_n_dropped) for r in got.collect()} == {i: (LONG if i == 3 else "", "a", 1, int(i < 3)) for i in range(4)}
+    kept = dedup_lines(df, with_counts=False, broadcast_keys=0)
+    assert kept.columns == df.columns and {r.doc_id: (r.text, r.llm_n_lines) for r in kept.collect()} == {i: (LONG if i == 3 else "", 7) for i in range(4)}
