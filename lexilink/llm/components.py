@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexilink.llm.common import written
+from lexilink.llm.common import Scratch
 
 
 class UnionFind:
@@ -75,9 +75,9 @@ def local_forest(edges: DataFrame, most: int = 200_000) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): every node of an edge with the smallest node of its component."""
-    now = written(local_forest(edges).where(F.col("a") != F.col("b")).distinct(), "edges")
+    now = scratch.written(local_forest(edges).where(F.col("a") != F.col("b")).distinct(), "edges")
     before = None
     while True:
         size = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
@@ -87,10 +87,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.col("u")).alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
-        large = written(large, "edges")
+        large = scratch.written(large, "edges")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lowest = down.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         moved = down.join(lowest, F.col("a") == F.col("u"))
         small = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = written(small.where(F.col("a") != F.col("b")).distinct(), "edges")
+        after = scratch.written(small.where(F.col("a") != F.col("b")).distinct(), "edges")
+        scratch.drop(now, large)
+        now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from lexilink.llm import jaccard
-from lexilink.llm.jaccard import jaccard_classes
+from lexilink.llm.jaccard import jaccard_classes, keep_one
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -72,6 +72,13 @@ def test_blocks_and_leaders_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "region_edges", lambda *a: plain(*a, small=2, large=3))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(df, cell_tokens=4000).collect()}
     assert got == brute(rows)
+    # Regions dealt to several tasks, whose leaders meet afterwards.
+    dealt = jaccard.candidate_edges
+    monkeypatch.setattr(jaccard, "candidate_edges", lambda *a: dealt(*a, share_bytes=7 * a[2]))
+    # Sets of all ranges of sizes.
+    monkeypatch.setattr(jaccard, "SIZES", ((20, 16), (60, 64), (1 << 62, 512)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_classes(df).collect()}
+    assert got == brute(rows)
 
 
 def test_equal_sizes_in_any_order_equal_brute_force(spark, monkeypatch):
@@ -121,3 +128,47 @@ def test_repeated_ids_null_ids_and_empty_table(spark):
     got = sorted(map(tuple, jaccard_classes(df).collect()), key=repr)
     assert got == sorted([(1, 47, 1), (1, 1, 1), (None, 47, 1), (None, 1, None), (3, 47, 1)], key=repr)
     assert jaccard_classes(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_voronoi_regions_lose_no_link(spark, monkeypatch, seed):
+    """One cell of several groups of copies, some near and some not, divided again and again."""
+    from lexilink.llm.common import Scratch
+
+    rng = np.random.default_rng(seed)
+    sets, shared = [], rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    for _ in range(6):
+        s = np.concatenate([shared, rng.integers(0, 1 << 63, 170, dtype=np.uint64)])
+        for _ in range(25):
+            changed = s.copy()
+            changed[rng.integers(30, 200, rng.integers(1, 40))] = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
+            sets.append(np.unique(changed))
+    n = [len(s) for s in sets]
+    table = spark.createDataFrame([(i, m, bytearray(s.tobytes())) for i, (m, s) in enumerate(zip(n, sets, strict=True))], "rid long, n long, tokens binary")
+    members = spark.createDataFrame([(i, 1) for i in range(len(sets))], "rid long, cell long")
+    turns, plain = [], jaccard.pivoted
+    monkeypatch.setattr(jaccard, "pivoted", lambda *a: turns.append(a[-1]) or plain(*a))
+    with Scratch(spark) as scratch:
+        edges = jaccard.exact_edges(members, table, 85, 1500, scratch).collect()
+    assert len(turns) >= 2
+    group, exact = jaccard.UnionFind(len(sets)), jaccard.UnionFind(len(sets))
+    for e in edges:
+        group.union(e.a, e.b)
+    for i in range(len(sets)):
+        for j in range(i):
+            if jaccard.linked(n[i], n[j], len(np.intersect1d(sets[i], sets[j])), 85):
+                exact.union(i, j)
+    assert group.roots().tolist() == exact.roots().tolist()
+
+
+def test_one_stays_of_each_class(spark):
+    base = [f"w{i}" for i in range(100)]
+    near = lambda k: " ".join([*base[:50], f"x{k}", *base[51:]])
+    rows = [(1, near(1)), (1, near(2)), (5, near(3)), (None, near(4)), (None, "q " * 40 + "a"), (None, "q " * 40 + "a"), (7, "alone"), (7, "alone"), (8, None), (8, None), (9, "")]
+    rows += [(None, " ".join(f"z{i}" for i in range(60))), (None, " ".join([*(f"z{i}" for i in range(60)), "end"]))]
+    df = spark.createDataFrame([(*r, i, {"k": str(i)}, "v", 2) for i, r in enumerate(rows)], "doc_id long, text string, __id int, _mark map<string,string>, _doc string, class int").repartition(4)
+    got = keep_one(df)
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    left = sorted(((r.doc_id, (r.text or "-")[:1]) for r in got.collect()), key=repr)
+    assert left == sorted([(1, "w"), (None, "q"), (7, "a"), (8, "-"), (9, "-"), (None, "z")], key=repr)
+    assert sorted(map(str, keep_one(df.repartition(3)).collect())) == sorted(map(str, got.collect()))

@@ -5,6 +5,7 @@ import pytest
 from test_decontaminate import brute as contaminated
 from test_jaccard import WORD as SPACED
 from test_linededup import brute as lines
+from test_packing import ids
 from test_quality import brute as counts
 
 from lexilink.llm.common import written
@@ -85,7 +86,7 @@ def test_decontamination(spark, stages):
 
 def test_packing(stages):
     got = stages[5].toPandas()
-    want = {doc: len(SPACED.findall(text)) + 1 for doc, text in texts(stages[4]).items()}
+    want = {doc: len(ids(text)) for doc, text in texts(stages[4]).items()}
     assert got.groupby("doc_id").n_tokens.sum().to_dict() == want
     assert (got.groupby("bin_id").n_tokens.sum() <= got.groupby("bin_id").capacity.first()).all()
 
@@ -96,3 +97,26 @@ def test_stages_take_nulls_and_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, DIR).collect()
         assert stage(spark, docs.limit(0), DIR).count() == 0
+
+
+def test_stages_take_clashing_names_repeated_rows_and_long_texts(spark):
+    """Each stage alone: no column is lost or overwritten, rows of one id are judged by their own texts, clean documents stay."""
+    clean = " ".join(f"word{i}a" for i in range(400))
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").first().text
+    texts_of = [(1, clean), (1, clean + " " + item), (1, clean), (2, clean.replace("word7a", "other")), (None, clean[::-1]), (None, None), (3, "very long " * 200_000), (4, "\n".join([clean[:300]] * 5)), (5, clean[:300]), (6, clean[:300])]
+    names = ["__doc", "_doc", "_mark", "__share", "_drops", "llm_n_lines", "rid", "row", "id", "n_words", "tokens"]
+    rows = [(d, t, "en", "s", len(t or ""), *[f"{n}{i}" for n in names]) for i, (d, t) in enumerate(texts_of)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)).repartition(3)
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        left[name] = sorted(int(r["__doc"][5:]) for r in out.collect())
+        assert all(r[n] == n + r["__doc"][5:] for r in out.collect() for n in names)
+    assert left["line_dedup"] == list(range(10))
+    near = left["ngram_jaccard_join"]
+    assert len([i for i in near if i in (0, 1, 2, 3)]) == 1 and {4, 5, 6} <= set(near)
+    assert left["benchmark_decontamination"] == [0, 2, 3, 4, 5, 6, 7, 8, 9]
+    assert not {5, 6} & set(left["quality_rules"])
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DIR).toPandas()
+    assert packed.n_tokens.sum() == sum(len(ids(t)) for _, t in texts_of)
