@@ -71,6 +71,12 @@ class Scratch:
         remove(self.spark, *(path for path, _ in self.paths.values()))
 
 
+def beside(table: DataFrame, width: Column, rows: int = 500_000, size: int = 64 << 20) -> DataFrame:
+    """A written table as the small side of a join: broadcast if it has at most so many rows and bytes (`width` a row), else as it is, for a join that shuffles."""
+    found = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()
+    return F.broadcast(table) if found["n"] <= rows and found["size"] <= size else table
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete intermediate folders that no later plan reads."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexilink.llm.common import ALNUM_WORD, Scratch, alnum_words, free_name, written
+from lexilink.llm.common import ALNUM_WORD, Scratch, alnum_words, beside, free_name, written
 
 #: In the case it has, a word holds capitals too.
 _ANY_CASE_WORD = ALNUM_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
@@ -172,6 +172,7 @@ def remove_contaminated(
     doc, mark, share, ranges = (free_name(x, docs) for x in ("doc", "mark", "share", "ranges"))
     # Rows that repeat an id and a text have one verdict.
     judged = judged.groupBy(F.col("doc").alias(doc), F.col("mark").alias(mark)).agg(F.max(F.col("n_hit") / F.col("n_words")).alias(share), F.first("ranges").alias(ranges))
+    judged = beside(written(judged, "contaminated"), 48 + 16 * F.size(ranges))
     same = F.col(id_col).eqNullSafe(F.col(doc)) & (_mark(F.col(text_col)) == F.col(mark))
     joined = docs.join(judged, same, "left").where(F.col(share).isNull() | (F.col(share) <= max_share))
     if max_share <= 0.0:

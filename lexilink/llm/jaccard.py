@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexilink.llm import wordbytes as wb
-from lexilink.llm.common import Scratch, arrow_rows, free_name, give_back, written
+from lexilink.llm.common import Scratch, arrow_rows, beside, free_name, give_back, written
 from lexilink.llm.components import UnionFind, components, local_forest
 
 #: Sets of at most so many shingles, and the number of classes, a power of two, that their points have.
@@ -641,6 +641,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
     in_class = found.where("class IS NOT NULL")
     first = in_class.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "mark")).alias("first"))
     gone = in_class.join(first, "class").where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")))).select(F.col("id").alias(doc), F.col("mark").alias(mark)).distinct()
+    gone = beside(written(gone, "copies-to-go"), F.lit(32))
     own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     same = F.col(id_col).eqNullSafe(F.col(doc)) & (own == F.col(mark))
     left = docs.join(gone, same, "left_anti")

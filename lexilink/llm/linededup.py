@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexilink.llm.common import Scratch, ascii_lower, free_name, written
+from lexilink.llm.common import Scratch, ascii_lower, beside, free_name, written
 
 _KEY = ["h1", "h2"]
 
@@ -139,6 +139,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with its text less the repeated lines, and with_counts llm_n_lines (before) and llm_n_dropped, to which columns of docs that have these names give way."""
     doc, mark, gone = (free_name(x, docs) for x in ("doc", "mark", "drops"))
     drops = dropped_lines(docs, id_col, text_col, **options).withColumnsRenamed({"doc": doc, "mark": mark, "drops": gone})
+    drops = beside(drops, 40 + 4 * F.size(gone))  # texts stay where they are while these are few
     joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col(doc)) & (row_mark(F.col(text_col)) == F.col(mark)), "left")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     # array_except hashes, so a text with many dropped lines stays linear.
