@@ -78,11 +78,11 @@ def _binary(rows: list[bytes]) -> pa.Array:
     return pa.array(rows, pa.binary())
 
 
-def _sets_of(column) -> list[np.ndarray]:
+def sets_of(column) -> list[np.ndarray]:
     return [np.frombuffer(b.as_py(), np.uint64) for b in column]
 
 
-def _slices(iterator, rows: int = 500):
+def slices(iterator, rows: int = 500):
     """Batches of few rows: Python objects are made of a few sets at a time."""
     for batch in iterator:
         for at in range(0, batch.num_rows, rows):
@@ -108,8 +108,8 @@ def points_of(sets: DataFrame, low: int, high: int, buckets: int, percent: int)
     """(rid, n, counts) of the sets that can be linked with one of over `low` and at most `high` shingles."""
 
     def run(iterator):
-        for batch in _slices(iterator, 200):
-            counts = counts_by_class(_sets_of(batch.column(2)), buckets)
+        for batch in slices(iterator, 200):
+            counts = counts_by_class(sets_of(batch.column(2)), buckets)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binary([c.tobytes() for c in counts])], ["rid", "n", "counts"])
         give_back()
 
@@ -131,8 +131,8 @@ def frequent_tokens(sets: DataFrame, one_in: int = 1000, most: int = 1_000_000,
             hot = counts >= max(4, docs / (2 * one_in))
             return pa.RecordBatch.from_arrays([pa.array(tokens[hot].view(np.int64)), pa.array(counts[hot])], ["token", "count"])
 
-        for batch in _slices(iterator):
-            for s in _sets_of(batch.column(0)):
+        for batch in slices(iterator):
+            for s in sets_of(batch.column(0)):
                 held.append(s)
                 size, docs = size + len(s), docs + 1
                 if size >= chunk:
@@ -177,9 +177,9 @@ def region_rows(sets: DataFrame, hot: np.ndarray, count: np.ndarray, percent: in
     def run(iterator):
         hot, count = shared.value
         seen = set()
-        for batch in _slices(iterator):
+        for batch in slices(iterator):
             tokens, rids, sizes = [], [], []
-            for rid, digest, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _sets_of(batch.column(2)), strict=True):
+            for rid, digest, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets_of(batch.column(2)), strict=True):
                 if digest not in seen:
                     seen.add(digest)
                     p = nearest_pivots(s, hot, count, percent)
@@ -268,7 +268,7 @@ def paired_edges(pairs: DataFrame, points: DataFrame, buckets: int, percent: int
     full = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "n_a", "n_b", "c_a", "c_b")
 
     def run(iterator):
-        for batch in _slices(iterator, max(1, (2000 * 256) // buckets)):
+        for batch in slices(iterator, max(1, (2000 * 256) // buckets)):
             if batch.num_rows:
                 a, b, n_a, n_b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
                 c_a, c_b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, buckets) for k in (4, 5))
@@ -433,7 +433,7 @@ def leader_links(leaders: DataFrame, buckets: int, percent: int) -> DataFrame:
 
     def run(iterator):
         key, kept = None, None
-        for batch in _slices(iterator):
+        for batch in slices(iterator):
             a, b = [], []
             for token, rid, n, reach, radius, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if token != key:
@@ -534,7 +534,7 @@ def pivoted(large: DataFrame, members: DataFrame, sets: DataFrame, percent: int,
         names = ["a", "b", "cell", "region", "d", "near"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_()]
 
-        for batch in _slices(iterator):
+        for batch in slices(iterator):
             out = []
             for cell, share, kind, rid, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = np.frombuffer(tokens, np.uint64)
@@ -609,7 +609,7 @@ def exact_edges(members: DataFrame, sets: DataFrame, percent: int, cell_tokens:
             a, b = join_cell(np.array(rids), held, percent)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in _slices(iterator):
+        for batch in slices(iterator):
             for *now, rid, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now != key:
                     if len(held) > 1:
@@ -659,12 +659,16 @@ def _classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str,
         return written(_found_classes(docs, n, percent, id_col, text_col, cell_tokens, scratch), "classes-of-rows")
 
 
-def _found_classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, cell_tokens: int, scratch: Scratch, broadcast_sets: int = 500_000) -> DataFrame:
-    sets = set_table(docs, n, id_col, text_col, scratch)
-    # Equal sets: one row stands for all. Digests that repeat (24 bytes a row) are broadcast while there are few, so that a set with very many copies goes to no task of its own.
+def equal_sets(sets: DataFrame, scratch: Scratch, broadcast_sets: int = 500_000) -> DataFrame:
+    """(rid, rep) of the rows whose sets repeat; one row stands for all. Digests that repeat (24 bytes a row) are broadcast while there are few, so that a set with very many copies goes to no task of its own."""
     equal = scratch.written(sets.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("digest", "rep"), "equal-digests")
     side = F.broadcast(equal) if equal.count() <= broadcast_sets else equal
-    copies = scratch.written(sets.where("n > 0").select("rid", "digest").join(side, "digest").select("rid", "rep"), "equal-sets")
+    return scratch.written(sets.where("n > 0").select("rid", "digest").join(side, "digest").select("rid", "rep"), "equal-sets")
+
+
+def _found_classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, cell_tokens: int, scratch: Scratch) -> DataFrame:
+    sets = set_table(docs, n, id_col, text_col, scratch)
+    copies = equal_sets(sets, scratch)
     regions = scratch.written(shared_regions(region_rows(sets, *frequent_tokens(sets), percent), percent), "regions")
     pairs = scratch.written(counted_pairs(regions, percent), "region-pairs")
     rows = regions.where("b IS NULL").select("token", F.col("a").alias("rid"))
@@ -680,7 +684,11 @@ def _found_classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
             found.append(scratch.written(local_forest(tested), "candidate-edges"))
             scratch.drop(points)
         low = high
-    edges = reduce(DataFrame.unionByName, found)
+    return classes_of_candidates(reduce(DataFrame.unionByName, found), sets, copies, percent, cell_tokens, scratch)
+
+
+def classes_of_candidates(edges: DataFrame, sets: DataFrame, copies: DataFrame, percent: int, cell_tokens: int, scratch: Scratch) -> DataFrame:
+    """id, mark, n, component_id, class (null for a document alone) of each row of sets; what edges (a, b) connect holds all links."""
     # Copies met in different tasks stand for one set from here on.
     met = edges.select(F.col("a").alias("rid")).union(edges.select("b")).distinct()
     cells = components(edges.unionByName(copies.where("rid != rep").join(met, "rid", "left_semi").select(F.col("rid").alias("a"), F.col("rep").alias("b"))), scratch)

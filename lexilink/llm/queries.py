@@ -11,11 +11,14 @@ from lexilink.llm.htmltext import extract_text
 from lexilink.llm.jaccard import jaccard_classes
 from lexilink.llm.licenses import scan_licenses
 from lexilink.llm.linededup import dedup_lines
+from lexilink.llm.minhash import near_duplicates
 from lexilink.llm.packing import pack_documents
 from lexilink.llm.quality import quality_rules
+from lexilink.llm.rolling import rolling_features
 from lexilink.llm.tokenfiles import tokenize_round_trip
 from lexilink.llm.urlfilter import RULES, filter_urls
 from lexilink.llm.warc import warc_round_trip
+from lexilink.llm.whitening import whitened_components
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +135,42 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict, n AS n_r
 """
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = OP8_SQL.replace("w[i:i + 3]", "w[i:i + 2]").replace("greatest(len(w) - 3, 1)", "greatest(len(w) - 2, 1)").replace("AS component_id\n", "AS component_id, least(d.doc_id, coalesce(m.least, d.doc_id)) = d.doc_id AS kept\n")
+
+
+def op13_rolling_window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ten minutes and twelve hours before each document, by source."""
+    place = F.col("doc_id") + F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10_000
+    docs = table(spark, sf_dir, "documents").withColumn("place", place)
+    event_s = F.expr("60 * ((place - pmod(place, 6)) div 6)")
+    found = rolling_features(docs, ["doc_id"], F.col("source"), event_s, F.char_length("text"), F.col("lang"))
+    names = {"n_rows": "n_events", "total": "sum_chars", "n_labels": "n_langs", "q0": "median_chars", "q1": "high_chars"}
+    return found.withColumnsRenamed(names)
+
+
+OP13_SQL = r"""
+WITH crc AS (SELECT list(list_reduce(list_concat([i::BIGINT], range(8)), lambda c, s: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+h AS (SELECT doc_id, source, lang, length(text) AS chars,
+             xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k, 1)))), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) AS h
+      FROM documents, crc),
+e AS (SELECT *, CAST(60 * floor((doc_id + h % 10000) / 6) AS BIGINT) AS event_s FROM h),
+w AS (SELECT doc_id, event_s, 600::BIGINT AS window_s, count(*) OVER s AS n_events, coalesce(sum(chars) OVER s, 0)::BIGINT AS sum_chars, count(DISTINCT lang) OVER s AS n_langs, list_sort(list(chars) FILTER (chars IS NOT NULL) OVER s) AS l FROM e
+      WINDOW s AS (PARTITION BY source ORDER BY event_s RANGE BETWEEN 600 PRECEDING AND 1 PRECEDING)
+      UNION ALL
+      SELECT doc_id, event_s, 43200, count(*) OVER s, coalesce(sum(chars) OVER s, 0)::BIGINT, count(DISTINCT lang) OVER s, list_sort(list(chars) FILTER (chars IS NOT NULL) OVER s) FROM e
+      WINDOW s AS (PARTITION BY source ORDER BY event_s RANGE BETWEEN 43200 PRECEDING AND 1 PRECEDING))
+SELECT doc_id, window_s, event_s, n_events, sum_chars, n_langs, CASE WHEN len(l) > 0 THEN l[(len(l) + 1) // 2] END AS median_chars, CASE WHEN len(l) > 0 THEN l[(90 * len(l) + 99) // 100] END AS high_chars FROM w
+"""
+
+
 def queries() -> dict:
     return {
         "op1_license_scans": op1_license_scans,
@@ -144,8 +183,11 @@ def queries() -> dict:
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op9_quality_rules": op9_quality_rules,
         "op10_url_filters": op10_url_filters,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_minhash_near_dedup": op12_minhash_near_dedup,
+        "op13_rolling_window_features": op13_rolling_window_features,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": OP3_SQL, "op4_warc": OP4_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filters": OP10_SQL}
+    return {"op3_benchmark_decontamination": OP3_SQL, "op4_warc": OP4_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filters": OP10_SQL, "op12_minhash_near_dedup": OP12_SQL, "op13_rolling_window_features": OP13_SQL}

@@ -15,9 +15,9 @@ def shingles(text, n=4):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
-def brute(rows, percent=85):
+def brute(rows, percent=85, n=4):
     """(n_shingles, component_id) by id, through an inverted index over all shared shingles."""
-    sets = [shingles(t) for _, t in rows]
+    sets = [shingles(t, n) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
