@@ -1,15 +1,16 @@
 """Vector indexes on disk: built once, opened by others, searched in blocks of queries.
 
-An index is a folder: `vectors` holds every vector with its cell and its code, in the order of cells, and `trained` one row with the settings, the centroids, the codebooks and the
-rotation. `trained` is written last, so an index is whole when it can be read. Kinds: flat; ivf: inverted cells; pq: product-quantised codes; ivfpq: codes of the residuals
-in cells; with `opq` codes are made after a rotation that makes their parts more independent. What is trained comes from at most `sample` vectors; every vector is indexed.
+An index is a folder: `vectors` holds every vector with its cell and its code, in the order of cells, `cells` the centroids of the cells, and `trained` one row with the settings, the coarse centroids, the codebooks
+and the rotation. `trained` is written last, so an index is whole when it can be read. Kinds: flat; ivf: inverted cells (cells.py: trained in jobs, in two levels); pq: product-quantised codes; ivfpq: codes of what is left of vectors
+less their coarse centroid; with `opq` codes are made after a rotation that makes their parts more independent. Codebooks and rotation are trained on at most `sample` vectors; every vector is indexed.
 
 Search streams the stored vectors: a task meets only the queries that probe a row's cell, scores its codes, and keeps the best rows of each query; the best `refine` times k are
-scored again by their exact vectors.
+scored again by their exact vectors. Blocks of queries are small enough that their probes take 64 MB at most.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -19,30 +20,29 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexilink.operators import cells as K
 from lexilink.operators import retrieval as R
-from lexilink.operators.runs import delete
+from lexilink.operators.runs import delete, scratch
 
 KINDS = ("flat", "ivf", "pq", "ivfpq")
 
 
 @dataclass
 class Trained:
-    """Settings and what was trained: centers (cells x d), codebooks (codes x entries x d / codes), rotation (d x d)."""
+    """Settings and what was trained: centers (of coarse cells, x d), codebooks (codes x entries x d / codes), rotation (d x d)."""
 
     kind: str
     metric: str
     size: int
     probes: int
+    n_cells: int
     factory: str
     centers: np.ndarray = field(repr=False)
     books: np.ndarray = field(repr=False)
     rotation: np.ndarray = field(repr=False)
 
-    def cells_of(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.centers.T - (self.centers**2).sum(axis=1) / 2).argmax(axis=1) if len(self.centers) else np.zeros(len(x), np.int64)
-
     def rest(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        """What is coded: the rotated difference from the centroid."""
+        """What is coded: the rotated difference from the centroid of the coarse cell."""
         return (x - self.centers[cells] if len(self.centers) else x) @ self.rotation
 
     def codes_of(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -62,19 +62,14 @@ def encoded(x: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.stack([(p @ b.T - (b**2).sum(axis=1) / 2).argmax(axis=1) for p, b in zip(parts, books, strict=True)], axis=1).astype(np.uint8)
 
 
-def train(x: np.ndarray, kind: str, metric: str, n: int, factor: float, codes: int, bits: int, opq: bool, turns: int = 6) -> Trained:
+def train(known: Trained, x: np.ndarray, own: np.ndarray, codes: int, bits: int, opq: bool, turns: int = 6) -> Trained:
+    """known with codebooks and rotation for vectors x and their coarse cells."""
     d = x.shape[1]
-    cells, probes = R.ivf_parameters(n, factor)
-    centers = R.k_means(x, cells) if kind.startswith("ivf") else np.zeros((0, d))
-    known = Trained(kind, metric, d, probes, R.factory_string(kind, n, codes, bits, opq), centers, np.zeros((0, 0, 0)), np.eye(d))
-    if not kind.endswith("pq"):
-        return known
     if d % codes:
         raise ValueError(f"{codes} codes don't divide {d} dimensions")
-    own = known.cells_of(x)
 
     def books_of(rest: np.ndarray) -> np.ndarray:
-        found = [R.k_means(part, 1 << bits) for part in np.split(rest, codes, axis=1)]
+        found = [K.k_means_local(part, 1 << bits) for part in np.split(rest, codes, axis=1)]
         return np.stack([np.pad(b, ((0, (1 << bits) - len(b)), (0, 0)), mode="edge") for b in found])
 
     for _ in range(turns if opq else 1):
@@ -83,7 +78,7 @@ def train(x: np.ndarray, kind: str, metric: str, n: int, factor: float, codes: i
         if opq:
             # The rotation that brings the vectors closest to what their codes stand for.
             parts = np.concatenate([known.books[m][c] for m, c in enumerate(encoded(rest, known.books).T)], axis=1)
-            u, _, v = np.linalg.svd((x - centers[own] if len(centers) else x).T @ parts)
+            u, _, v = np.linalg.svd((x - known.centers[own] if len(known.centers) else x).T @ parts)
             known.rotation = u @ v
     return known
 
@@ -103,7 +98,7 @@ class VectorIndex:
             return None
         d, books = row["size"], np.array(row["books"])
         shaped = {"centers": np.array(row["centers"]).reshape(-1, d), "books": books.reshape(row["codes"], -1, d // max(1, row["codes"])) if len(books) else np.zeros((0, 0, 0)), "rotation": np.array(row["rotation"]).reshape(d, d)}
-        return cls(spark, path, Trained(**{k: row[k] for k in ("kind", "metric", "size", "probes", "factory")}, **shaped))
+        return cls(spark, path, Trained(**{k: row[k] for k in ("kind", "metric", "size", "probes", "n_cells", "factory")}, **shaped))
 
     @classmethod
     def build(cls, vectors: DataFrame, path: str, kind: str = "ivf", metric: str = "ip", factor: float = 1.0, codes: int = 16, bits: int = 8, opq: bool = False, sample: int = 50_000, overwrite: bool = False, files: int | None = None) -> VectorIndex:
@@ -115,32 +110,40 @@ class VectorIndex:
             return found
         rows = vectors.select(F.col("uid").cast("long").alias("uid"), F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("embedding").isNotNull())
         n = rows.count()
-        x = R.sampled_vectors(rows, sample)
-        known = train(x, kind, metric, n, factor, codes, bits, opq) if n else Trained(kind, metric, 0, 1, R.factory_string(kind, 0, codes, bits, opq), np.zeros((0, 0)), np.zeros((0, 0, 0)), np.zeros((0, 0)))
+        count, probes = R.ivf_parameters(n, factor)
+        delete(spark, f"{path}/trained")
+        found = K.train_cells(rows, count, f"{path}/cells") if kind.startswith("ivf") and n else None
+        x = R.sampled_vectors(rows, sample) if kind.endswith("pq") and n else np.zeros((0, 0))
+        d = x.shape[1] or (found.coarse.shape[1] if found else 0) or (rows.agg(F.max(F.size("embedding"))).first()[0] if n else 0)
+        known = Trained(kind, metric, d, probes, found.n_fine if found else 0, R.factory_string(kind, n, codes, bits, opq), found.coarse if found else np.zeros((0, d)), np.zeros((0, 0, 0)), np.eye(d))
+        if len(x):
+            known = train(known, x, K.nearest(x, known.centers) if found else np.zeros(len(x), np.int64), codes, bits, opq)
         shared = spark.sparkContext.broadcast(known)
+        in_cells = K.nearest_cells(rows, found, "uid") if found else rows.select("uid", F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("coarse"), "embedding")
 
         def run(iterator):
             t = shared.value
             for batch in iterator:
                 if batch.num_rows:
-                    v = R._matrix(batch.column(1))
-                    cells = t.cells_of(v)
-                    coded = [c.tobytes() for c in t.codes_of(v, cells)] if len(t.books) else [b""] * len(v)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int64()), pa.array(coded, pa.binary())], ["uid", "embedding", "cell", "code"])
+                    coded = [c.tobytes() for c in t.codes_of(R._matrix(batch.column(3)), batch.column(2).to_numpy(zero_copy_only=False))] if len(t.books) else [b""] * batch.num_rows
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(1), batch.column(2), pa.array(coded, pa.binary())], ["uid", "embedding", "cell", "coarse", "code"])
 
-        placed = rows.mapInArrow(run, "uid long, embedding array<float>, cell long, code binary")
+        placed = in_cells.select("uid", "cell", "coarse", "embedding").mapInArrow(run, "uid long, embedding array<float>, cell long, coarse long, code binary")
         # Hashes of the ids split cells that are large, so that no range of cells is one task's.
         ranged = placed.repartitionByRange(files or int(spark.conf.get("spark.sql.shuffle.partitions")), "cell", F.xxhash64("uid")).sortWithinPartitions("cell", "uid")
-        delete(spark, f"{path}/trained")
         ranged.write.mode("overwrite").parquet(f"{path}/vectors")
         flat = {k: v for k, v in asdict(known).items() if not isinstance(v, np.ndarray)} | {k: getattr(known, k).ravel().tolist() for k in ("centers", "books", "rotation")} | {"codes": len(known.books)}
-        schema = "kind string, metric string, size int, probes int, factory string, centers array<double>, books array<double>, rotation array<double>, codes int"
+        schema = "kind string, metric string, size int, probes int, n_cells long, factory string, centers array<double>, books array<double>, rotation array<double>, codes int"
         spark.createDataFrame([[flat[c.split()[0]] for c in schema.split(", ")]], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/trained")
         return cls(spark, path, known)
 
     def vectors(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/vectors")
 
+    def cells(self) -> K.Cells:
+        fine = self.spark.read.schema("cell long, coarse long, center array<double>").parquet(f"{self.path}/cells")
+        return K.Cells(self.trained.centers, fine, self.trained.n_cells)
+
     def search(self, queries: DataFrame, k: int, probes: int | None = None, refine: int = 8) -> DataFrame:
         """(mention, rank, uid, score) of the k best for each (mention, embedding); fewer where the probed cells hold fewer."""
         t = self.trained
@@ -148,7 +151,7 @@ class VectorIndex:
             return R.knn(queries, self.vectors(), k, t.metric)
         most = k * refine if len(t.books) else k
         parts = None
-        for ids, q in R.query_blocks(queries):
+        for ids, q in R.query_blocks(queries, min(200_000, max(1, (4 << 20) // (probes or t.probes)))):
             part = self._partial(ids, q, most, probes or t.probes)
             parts = part if parts is None else parts.unionByName(part)
         best = R.merge_top_k(parts, most)
@@ -162,11 +165,18 @@ class VectorIndex:
         """(mention, uid, score): each task's best rows among the cells that queries probe."""
         t = self.trained
         asked: dict[int, np.ndarray] = {0: np.arange(len(ids))}
-        if len(t.centers) and len(ids):
-            near = np.argsort(-(queries @ t.centers.T - (t.centers**2).sum(axis=1) / 2), axis=1)[:, :probes]
-            asked = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
+        if t.n_cells and len(ids):
+            block = self.spark.createDataFrame(pa.table({"at": pa.array(np.arange(len(ids))), "embedding": K._lists(queries)}))
+            # A few coarse cells more than hold as many cells as are probed.
+            coarse = max(8, -(-4 * probes * len(t.centers) // t.n_cells))
+            near = K.nearest_cells(block, self.cells(), "at", probes, coarse).select("at", "cell").toArrow()
+            at, cell = near.column("at").to_numpy(), near.column("cell").to_numpy()
+            order = np.argsort(cell, kind="stable")
+            at, cell = at[order], cell[order]
+            cuts = np.flatnonzero(np.diff(cell)) + 1
+            asked = {int(cell[k[0]]): at[k] for k in np.split(np.arange(len(cell)), cuts) if len(k)}
         shared = self.spark.sparkContext.broadcast((t, ids, queries, asked))
-        stored = self.vectors().select("uid", "cell", "code" if len(t.books) else "embedding")
+        stored = self.vectors().select("uid", "cell", "code" if len(t.books) else "embedding", "coarse")
         if len(asked) <= 1000:
             stored = stored.where(F.col("cell").isin([*asked]))
 
@@ -184,7 +194,7 @@ class VectorIndex:
                         continue
                     if len(t.books):
                         codes = np.frombuffer(b"".join(batch.column(2).take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), -1)
-                        x = t.decoded(codes, cells[rows])
+                        x = t.decoded(codes, batch.column(3).to_numpy(zero_copy_only=False)[rows])
                     else:
                         x = R._matrix(batch.column(2).take(pa.array(rows)))
                     scores = R.score_block(q[who], x, t.metric)
@@ -193,3 +203,9 @@ class VectorIndex:
             yield pa.RecordBatch.from_arrays([pa.array(ids[top.rows], pa.int64()), pa.array(top.uids), pa.array(top.scores)], ["mention", "uid", "score"])
 
         return stored.mapInArrow(run, "mention long, uid long, score double")
+
+
+def knn_ivf(queries: DataFrame, index: DataFrame, k: int, factor: float = 1.0) -> DataFrame:
+    """Approximate top-k over an index made for this one search."""
+    path = f"{scratch(index.sparkSession)}/ivf-{uuid.uuid4().hex}"
+    return VectorIndex.build(index, path, "ivf", factor=factor).search(queries, k)

@@ -1,4 +1,4 @@
-"""Top-k retrieval over vectors: exact by blocks, merged over shards, and over inverted cells.
+"""Top-k retrieval over vectors: exact by blocks, and merged over shards.
 
 The queries are a stated set and stay in memory in blocks of bounded size; the index side is streamed in Arrow batches, so each task multiplies one
 batch by `query_block` queries at a time and keeps the k best rows of each query so far. What is shuffled is k rows per query and task, merged by a final top-k.
@@ -134,49 +134,3 @@ def sampled_vectors(index: DataFrame, sample: int) -> np.ndarray:
         rows = rows.where(F.col("place") <= int(-(2.0**63) + 2.0**64 * 1.2 * sample / n))
     table = rows.orderBy("place", "uid").limit(sample).select("embedding").toArrow().combine_chunks()
     return _matrix(table.column(0).combine_chunks()) if table.num_rows else np.zeros((0, 0))
-
-
-def k_means(x: np.ndarray, cells: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
-    """At most `cells` centroids of the rows of x."""
-    rng = np.random.default_rng(seed)
-    centers = x[rng.choice(len(x), min(cells, len(x)), replace=False)]
-    for _ in range(rounds):
-        nearest = (x @ centers.T - (centers**2).sum(axis=1) / 2).argmax(axis=1)
-        counts = np.bincount(nearest, minlength=len(centers))
-        sums = np.zeros_like(centers)
-        np.add.at(sums, nearest, x)
-        centers = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], x[rng.integers(len(x), size=len(centers))])
-    return centers
-
-
-def train_cells(index: DataFrame, cells: int, sample: int = 50_000, rounds: int = 12, seed: int = 3) -> np.ndarray:
-    """Centroids by k-means on at most `sample` vectors."""
-    return k_means(sampled_vectors(index, sample), cells, rounds, seed)
-
-
-def assign_cells(df: DataFrame, id_col: str, centers: np.ndarray, probes: int) -> DataFrame:
-    """(id, embedding, cell): each vector with its `probes` nearest cells."""
-    shared = df.sparkSession.sparkContext.broadcast(centers)
-
-    def run(iterator):
-        c = shared.value
-        for batch in iterator:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1))
-            closeness = x @ c.T - (c**2).sum(axis=1) / 2
-            near = np.argsort(-closeness, axis=1)[:, :probes]
-            rows = np.repeat(np.arange(len(x)), near.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(near.ravel().astype(np.int64))], [id_col, "embedding", "cell"])
-
-    return df.select(id_col, F.col("embedding").cast("array<float>")).where(F.col("embedding").isNotNull()).mapInArrow(run, f"{id_col} long, embedding array<float>, cell long")
-
-
-def knn_ivf(queries: DataFrame, index: DataFrame, k: int, factor: float = 1.0, centers: np.ndarray | None = None) -> DataFrame:
-    """Approximate top-k: queries meet only the vectors of their nearest cells. Every vector is indexed, in one cell; the join is an equi-join on cells."""
-    cells, probes = ivf_parameters(index.count(), factor)
-    centers = train_cells(index, cells) if centers is None else centers
-    placed = assign_cells(index, "uid", centers, 1)
-    asked = assign_cells(queries, "mention", centers, probes).withColumnRenamed("embedding", "query")
-    product = F.aggregate(F.zip_with("query", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return merge_top_k(placed.join(asked, "cell").select("mention", "uid", F.round(product, DIGITS).alias("score")), k)

@@ -15,12 +15,13 @@ from lexilink.operators.indexstore import VectorIndex
 from lexilink.plans.catalog import register
 from lexilink.sources import fixtures as S
 from lexilink.sources import kb_source as K
+from lexilink.sources import lines as L
 from lexilink.sources import pubtator as P
 from lexilink.sources import writers as X
 from lexilink.sources.shards import ShardStore, flattened, write_shards
 
 PA, KB, AN, V = S.PASSAGES_SQL, S.KB_SQL, S.ANNOTATIONS_SQL, S.VECTORS_SQL
-_LINE = r"regexp_replace(text, '[\r\n\t]+', ' ', 'g')"
+_LINE = r"regexp_replace(text, '[\r\n\t]', ' ', 'g')"
 
 
 def _path(spark, what: str) -> str:
@@ -63,7 +64,7 @@ for _kind, _opq in (("ivf", False), ("pq", False), ("ivfpq", False), ("ivfpq", T
 
 
 # Documents: the first word of each passage is annotated, at its place in the document.
-_DOCS = f"{PA}, of AS (SELECT *, {_LINE} AS line, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY eid ORDER BY passage_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o, string_split(text, ' ')[1] AS w, row_number() OVER (PARTITION BY eid ORDER BY passage_id) AS k FROM pa)"
+_DOCS = f"{PA}, of AS (SELECT *, {_LINE} AS line, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY eid ORDER BY passage_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o, string_split(text, ' ')[1] AS w, regexp_replace(string_split(text, ' ')[1], '[\\r\\n\\t]', ' ', 'g') AS lw, row_number() OVER (PARTITION BY eid ORDER BY passage_id) AS k FROM pa)"
 
 
 def _annotated(spark, d):
@@ -73,7 +74,7 @@ def _annotated(spark, d):
     return p, marked.select("eid", "passage_id", "start", (F.col("start") + F.length(first)).alias("end"), first.alias("text"), F.col("role").alias("type"), F.array(F.col("eid").cast("string"), F.concat(F.lit("Tax:"), F.col("passage_id").cast("string"))).alias("ids"))
 
 
-@register("pubtator_files", f"WITH {_DOCS}, t AS (SELECT eid, max(line) FILTER (WHERE k = 1) AS title, coalesce(string_agg(line, ' ' ORDER BY k) FILTER (WHERE k > 1), '') AS abstract FROM of GROUP BY eid) SELECT of.eid AS pmid, o AS start, o + length(w) AS \"end\", w AS text, role AS type, of.eid || '/' || passage_id AS ids, md5(title) AS title, md5(abstract) AS abstract FROM of JOIN t ON of.eid = t.eid")
+@register("pubtator_files", f"WITH {_DOCS}, t AS (SELECT eid, max(line) FILTER (WHERE k = 1) AS title, coalesce(string_agg(line, ' ' ORDER BY k) FILTER (WHERE k > 1), '') AS abstract FROM of GROUP BY eid) SELECT of.eid AS pmid, o AS start, o + length(w) AS \"end\", lw AS text, role AS type, of.eid || '/' || passage_id AS ids, md5(title) AS title, md5(abstract) AS abstract FROM of JOIN t ON of.eid = t.eid")
 def pubtator_files(spark, d):
     path = _path(spark, "pubtator")
     X.write_contents(X.pubtator_documents(*_annotated(spark, d)), path)
@@ -98,7 +99,7 @@ def document_files(spark, d):
     return spark.read.option("lineSep", "\f").text(path).select(F.col("eid").cast("long").alias("eid"), F.md5("value").alias("content"))
 
 
-@register("concept_files", f"WITH {_DOCS} SELECT eid || '||' || o || '|' || (o + length(w)) || '||' || role || '||' || w || '||' || eid || '|Tax:' || passage_id AS line FROM of")
+@register("concept_files", f"WITH {_DOCS} SELECT eid || '||' || o || '|' || (o + length(w)) || '||' || role || '||' || lw || '||' || eid || '|Tax:' || passage_id AS line FROM of")
 def concept_files(spark, d):
     path = _path(spark, "concept")
     X.write_contents(X.concept_documents(_annotated(spark, d)[1]), path)
@@ -160,20 +161,37 @@ def blink_kb_shards(spark, d):
     return read.select("shard", unique.alias("document_id"), "title", F.md5("text").alias("text"))
 
 
-@register("generative_files", f"WITH {_DOCS}, r AS (SELECT row_number() OVER (ORDER BY eid, passage_id) AS place, * FROM of) SELECT place, md5('START ' || w || ' END' || substr(line, length(w) + 1)) AS source, w || ' is' AS target, eid || '-' || passage_id AS hexdigest FROM r")
-def generative_files(spark, d):
-    """Parallel files of sources, targets and digests, zipped again by line; files of other lengths are an error."""
-    from lexilink.operators.sharding import global_row_number
+_GEN = f"{_DOCS}, r AS (SELECT row_number() OVER (ORDER BY eid, passage_id) - 1 AS place, * FROM of)"
 
-    first = F.get(F.split("text", " ", -1), F.lit(0))
+
+@register("generative_files", f"WITH {_GEN} SELECT place, md5('START ' || lw || ' END' || substr(line, length(w) + 1)) AS source, lw || ' is' AS target, role AS label, eid || '-' || passage_id AS hexdigests FROM r")
+def generative_files(spark, d):
+    """Sources, targets, labels and digests as parallel files of plain lines, zipped again by line; files of other lengths are an error."""
+    first = X.one_line(F.get(F.split("text", " ", -1), F.lit(0)))
     line = X.one_line(F.col("text"))
-    rows = S.passages(spark, d).select("eid", "passage_id", F.concat(F.lit("START "), first, F.lit(" END"), F.substring(line, F.length(first) + 1, F.length(line))).alias("source"), F.concat(first, F.lit(" is")).alias("target"), F.concat_ws("-", "eid", "passage_id").alias("hexdigest"))
-    numbered = global_row_number(rows, ["eid", "passage_id"], "place", 1)
-    paths = {}
-    for name in ("source", "target", "hexdigest"):
-        paths[name] = _path(spark, name)
-        numbered.select(F.concat_ws("\t", F.col("place").cast("string"), name).alias("value")).write.text(paths[name])
-    return runs.zipped({name: spark.read.text(path).select(F.split("value", "\t", 2).alias("v")).select(F.get("v", F.lit(0)).cast("long").alias("place"), F.get("v", F.lit(1)).alias(name)) for name, path in paths.items()}, "place").withColumn("source", F.md5("source"))
+    source = F.concat(F.lit("START "), first, F.lit(" END"), F.substring(line, F.length(first) + 1, F.length(line)))
+    rows = S.passages(spark, d).select("eid", "passage_id", source.alias("source"), F.concat(first, F.lit(" is")).alias("target"), F.col("role").alias("label"), F.concat_ws("-", "eid", "passage_id").alias("hexdigests"))
+    path, names = _path(spark, "generative"), ["source", "target", "label", "hexdigests"]
+    L.write_parallel(rows, ["eid", "passage_id"], names, path)
+    return L.read_parallel(spark, path, names).withColumn("source", F.md5("source"))
+
+
+@register("generative_results", f"WITH {_GEN} SELECT eid || '-' || passage_id AS hexdigest, upper(role) AS predicted FROM r")
+def generative_results(spark, d):
+    """A tool's results, one a line without digests, met with the digests' file by line."""
+    rows = S.passages(spark, d).select("eid", "passage_id", F.concat_ws("-", "eid", "passage_id").alias("hexdigests"), F.to_json(F.struct(F.upper("role").alias("y_pred"))).alias("results"))
+    path = _path(spark, "results")
+    L.write_parallel(rows, ["eid", "passage_id"], ["hexdigests", "results"], path)
+    both = L.read_parallel(spark, path, ["hexdigests", "results"])
+    return both.select(F.col("hexdigests").alias("hexdigest"), F.get_json_object("results", "$.y_pred").alias("predicted"))
+
+
+@register("target_names", f"WITH {KB} SELECT CAST(identifier AS VARCHAR) AS id, string_agg(DISTINCT name, '|' ORDER BY name) AS names FROM kb GROUP BY identifier")
+def target_names(spark, d):
+    """The knowledge base as JSON, each identifier with its names, written and read."""
+    path = _path(spark, "names")
+    L.write_names(S.kb(spark, d), "identifier", "name", path)
+    return L.read_names(spark, path).select("id", F.array_join("names", "|").alias("names"))
 
 
 @register("json_files", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")

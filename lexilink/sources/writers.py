@@ -10,7 +10,8 @@ from lexilink.sources.pubtator import concept_line
 
 
 def one_line(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n\t]+", " ")
+    """Every line break and tab becomes one space, so that offsets stay what they are."""
+    return F.translate(F.coalesce(text, F.lit("")), "\r\n\t", "   ")
 
 
 def _ordered(column: str) -> Column:

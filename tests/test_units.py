@@ -15,6 +15,7 @@ from lexilink.operators import candidates as C
 from lexilink.operators import corpus as K
 from lexilink.operators import evaluation as E
 from lexilink.operators import homonyms as H
+from lexilink.operators import indexstore as I
 from lexilink.operators import retrieval as R
 from lexilink.operators import sharding as S
 from lexilink.operators import textsim as X
@@ -75,9 +76,9 @@ def test_ivf_reaches_flat(spark):
     d = "/root/testdata/sf0.01"
     q, index = fixtures.query_vectors(spark, d), fixtures.kb_vectors(spark, d)
     flat = {(r.mention, r.uid) for r in R.knn(q, index, 10).collect()}
-    near = {(r.mention, r.uid) for r in R.knn_ivf(q, index, 10, factor=3.5).collect()}
+    near = {(r.mention, r.uid) for r in I.knn_ivf(q, index, 10, factor=3.5).collect()}
     assert len(flat & near) / len(flat) >= 0.9
-    every = {(r.mention, r.uid) for r in R.knn_ivf(q, index, 10, factor=100.0).collect()}
+    every = {(r.mention, r.uid) for r in I.knn_ivf(q, index, 10, factor=100.0).collect()}
     assert every == flat
 
 
