@@ -1,6 +1,6 @@
 """A training corpus from `documents`: quality rules, line dedup, near-duplicate removal, benchmark decontamination, packing.
 
-Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet in the shared folder and reads again as the next stage's docs. All
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet in the shared folder and reads again as the next stage's docs; a stage's table goes once the next one is written. All
 stages but the last return the columns of documents. The isolation forest and the packing can't be said in SQL, so ORACLE_SQL is None and the tests hold every stage against a brute-force version.
 
 Edge cases, for docs of any stage: a null or empty text has no words, so the quality rules reject it; further on it has one empty line, is near nothing, holds no benchmark window and is
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilink.llm.common import table, written
+from lexilink.llm.common import Scratch, table, written
 from lexilink.llm.decontaminate import remove_contaminated
 from lexilink.llm.jaccard import keep_one
 from lexilink.llm.linededup import dedup_lines
@@ -62,6 +62,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as scratch:
+        before = None
+        for name, stage in STAGES[:-1]:
+            docs = scratch.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            if before is not None:
+                scratch.drop(before)
+            before = docs
+        return written(STAGES[-1][1](spark, docs, sf_dir), "pipeline")

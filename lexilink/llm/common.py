@@ -40,6 +40,9 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    # Where nobody removes it before, it goes when the driver's JVM ends.
+    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

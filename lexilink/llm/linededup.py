@@ -4,8 +4,8 @@ A line's key is the line without white space (0x20, 0x09-0x0D) at its ends, A-Z
 code points are never dropped. Keys are held as two 64-bit hashes. Documents are taken in batches by
 descending id. Each batch becomes a sorted run (key, number of documents); a merge-anti-join with the runs written so far
 leaves the keys that no earlier batch had, and their largest document of this batch is their holder, which
-makes it the largest of all. When a level has `fanout` runs they are merged into one of the next level; the last merge leaves
-the totals. Runs are bucketed by key and sorted in each bucket, in the warehouse, so anti-joins with runs read buckets
+makes it the largest of all. When a level has `fanout` runs they are merged into one of the next level, so a batch meets about log(batches) runs; the totals are the sum of what runs are left. Batches hold about
+`batch_lines` lines each; there are at least 4 and at most 16 of them, so that compaction has at least two levels and the number of jobs stays bounded. Runs are bucketed by key and sorted in each bucket, in the warehouse, so anti-joins with runs read buckets
 side by side and shuffle nothing.
 
 Keys in at least `min_docs` documents lose all their lines but those of the holder.
@@ -46,7 +46,7 @@ def keyed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
 class LineRuns:
     """Levelled sorted runs of (h1, h2, n_docs) as bucketed tables."""
 
-    def __init__(self, scratch: Scratch, buckets: int, fanout: int = 4):
+    def __init__(self, scratch: Scratch, buckets: int, fanout: int = 2):
         self.scratch, self.spark, self.buckets, self.fanout = scratch, scratch.spark, buckets, fanout
         self.levels: list[list[str]] = [[]]
         self._name, self._made = f"line_runs_{uuid.uuid4().hex}", 0
@@ -93,7 +93,8 @@ class LineRuns:
 
     def drop(self) -> None:
         for name in self._all():
-            self.spark.sql(f"DROP TABLE {name}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.levels = [[]]
 
     def totals(self) -> DataFrame:
         """(h1, h2, n_docs) over all batches."""
@@ -111,25 +112,27 @@ def descending_batches(lines: DataFrame, batches: int) -> list[Column]:
     return [doc >= edges[-1], *inner[::-1], (doc < edges[0]) | doc.isNull()]
 
 
-def repeated_keys(lines: DataFrame, min_docs: int, batches: int, keys_per_bucket: int = 500_000) -> DataFrame:
+def repeated_keys(lines: DataFrame, min_docs: int, batch_lines: int, keys_per_bucket: int = 500_000) -> DataFrame:
     """(h1, h2, holder) of keys in at least min_docs documents, as a written table."""
     with Scratch(lines.sparkSession) as scratch:
+        n = lines.count()
         # As many buckets as shuffles have partitions, at least: each task of a shuffle by key then writes one file.
-        buckets = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // keys_per_bucket))
+        buckets = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), -(-n // keys_per_bucket))
         runs = LineRuns(scratch, buckets)
-        holders = [runs.add(lines.where(c).groupBy("doc", *_KEY).agg(F.count("*").alias("n"))) for c in descending_batches(lines, batches)]
-        out = written(reduce(DataFrame.unionByName, holders).join(runs.totals().where(F.col("n_docs") >= min_docs), _KEY).select(*_KEY, "holder"), "repeated-lines")
-        runs.drop()
-    return out
+        try:
+            holders = [runs.add(lines.where(c).groupBy("doc", *_KEY).agg(F.count("*").alias("n"))) for c in descending_batches(lines, min(16, max(4, -(-n // batch_lines))))]
+            return written(reduce(DataFrame.unionByName, holders).join(runs.totals().where(F.col("n_docs") >= min_docs), _KEY).select(*_KEY, "holder"), "repeated-lines")
+        finally:
+            runs.drop()
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, broadcast_keys: int = 500_000) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batch_lines: int = 20_000_000, broadcast_keys: int = 500_000) -> DataFrame:
     """(doc, mark, drops): the ascending positions of the lines that a document loses; only documents that lose any. Written.
 
     Repeated keys (24 bytes each) are broadcast while there are at most broadcast_keys, so lines that are very common go to no task of their own; beyond that the join shuffles, and Spark splits frequent keys."""
     with Scratch(docs.sparkSession) as scratch:
         lines = scratch.written(keyed_lines(docs, id_col, text_col, min_chars), "keyed-lines")
-        repeated = repeated_keys(lines, min_docs, batches)
+        repeated = repeated_keys(lines, min_docs, batch_lines)
         side = F.broadcast(repeated) if repeated.count() <= broadcast_keys else repeated
         lost = lines.join(side, _KEY).where(~F.col("doc").eqNullSafe(F.col("holder")))
         return written(lost.groupBy("doc", "mark").agg(F.array_sort(F.collect_set("pos")).alias("drops")), "dropped-lines")

@@ -6,11 +6,11 @@ tokens that are still to come less the room already open. At the end each bin sh
 the largest one needed, and the choice of the least total cost stays, so capacities are decided on jointly, not bin by bin alone. Documents longer than the largest capacity are cut
 into pieces of it and a rest, and all pieces are packed, so no token is lost.
 
-Bins are decided on by ids and lengths alone. These are dealt into groups of about `group_items` by row number, so equal rows spread, and each group is packed on its own, in one task with
-bounded memory; what this costs is at most the open bins at each group's end. `sequences` then fills bins with token ids; a bin is bounded by its capacity.
+Bins are decided on by ids and lengths alone. These are dealt into groups of about `group_items` by a hash of id and text, rows that repeat both by their number among the equal ones, so copies spread, and the result hangs on the rows alone,
+not on their partitions. Each group is packed on its own, in one task with bounded memory; what this costs is at most the open bins at each group's end. Then every piece gets its token ids, and `sequences` fills bins with them; a bin is bounded by its capacity.
 
-Edge cases: a null or empty text has its end token alone; ties are packed by id, null ids first, then by row; rows that repeat an id are packed each for itself and told apart by `row`; an empty table gives an
-empty one; only the id and the text are read.
+Edge cases: a null or empty text has its end token alone; ties are packed by id, null ids first, then by the text's hash; rows that repeat an id are packed each for itself, told apart by `mark` (the text's hash) and `copy` (the number among rows
+that repeat both, from 0); an empty table gives an empty one; only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexilink.llm import wordbytes as wb
-from lexilink.llm.common import arrow_rows, give_back, written
+from lexilink.llm.common import Scratch, arrow_rows, give_back, written
 from lexilink.llm.tokenfiles import Encoder
 
 CAPACITIES = (1024, 2048, 4096)
@@ -89,50 +89,65 @@ def pack_jointly(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, o
     return best
 
 
-def token_lengths(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(row, id, length) and on request `ids` of each row of docs, as a written table, so that row numbers stay what they are."""
+def token_lengths(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, with_ids: bool = False) -> DataFrame:
+    """(row, id, mark, length) and on request `ids` of each row of docs, as a written table, so that row numbers stay what they are."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"row long, id {kind}, length long" + (", ids array<int>" if with_ids else "")
+    schema = f"row long, id {kind}, mark long, length long" + (", ids array<int>" if with_ids else "")
 
     def run(iterator):
         encoder = Encoder.at(tokenizer_path, end_id)
         for batch in wb.batches(iterator, "text"):
-            ids, counts = encoder.encode(batch.column(2))
-            columns = [batch.column(0), batch.column(1), pa.array(counts, pa.int64())]
+            ids, counts = encoder.encode(batch.column(3))
+            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int64())]
             if with_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32))))
-            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "length", "ids"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "mark", "length", "ids"][: len(columns)])
         give_back()
 
-    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
     with arrow_rows(spark, 1000):
-        return written(plain.mapInArrow(run, schema), "token-lengths")
+        return (scratch.written if scratch else written)(plain.mapInArrow(run, schema), "token-lengths")
+
+
+def numbered_copies(items: DataFrame) -> DataFrame:
+    """items with `copy`: the number of a row among those with its id and mark, from 0. Rows of a partition are numbered there, and then shifted by the sizes of the partitions before it, so no key meets in one task."""
+    same = ["id", "mark"]
+    again = items.groupBy(*same).agg(F.count("*").alias("copies")).where("copies > 1").select(*[F.col(c).alias(f"_{c}") for c in same])
+    known = items.join(again, items["id"].eqNullSafe(again["_id"]) & (items["mark"] == again["_mark"]), "left").withColumn("part", F.shiftright("row", 33))
+    once = known.where("_mark IS NULL").select(*items.columns, F.lit(0).cast("long").alias("copy"))
+    rest = known.where("_mark IS NOT NULL").withColumn("inside", F.row_number().over(Window.partitionBy(*same, "part").orderBy("row")) - 1)
+    sizes = rest.groupBy(*same, "part").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(*same).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select(*[F.col(c).alias(f"of_{c}") for c in (*same, "part")], before.alias("before"))
+    met = rest.join(shifts, rest["id"].eqNullSafe(shifts["of_id"]) & (rest["mark"] == shifts["of_mark"]) & (rest["part"] == shifts["of_part"]))
+    return once.unionByName(met.select(*items.columns, (F.col("before") + F.col("inside")).alias("copy")))
 
 
 def pack_lengths(items: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, group_items: int = 50_000) -> DataFrame:
-    """bin_id, capacity, row, id, start (of the piece in its document), n_tokens, offset (in the bin) for (row, id, length) rows, a table that gives the same rows each time it is read."""
+    """bin_id, capacity, row, id, mark, copy, start (of the piece in its document), n_tokens, offset (in the bin) for (row, id, mark, length) rows, a table that gives the same rows each time it is read."""
     largest = max(capacities)
     kind = items.schema["id"].dataType.simpleString()
     starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(largest).cast("long"))
-    pieces = items.where("length > 0").select("row", "id", "length", F.explode(starts).alias("start")).select("row", "id", "start", F.least(F.col("length") - F.col("start"), F.lit(largest).cast("long")).alias("n_tokens"))
+    own = ["row", "id", "mark", "copy"]
+    pieces = numbered_copies(items.select("row", "id", "mark", "length").where("length > 0")).select(*own, "length", F.explode(starts).alias("start")).select(*own, "start", F.least(F.col("length") - F.col("start"), F.lit(largest).cast("long")).alias("n_tokens"))
     n = items.where("length > 0").agg(F.sum(F.ceil(F.col("length") / largest))).first()[0] or 0
     groups = max(1, -(-n // group_items))
-    # Row numbers run on within a partition, so neighbours and copies fall in different groups; a long document's pieces do too.
-    dealt = pieces.withColumn("group", F.pmod(F.col("row") + F.shiftright("row", 33) + F.floor(F.col("start") / largest), F.lit(groups)).cast("int"))
+    # A long document's pieces fall in different groups, and so do copies.
+    dealt = pieces.withColumn("group", F.pmod(F.pmod(F.xxhash64("id", "mark"), F.lit(1 << 40)) + F.col("copy") + F.floor(F.col("start") / largest), F.lit(groups)).cast("int"))
 
     def run(iterator):
         group, held = None, []
 
         def out():
-            rows, ids, start, tokens = (pa.chunked_array([b.column(k) for b in held]).combine_chunks() for k in range(4))
+            *known, start, tokens = (pa.chunked_array([b.column(k) for b in held]).combine_chunks() for k in range(6))
             bins, offsets, size = pack_jointly(tokens.to_pylist(), capacities, overhead)
             return pa.RecordBatch.from_arrays(
-                [pa.array((np.int64(group) << 32) + bins), pa.array(size[bins].astype(np.int64)), rows, ids, start, tokens, pa.array(offsets)], ["bin_id", "capacity", "row", "id", "start", "n_tokens", "offset"]
+                [pa.array((np.int64(group) << 32) + bins), pa.array(size[bins].astype(np.int64)), *known, start, tokens, pa.array(offsets)], ["bin_id", "capacity", *own, "start", "n_tokens", "offset"]
             )
 
         for batch in iterator:
-            groups_of = batch.column(4).to_numpy()
+            groups_of = batch.column(6).to_numpy()
             cuts = [0, *(np.flatnonzero(groups_of[1:] != groups_of[:-1]) + 1).tolist(), len(groups_of)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
@@ -147,24 +162,29 @@ def pack_lengths(items: DataFrame, capacities: tuple[int, ...] = CAPACITIES, ove
         held = []
         give_back()
 
-    ordered = dealt.select("row", "id", "start", "n_tokens", "group").repartition("group").sortWithinPartitions("group", F.desc("n_tokens"), "id", "row", "start")
-    return ordered.mapInArrow(run, f"bin_id long, capacity long, row long, id {kind}, start long, n_tokens long, offset long")
+    ordered = dealt.select(*own, "start", "n_tokens", "group").repartition("group").sortWithinPartitions("group", F.desc("n_tokens"), "id", "mark", "copy", "start")
+    return ordered.mapInArrow(run, f"bin_id long, capacity long, row long, id {kind}, mark long, copy long, start long, n_tokens long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Where each piece of each document goes: bin_id, capacity, row, id, start, n_tokens, offset."""
-    return pack_lengths(token_lengths(docs, tokenizer_path, end_id, id_col, text_col), **options).withColumnRenamed("id", id_col)
+    """Where each piece of each document goes, and what it is: bin_id, capacity, id, mark, copy, start, n_tokens, offset, ids. Written to the shared folder."""
+    with Scratch(docs.sparkSession) as scratch:
+        tokens = token_lengths(docs, tokenizer_path, end_id, id_col, text_col, scratch, with_ids=True)
+        placed = scratch.written(pack_lengths(tokens.drop("ids"), **options), "placements")
+        return written(with_ids(placed, tokens).drop("row").withColumnRenamed("id", id_col), "packed")
+
+
+def with_ids(placed: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Pieces with their token ids."""
+    return placed.join(tokens.select("row", "ids"), "row").withColumn("ids", F.slice("ids", F.col("start").cast("int") + 1, F.col("n_tokens").cast("int")))
 
 
-def sequences(tokens: DataFrame, placements: DataFrame) -> DataFrame:
-    """bin_id, capacity, ids, pieces (id, start, offset, n_tokens): the bins with their contents, from token_lengths(with_ids=True) and pack_lengths of it."""
-    placed = placements.select("bin_id", "capacity", "row", "id", "start", "n_tokens", "offset")
-    cut = placed.join(tokens.select("row", "ids"), "row").withColumn("ids", F.slice("ids", F.col("start").cast("int") + 1, F.col("n_tokens").cast("int")))
-    bins = cut.groupBy("bin_id", "capacity").agg(F.array_sort(F.collect_list(F.struct("offset", "row", "id", "start", "n_tokens", "ids"))).alias("p"))
+def sequences(pieces: DataFrame) -> DataFrame:
+    """bin_id, capacity, ids, pieces (id, start, offset, n_tokens): the bins with their contents, from pieces with ids."""
+    bins = pieces.groupBy("bin_id", "capacity").agg(F.array_sort(F.collect_list(F.struct("offset", "id", "start", "n_tokens", "ids"))).alias("p"))
     return bins.select("bin_id", "capacity", F.flatten(F.transform("p", lambda p: p["ids"])).alias("ids"), F.transform("p", lambda p: F.struct(p["id"].alias("id"), p["start"].alias("start"), p["offset"].alias("offset"), p["n_tokens"].alias("n_tokens"))).alias("pieces"))
 
 
 def pack_sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Training sequences of docs: bin_id, capacity, ids (at most capacity), pieces."""
-    tokens = token_lengths(docs, tokenizer_path, end_id, id_col, text_col, with_ids=True)
-    return sequences(tokens, written(pack_lengths(tokens.drop("ids"), **options), "placements"))
+    return sequences(pack_documents(docs, tokenizer_path, end_id, id_col, text_col, **options).withColumnRenamed(id_col, "id"))

@@ -1,8 +1,8 @@
 """URL filters by host-suffix and path-prefix expressions.
 
 A rule is (action, host, path). Each URL is expanded into the expressions host suffix + path prefix
-that a rule could have: all suffixes of its host at label borders, and the prefixes of its path in the lengths that
-occur among the rules (their number is bounded by the longest rule, not by the data). Expressions meet rules in an
+that a rule could have: the suffixes of its host at label borders with at most as many labels as a rule has, and the prefixes of its path in the lengths that
+occur among the rules (the number of both is bounded by the rules, not by the data). Expressions meet rules in an
 equi-join on a 32-bit prefix; an equal SHA-256 digest of the whole expression confirms. Of the confirmed rules the
 longest wins; ties go to the longer host, then to `block`.
 
@@ -55,14 +55,15 @@ def compile_rules(spark: SparkSession, rules: list[tuple[str, str, str]] | DataF
             "action",
             F.length("path").alias("path_length"),
             F.length("host").alias("host_length"),
+            F.size(F.split("host", r"\.", -1)).alias("labels"),
         )
     )
 
 
-def expressions(urls: DataFrame, path_lengths: list[int]) -> DataFrame:
+def expressions(urls: DataFrame, path_lengths: list[int], most_labels: int) -> DataFrame:
     """One row per URL and candidate expression; urls has key, host and path."""
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # substring_index counts dots from the right: no list of a host's labels is made, however many it has. Fewer labels than asked for give the whole host again.
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -k) for k in range(1, most_labels + 1)]))
     lengths = F.array(*[F.lit(n) for n in path_lengths]) if path_lengths else F.array().cast("array<int>")
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     return (
@@ -86,17 +87,21 @@ def filter_urls(
     spark = df.sparkSession
     compiled = compile_rules(spark, rules)
     lengths = sorted(r[0] for r in compiled.select("path_length").distinct().collect())
+    most_labels = compiled.agg(F.max("labels")).first()[0] or 1
     n_rules = compiled.limit(broadcast_rules + 1).count()
     # The whole URL is the key: the answer is a function of it, so repeated rows and URLs are matched once.
     urls = df.select(F.col(url_col).alias("key")).where(F.col(url_col).isNotNull()).distinct()
     urls = urls.select("key", host_of(F.col("key")).alias("host"), path_of(F.col("key")).alias("path"))
     side = F.broadcast(compiled) if n_rules <= broadcast_rules else compiled
-    found = expressions(urls, lengths).join(side, "short").where(F.sha2("expression", 256) == F.col("digest"))
+    found = expressions(urls, lengths, most_labels).join(side, "short").where(F.sha2("expression", 256) == F.col("digest"))
     best = found.groupBy("key").agg(
         F.max(F.struct(F.length("rule").alias("length"), "host_length", "action", "rule")).alias("best"),
         F.count("*").alias("n_fitting"),
     )
-    out = df.select(F.col(id_col), F.col(url_col).alias("key")).join(best, "key", "left")
+    rows = df.select(F.col(id_col), F.col(url_col).alias("key"))
+    # Rows without a URL meet nothing, so they stay out of the shuffle.
+    unmet = [F.lit(None).cast(best.schema[c].dataType).alias(c) for c in ("best", "n_fitting")]
+    out = rows.where("key IS NOT NULL").join(best, "key", "left").select(id_col, "key", "best", "n_fitting").unionByName(rows.where("key IS NULL").select(id_col, "key", *unmet))
     return out.select(
         F.col(id_col),
         host_of(F.col("key")).alias("host"),

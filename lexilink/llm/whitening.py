@@ -177,7 +177,7 @@ def _left(r: int, n: int, high: float) -> float:
 
 def fit(rows: DataFrame, vector_col: str, components: int, scale: int, shift: int) -> Whitening | None:
     """The whitening of all usable vectors; None where there are none."""
-    vectors = rows.select(F.col(vector_col).cast("array<double>").alias("v"))
+    vectors = rows.select(F.col(vector_col).alias("v"))
 
     def sums(iterator):
         held: dict[int, list] = {}
@@ -251,7 +251,7 @@ def apply(rows: DataFrame, model: Whitening, id_col: str, vector_col: str, compo
             whitened = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * k + 1, k, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found)), pa.array(deviations(x, model), pa.int64()), whitened], ["id", "deviation", "whitened"])
 
-    return rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, f"id {kind}, deviation long, whitened array<double>")
+    return rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, f"id {kind}, deviation long, whitened array<double>")
 
 
 def whiten(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", components: int = 32, scale: int = 64, shift: int = 1_000_000) -> tuple[DataFrame, Whitening | None]:

@@ -30,10 +30,10 @@ def brute(rows, min_chars=20, min_docs=3):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 4, 9])
-def test_equals_brute_force(spark, batches):
+@pytest.mark.parametrize("batch_lines", [10**9, 900, 500])
+def test_equals_brute_force(spark, batch_lines):
     df = spark.createDataFrame([(d, t, "h1", 3) for d, t in ROWS], "doc_id long, text string, h1 string, pos int").repartition(4)
-    got = {r.doc_id: (r.llm_n_lines, r.llm_n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in dedup_lines(df, batches=batches).collect()}
+    got = {r.doc_id: (r.llm_n_lines, r.llm_n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in dedup_lines(df, batch_lines=batch_lines).collect()}
     assert got == brute(ROWS)
 
 
@@ -67,3 +67,19 @@ def test_clashing_names(spark):
     assert {r.doc_id: (r.text, r._doc, r.llm_n_lines, r.llm_n_dropped) for r in got.collect()} == {i: (LONG if i == 3 else "", "a", 1, int(i < 3)) for i in range(4)}
     kept = dedup_lines(df, with_counts=False, broadcast_keys=0)
     assert kept.columns == df.columns and {r.doc_id: (r.text, r.llm_n_lines) for r in kept.collect()} == {i: (LONG if i == 3 else "", 7) for i in range(4)}
+
+
+def test_levels_occur_at_any_size_and_runs_go_when_a_job_fails(spark, monkeypatch):
+    from lexilink.llm import linededup
+
+    depths = []
+    plain = LineRuns._compact
+    monkeypatch.setattr(LineRuns, "_compact", lambda self: (plain(self), depths.append(len(self.levels)))[0])
+    df = spark.createDataFrame([(i, f"{LONG} {i % 40}") for i in range(200)], "doc_id long, text string")
+    dedup_lines(df).collect()
+    assert max(depths) >= 3  # two levels above that of the batches
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(LineRuns, "totals", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        linededup.dedup_lines(df)
+    assert {t.name for t in spark.catalog.listTables()} == before

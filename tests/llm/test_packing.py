@@ -58,7 +58,7 @@ def test_whole_documents_and_capacities(spark):
 
 
 def test_empty_table_and_single_capacity(spark):
-    df = spark.createDataFrame([(0, 1, 5), (1, 2, 4), (2, 3, 3)], "row long, id long, length long")
+    df = spark.createDataFrame([(0, 1, 0, 5), (1, 2, 0, 4), (2, 3, 0, 3)], "row long, id long, mark long, length long")
     assert pack_lengths(df.limit(0)).count() == 0
     got = {r.id: (r.bin_id, r.offset, r.capacity) for r in pack_lengths(df, (8,), OVERHEAD).collect()}
     assert got == {1: (0, 0, 8), 2: (1, 0, 8), 3: (0, 5, 8)}
@@ -86,7 +86,7 @@ def test_joint_choice_is_the_least_of_all(seed):
 
 
 def test_equal_rows_fall_in_all_groups(spark):
-    items = spark.range(0, 20000, 1, 5).selectExpr("monotonically_increasing_id() AS row", "7L AS id", "3L AS length")
+    items = spark.range(0, 20000, 1, 5).selectExpr("monotonically_increasing_id() AS row", "7L AS id", "1L AS mark", "3L AS length")
     groups = pack_lengths(items, group_items=1000).selectExpr("shiftright(bin_id, 32) AS g").groupBy("g").count().collect()
     assert len(groups) == 20 and max(g["count"] for g in groups) < 1100
 
@@ -101,3 +101,25 @@ def test_sequences_hold_the_ids_of_their_documents(spark):
         pieces += [(p.id, p.start, r["ids"][p.offset : p.offset + p.n_tokens]) for p in r.pieces]
     want = [(doc, at, ids(text)[at : at + 128]) for doc, text in rows for at in range(0, len(ids(text)), 128)]
     assert sorted(pieces, key=repr) == sorted(want, key=repr)
+
+
+def test_placements_are_a_function_of_the_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i % 700), f"{'w ' * int(rng.integers(0, 90))}") for i in range(1000)] + [(3, "same " * 9)] * 40 + [(None, None)] * 5
+    found = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = pack_documents(df, PATH, group_items=150, capacities=(64, 128), overhead=4)
+        assert got.columns == ["bin_id", "capacity", "doc_id", "mark", "copy", "start", "n_tokens", "offset", "ids"]
+        found.append(sorted(map(repr, got.collect())))
+    assert found[0] == found[1]
+
+
+def test_pieces_carry_their_ids(spark):
+    rows = [(1, "one two three " * 100), (2, None), (3, "x")]
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH, capacities=(64,), overhead=1).collect()
+    whole = {}
+    for r in sorted(got, key=lambda r: r.start):
+        assert len(r["ids"]) == r.n_tokens
+        whole.setdefault(r.doc_id, []).extend(r["ids"])
+    assert whole == {d: ids(t) for d, t in rows}

@@ -42,3 +42,13 @@ def test_repeated_ids_repeated_urls_and_long_urls(spark):
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "http://x.org/", "a", "b", "c")], "page_id long, url string, `key` string, best string, rule string")
     assert filter_urls(df, RULES).first().rule == "org/"
+
+
+def test_hosts_of_very_many_labels(spark):
+    import time
+
+    rows = [(1, "http://" + "a." * 60_000 + "example.org/en/1"), (2, "http://" + "b." * 60_000 + "net/")] + [(k, None) for k in range(3, 50)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    began = time.time()
+    got = {r.page_id: r.rule for r in filter_urls(df, RULES).select("page_id", "rule").collect()}
+    assert time.time() - began < 10 and got[1] == "example.org/en/1" and got[2] is None and len(got) == 49
