@@ -53,26 +53,27 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[roots[other]]
 
 
-def local_forest(edges: DataFrame, most: int = 200_000) -> DataFrame:
-    """(a, b) with fewer edges and the same components; holds at most about `most` edges at a time."""
-
-    def run(iterator):
-        held, size = [], 0
-
-        def out():
-            a, b = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in iterator:
-            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
-            size += batch.num_rows
-            if size > most:
-                yield out()
-                held, size = [], 0
-        if size:
+def forest_stream(batches, most: int = 200_000):
+    """Batches of (a, b) with fewer edges and the same components; holds at most about `most` edges at a time. For a task's own edges as they are made, so that no second Python worker is needed."""
+    held, size = [], 0
+
+    def out():
+        a, b = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for batch in batches:
+        held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+        size += batch.num_rows
+        if size > most:
             yield out()
+            held, size = [], 0
+    if size:
+        yield out()
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+def local_forest(edges: DataFrame) -> DataFrame:
+    """forest_stream over a table's tasks."""
+    return edges.select("a", "b").mapInArrow(forest_stream, "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from lexilink.llm import wordbytes as wb
 from lexilink.llm.common import Scratch, arrow_rows, beside, free_name, give_back, written
-from lexilink.llm.components import UnionFind, components, local_forest
+from lexilink.llm.components import UnionFind, components, forest_stream
 
 #: Sets of at most so many shingles, and the number of classes, a power of two, that their points have.
 SIZES = ((2000, 256), (32_000, 4096), (1 << 62, 65_536))
@@ -276,7 +276,7 @@ def paired_edges(pairs: DataFrame, points: DataFrame, buckets: int, percent: int
                 yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
         give_back()
 
-    return full.mapInArrow(run, "a long, b long")
+    return full.mapInArrow(lambda rows: forest_stream(run(rows)), "a long, b long")
 
 
 def passes(n_a, n_b, c_a, c_b, percent: int, slack=0) -> np.ndarray:
@@ -681,7 +681,7 @@ def _found_classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
             points = scratch.written(points_of(sets, low, high, buckets, percent), "points")
             own = pairs.where((F.greatest("n_a", "n_b") > low) & (F.greatest("n_a", "n_b") <= high))
             tested = paired_edges(own, points, buckets, percent).unionByName(candidate_edges(standing, points, buckets, percent, scratch))
-            found.append(scratch.written(local_forest(tested), "candidate-edges"))
+            found.append(scratch.written(tested, "candidate-edges"))
             scratch.drop(points)
         low = high
     return classes_of_candidates(reduce(DataFrame.unionByName, found), sets, copies, percent, cell_tokens, scratch)
@@ -694,7 +694,7 @@ def classes_of_candidates(edges: DataFrame, sets: DataFrame, copies: DataFrame,
     cells = components(edges.unionByName(copies.where("rid != rep").join(met, "rid", "left_semi").select(F.col("rid").alias("a"), F.col("rep").alias("b"))), scratch)
     cells = cells.join(copies.where("rid != rep").select(F.col("rid").alias("node")), "node", "left_anti")
     exact = exact_edges(cells.select(F.col("node").alias("rid"), F.col("component").alias("cell")), sets, percent, cell_tokens, scratch)
-    links = scratch.written(local_forest(exact).unionByName(copies.where("rid != rep").select(F.col("rid").alias("a"), F.col("rep").alias("b"))), "links")
+    links = scratch.written(exact.unionByName(copies.where("rid != rep").select(F.col("rid").alias("a"), F.col("rep").alias("b"))), "links")
     classes = scratch.written(components(links, scratch), "classes")
     named = classes.join(sets.select("rid", "id"), classes["node"] == F.col("rid")).groupBy("component").agg(F.min("id").alias("component_id"))
     of_row = classes.join(named, "component").select(F.col("node").alias("rid"), "component_id", F.col("component").alias("class"))

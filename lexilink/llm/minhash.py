@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lexilink.llm import wordbytes as wb
 from lexilink.llm.common import Scratch, arrow_rows, give_back, written
-from lexilink.llm.components import forest, local_forest
+from lexilink.llm.components import forest, forest_stream
 from lexilink.llm.jaccard import classes_of_candidates, equal_sets, set_table, sets_of, slices
 
 _STEP = 0x9E3779B97F4A7C15
@@ -140,7 +140,7 @@ def key_links(bands: DataFrame) -> DataFrame:
             if apart.any():
                 yield pa.RecordBatch.from_arrays([pa.array(rids[apart]), pa.array(head[apart])], ["a", "b"])
 
-    return bands.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(run, "a long, b long")
+    return bands.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(lambda rows: forest_stream(run(rows)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, m: int = 256, id_col: str = "doc_id", text_col: str = "text", cell_tokens: int = 1_500_000) -> DataFrame:
@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 85, m: int = 256
         copies = equal_sets(sets, scratch)
         bands = scratch.written(banded(sets, percent, m), "bands")
         found = bands.where("key IS NULL").select(F.col("rid").alias("a"), F.col("other").alias("b")).unionByName(key_links(bands.where("key IS NOT NULL").select("key", "rid")))
-        edges = scratch.written(local_forest(found), "candidate-edges")
+        edges = scratch.written(found, "candidate-edges")
         scratch.drop(bands)
         classes = classes_of_candidates(edges, sets, copies, percent, cell_tokens, scratch)
         out = classes.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexilink.llm import wordbytes as wb
-from lexilink.llm.common import Scratch, arrow_rows, give_back, written
+from lexilink.llm.common import arrow_rows, give_back, written
 from lexilink.llm.tokenfiles import Encoder
 
 CAPACITIES = (1024, 2048, 4096)
@@ -89,11 +89,11 @@ def pack_jointly(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES, o
     return best
 
 
-def token_lengths(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, with_ids: bool = False) -> DataFrame:
-    """(row, id, mark, length) and on request `ids` of each row of docs, as a written table, so that row numbers stay what they are."""
+def token_lengths(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(row, id, mark, length) and on request `ids` (little-endian unsigned 32-bit integers) of each row of docs, as a written table, so that row numbers stay what they are."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"row long, id {kind}, mark long, length long" + (", ids array<int>" if with_ids else "")
+    schema = f"row long, id {kind}, mark long, length long" + (", ids binary" if with_ids else "")
 
     def run(iterator):
         encoder = Encoder.at(tokenizer_path, end_id)
@@ -101,13 +101,14 @@ def token_lengths(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col:
             ids, counts = encoder.encode(batch.column(3))
             columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int64())]
             if with_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32))))
+                ends = np.concatenate([[0], np.cumsum(counts)]) * 4
+                columns.append(pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.astype("<u4"))]))
             yield pa.RecordBatch.from_arrays(columns, ["row", "id", "mark", "length", "ids"][: len(columns)])
         give_back()
 
     plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
     with arrow_rows(spark, 1000):
-        return (scratch.written if scratch else written)(plain.mapInArrow(run, schema), "token-lengths")
+        return written(plain.mapInArrow(run, schema), "token-lengths")
 
 
 def numbered_copies(items: DataFrame) -> DataFrame:
@@ -167,24 +168,23 @@ def pack_lengths(items: DataFrame, capacities: tuple[int, ...] = CAPACITIES, ove
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Where each piece of each document goes, and what it is: bin_id, capacity, id, mark, copy, start, n_tokens, offset, ids. Written to the shared folder."""
-    with Scratch(docs.sparkSession) as scratch:
-        tokens = token_lengths(docs, tokenizer_path, end_id, id_col, text_col, scratch, with_ids=True)
-        placed = scratch.written(pack_lengths(tokens.drop("ids"), **options), "placements")
-        return written(with_ids(placed, tokens).drop("row").withColumnRenamed("id", id_col), "packed")
+    """Where each piece of each document goes, and what it is: bin_id, capacity, id, mark, copy, start, n_tokens, offset, ids (the piece's token ids as little-endian unsigned 32-bit integers). Reads two tables in the shared folder."""
+    tokens = token_lengths(docs, tokenizer_path, end_id, id_col, text_col, with_ids=True)
+    placed = written(pack_lengths(tokens.drop("ids"), **options), "placements")
+    return with_ids(placed, tokens).drop("row").withColumnRenamed("id", id_col)
 
 
 def with_ids(placed: DataFrame, tokens: DataFrame) -> DataFrame:
     """Pieces with their token ids."""
-    return placed.join(tokens.select("row", "ids"), "row").withColumn("ids", F.slice("ids", F.col("start").cast("int") + 1, F.col("n_tokens").cast("int")))
+    return placed.join(tokens.select("row", "ids"), "row").withColumn("ids", F.substring("ids", (4 * F.col("start") + 1).cast("int"), (4 * F.col("n_tokens")).cast("int")))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
-    """bin_id, capacity, ids, pieces (id, start, offset, n_tokens): the bins with their contents, from pieces with ids."""
+    """bin_id, capacity, ids (as in the pieces, one after another), pieces (id, start, offset, n_tokens): the bins with their contents, from pieces with ids."""
     bins = pieces.groupBy("bin_id", "capacity").agg(F.array_sort(F.collect_list(F.struct("offset", "id", "start", "n_tokens", "ids"))).alias("p"))
-    return bins.select("bin_id", "capacity", F.flatten(F.transform("p", lambda p: p["ids"])).alias("ids"), F.transform("p", lambda p: F.struct(p["id"].alias("id"), p["start"].alias("start"), p["offset"].alias("offset"), p["n_tokens"].alias("n_tokens"))).alias("pieces"))
+    return bins.select("bin_id", "capacity", F.aggregate("p", F.lit(b""), lambda so_far, p: F.concat(so_far, p["ids"])).alias("ids"), F.transform("p", lambda p: F.struct(p["id"].alias("id"), p["start"].alias("start"), p["offset"].alias("offset"), p["n_tokens"].alias("n_tokens"))).alias("pieces"))
 
 
 def pack_sequences(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Training sequences of docs: bin_id, capacity, ids (at most capacity), pieces."""
+    """Training sequences of docs: bin_id, capacity, ids (at most capacity, as little-endian unsigned 32-bit integers), pieces."""
     return sequences(pack_documents(docs, tokenizer_path, end_id, id_col, text_col, **options).withColumnRenamed(id_col, "id"))

@@ -97,8 +97,9 @@ def test_sequences_hold_the_ids_of_their_documents(spark):
     got = pack_sequences(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, capacities=(32, 64, 128), overhead=4).collect()
     pieces = []
     for r in got:
-        assert len(r["ids"]) == sum(p.n_tokens for p in r.pieces) <= r.capacity and r.capacity == min(c for c in (32, 64, 128) if c >= len(r["ids"]))
-        pieces += [(p.id, p.start, r["ids"][p.offset : p.offset + p.n_tokens]) for p in r.pieces]
+        held = np.frombuffer(r["ids"], "<u4").tolist()
+        assert len(held) == sum(p.n_tokens for p in r.pieces) <= r.capacity and r.capacity == min(c for c in (32, 64, 128) if c >= len(held))
+        pieces += [(p.id, p.start, held[p.offset : p.offset + p.n_tokens]) for p in r.pieces]
     want = [(doc, at, ids(text)[at : at + 128]) for doc, text in rows for at in range(0, len(ids(text)), 128)]
     assert sorted(pieces, key=repr) == sorted(want, key=repr)
 
@@ -120,6 +121,7 @@ def test_pieces_carry_their_ids(spark):
     got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH, capacities=(64,), overhead=1).collect()
     whole = {}
     for r in sorted(got, key=lambda r: r.start):
-        assert len(r["ids"]) == r.n_tokens
-        whole.setdefault(r.doc_id, []).extend(r["ids"])
+        held = np.frombuffer(r["ids"], "<u4").tolist()
+        assert len(held) == r.n_tokens
+        whole.setdefault(r.doc_id, []).extend(held)
     assert whole == {d: ids(t) for d, t in rows}
