@@ -72,8 +72,8 @@ def path_vector(path: htmlblocks.Path | None) -> np.ndarray:
     return v
 
 
-def vectors(found: list[Block]) -> np.ndarray:
-    """One row per block, over the blocks' whole texts."""
+def vectors(found: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+    """One row per block, over the blocks' whole texts; `first` and `total` place a segment in its page."""
     if not found:
         return np.zeros((0, INPUT), np.float32)
     texts = pa.array([b.text for b in found], pa.large_string())
@@ -94,7 +94,7 @@ def vectors(found: list[Block]) -> np.ndarray:
     out[:, k + 2] = np.minimum(1, (stops[offsets[1:]] - stops[offsets[:-1]]) / np.maximum(n_words, 1) * 5)
     out[:, k + 3] = [b.path is not None and any(m in _HEADS for m in b.path.marks(4)) for b in found]
     out[:, k + 4] = np.minimum(1, size / np.maximum(1, n_words) / 12)
-    out[:, k + 5] = np.arange(len(found)) / max(1, len(found))
+    out[:, k + 5] = np.arange(first, first + len(found)) / max(1, total or len(found))
     out[:, k + 6] = 1
     return out
 
@@ -150,10 +150,29 @@ class Labeller:
         both = np.concatenate([self._states(x, mask, "f"), self._states(x, mask, "b")], axis=2)
         return sigmoid(both @ self.p["v"] + self.p["c"])
 
-    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        """For each page, which of its blocks are main text. Pages of like length share a batch."""
-        out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
+    def long_scores(self, found: list[Block], segment: int = 4096) -> np.ndarray:
+        """The scores of one page of very many blocks. Vectors and gates are made a segment at a time, once in each direction, and a state goes into its block's score at once, so memory grows by 8 bytes a block."""
+        score = np.full(len(found), self.p["c"][0])
+        cuts = range(0, len(found), segment)
+        for d, part in (("f", self.p["v"][:HIDDEN]), ("b", self.p["v"][HIDDEN:])):
+            w, u, bias = self.p[f"w{d}"], self.p[f"u{d}"], self.p[f"b{d}"]
+            h, c = np.zeros(HIDDEN), np.zeros(HIDDEN)
+            for at in cuts if d == "f" else reversed(cuts):
+                gates = vectors(found[at : at + segment], at, len(found)).astype(np.float64) @ w + bias
+                states = np.empty((len(gates), HIDDEN))
+                for t in range(len(gates)) if d == "f" else range(len(gates) - 1, -1, -1):
+                    z = h @ u
+                    z += gates[t]
+                    s = 1 / (1 + np.exp(-z[: 3 * HIDDEN]))
+                    c = s[HIDDEN : 2 * HIDDEN] * c + s[:HIDDEN] * np.tanh(z[3 * HIDDEN :])
+                    h = states[t] = s[2 * HIDDEN :] * np.tanh(c)
+                score[at : at + segment] += states @ part
+        return sigmoid(score)
+
+    def label(self, pages: list[list[Block]], long: int = 4096) -> list[np.ndarray]:
+        """For each page, which of its blocks are main text. Pages of like length share a batch, those of more than `long` blocks are read by segments."""
+        out: list[np.ndarray] = [self.long_scores(p) > 0.5 if len(p) > long else np.zeros(0, bool) for p in pages]
+        order = sorted((i for i in range(len(pages)) if 0 < len(pages[i]) <= long), key=lambda i: len(pages[i]))
         at = 0
         while at < len(order):
             to = at + 1

@@ -110,7 +110,7 @@ def alnum_words(text: Column) -> Column:
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, most: int, size: int = 4 << 20):
+def arrow_rows(spark: SparkSession, most: int, size: int = 1 << 20):
     """While plans of wide rows run, Arrow batches hold at most `most` rows and about `size` bytes; the session's settings are put back."""
     rows, limit = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     before = {k: spark.conf.get(k) for k in (rows, limit)}

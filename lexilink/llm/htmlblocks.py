@@ -49,7 +49,7 @@ class Path:
         return out[:most][::-1]
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     path: Path | None

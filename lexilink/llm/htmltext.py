@@ -16,7 +16,18 @@ from lexilink.llm.common import give_back
 from lexilink.llm.htmlblocks import blocks
 
 
-def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
+def main_texts(pages: list[str | None], model: Labeller, long: int = 200_000) -> list[str]:
+    """Pages longer than `long` characters are read one at a time, so that of no two of them the blocks are held at once."""
+    if len(pages) > 1 and any(len(p or "") > long for p in pages):
+        out: list[str] = []
+        few: list[str | None] = []
+        for p in pages:
+            if len(p or "") > long:
+                out += main_texts(few, model, long) + main_texts([p], model, long)
+                few = []
+            else:
+                few.append(p)
+        return out + main_texts(few, model, long)
     found = [blocks(p or "") for p in pages]
     return ["\n\n".join(b.text for b, main in zip(f, labels, strict=True) if main) for f, labels in zip(found, model.label(found), strict=True)]
 

@@ -180,27 +180,31 @@ def _notice_matches(rows: DataFrame, places: DataFrame, known: list[dict], idf:
     table = F.broadcast(spark.createDataFrame(notices, schema))
     # The file's own rarest words of each notice; a file with fewer than least_votes of them can't propose it.
     present = F.array_distinct(F.transform("found", lambda s: s["w"]))
-    wanted = F.array(*[F.struct(F.lit(t[0]).alias("id"), F.array(*map(F.lit, t[3])).alias("ranked")) for t in notices])
-    own = F.transform(wanted, lambda t: F.struct(t["id"].alias("id"), F.slice(F.array_intersect(t["ranked"], "present"), 1, rare).alias("looked_up")))
+    wanted = F.array(*[F.struct(F.lit(t[0]).alias("id"), F.array(*map(F.lit, t[3])).alias("ranked"), F.array(*[F.array(*map(F.lit, o)) for o in t[5]]).alias("offsets")) for t in notices])
+    own = F.transform(wanted, lambda t: F.struct(t["id"].alias("id"), t["ranked"].alias("ranked"), t["offsets"].alias("offsets"), F.slice(F.array_intersect(t["ranked"], "present"), 1, rare).alias("looked_up")))
     able = F.filter(own, lambda t: F.size(t["looked_up"]) >= least_votes)
-    base = rows.where(F.size("found") >= least_votes).select("row", "found", present.alias("present")).select("row", "found", F.explode(able).alias("t")).select("row", "found", "t.id", "t.looked_up").join(table, "id")
-    looked = F.filter("found", lambda s: F.array_contains("looked_up", s["w"]))
-    proposals = F.flatten(
-        F.transform(looked, lambda s: F.transform(F.get("offsets", F.array_position("ranked", s["w"]).cast("int") - 1), lambda o: F.struct((s["at"] - o).alias("start"), s["w"].alias("w"))))
-    )
-    votes = base.select("row", "id", F.explode(F.array_distinct(proposals)).alias("p")).groupBy("row", "id", F.col("p.start").alias("start")).agg(F.collect_set("p.w").alias("agreeing"))
-    by_row = places.groupBy("row").agg(F.collect_list(F.struct("id", "places")).alias("at_keys"))
-    kept = votes.where(F.size("agreeing") >= least_votes).join(by_row, "row").join(table, "id")
-    near = F.forall(
-        "keys",
-        lambda k: F.exists(
-            "at_keys",
-            lambda a: (a["id"] == k) & F.exists(a["places"], lambda p: p.between(F.col("start") - slack, F.col("start") + F.col("length") + slack)),
-        ),
-    )
+
+    def proposed(t: Column) -> Column:
+        """Where the looked-up words of a notice say that it starts."""
+        looked = F.filter("found", lambda s: F.array_contains(t["looked_up"], s["w"]))
+        starts = F.transform(looked, lambda s: F.transform(F.get(t["offsets"], F.array_position(t["ranked"], s["w"]).cast("int") - 1), lambda o: F.struct((s["at"] - o).alias("start"), s["w"].alias("w"))))
+        return F.struct(t["id"].alias("id"), F.flatten(starts).alias("p"))
+
+    # Each notice takes along what it proposes, not the file's words.
+    base = rows.where(F.size("found") >= least_votes).select("row", "found", present.alias("present")).withColumn("able", able).where(F.size("able") > 0)
+    each = base.select("row", F.explode(F.transform("able", proposed)).alias("t")).select("row", "t.id", F.explode("t.p").alias("p")).select("row", "id", "p.start", "p.w").distinct()
+    votes = each.groupBy("row", "id", "start").agg(F.collect_set("w").alias("agreeing")).where(F.size("agreeing") >= least_votes).join(table, "id")
+    # Key phrases within reach: places and reaches meet by blocks of words as long as the longest reach, so a reach touches two or three of them.
+    block = max(t[2] for t in notices) + 2 * slack
+    first, last = F.col("start") - slack, F.col("start") + F.col("length") + slack
+    asked = votes.select("row", "id", "start", first.alias("first"), last.alias("last"), F.size("keys").alias("n_keys"), F.explode("keys").alias("key"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))))
+    there = places.select("row", F.col("id").alias("key"), F.explode("places").alias("place")).withColumn("block", F.floor(F.col("place") / block))
+    met = asked.join(there, ["row", "key", "block"]).where(F.col("place").between(F.col("first"), F.col("last")))
+    near = met.groupBy("row", "id", "start").agg(F.count_distinct("key").alias("n"), F.max("n_keys").alias("n_keys")).where("n = n_keys").select("row", "id", "start")
     weight = F.aggregate("agreeing", F.lit(0.0), lambda acc, w: acc + F.get("weights", F.array_position("ranked", w).cast("int") - 1))
     most = F.aggregate(F.slice("weights", 1, rare), F.lit(0.0), lambda acc, w: acc + w)
-    return kept.where(near).groupBy("row", "label").agg(F.max(F.least(F.lit(1.0), weight / most)).alias("score"))
+    return votes.join(near, ["row", "id", "start"], "left_semi").groupBy("row", "label").agg(F.max(F.least(F.lit(1.0), weight / most)).alias("score"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 6, least_votes: int = 2, slack: int = 8) -> DataFrame:

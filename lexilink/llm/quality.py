@@ -1,14 +1,15 @@
 """Quality rules: counted rule statistics per document, and an isolation forest over them.
 
 The forest grows trees of random splits over the statistics of good labelled documents; a document that few splits
-isolate (a short mean path) is anomalous. The threshold on the anomaly score is calibrated on labelled rows: of all
-thresholds that keep at least `keep_share` of the good ones, the one that rejects the most bad ones.
+isolate (a short mean path) is anomalous. The threshold on the anomaly score is calibrated on labelled rows that the trees haven't seen. Its floor is the score that `keep_share` of the good ones don't exceed.
+Where at least half of the bad ones beyond the floor lie beyond all good ones too, it moves up, to the middle between the last good one and the first bad one after it: it then rejects fewer bad ones than the floor
+would, but no good one that is known.
 
 Of the 2 * `max_labelled` labelled documents with the smallest hashes of their ids, at most `max_labelled` that pass the base rules are used for fitting and calibration, so what goes to the driver is bounded; the statistics
 and the verdicts cover every row.
 
 Edge cases: a null or empty text has 0 words and fails the base rules; documents with equal texts get equal
-verdicts; with fewer than `least_good` good labels the base rules alone decide; a table without rows gives one without rows. The input
+verdicts; rows that repeat an id come in the order of their counts; with fewer than `least_good` good labels the base rules alone decide; a table without rows gives one without rows. The input
 may have any further columns: only the id and the text are read.
 """
 
@@ -230,10 +231,10 @@ def sampled_labels(labels: DataFrame, id_col: str, label_col: str, most: int) ->
 
 
 def fit(stats: DataFrame, chosen: DataFrame, id_col: str = "doc_id", max_labelled: int = 20_000, keep_share: float = 0.995, least_good: int = 20):
-    """(forest, threshold) from at most max_labelled of the `chosen` labelled rows that pass the base rules; None with fewer than least_good good ones, which tell nothing of a distribution. Features are weighed by labels from least_good bad ones on."""
+    """(forest, threshold) from at most max_labelled of the `chosen` labelled rows that pass the base rules; None with fewer than least_good good ones, which tell nothing of a distribution. Features are weighed by labels from least_good bad ones on; where labels tell no feature apart, all weigh the same."""
     names = [*COUNTS, *EXTRA]
     passed = stats.join(F.broadcast(chosen), id_col).where(~base_failed(F.col("n_words"), F.col("n_repeat_words")))
-    rows = passed.orderBy("place", id_col).limit(max_labelled).select("label", *names).toPandas()
+    rows = passed.orderBy("place", id_col, *names).limit(max_labelled).select("label", *names).toPandas()
     good, bad = rows[rows.label == 1], rows[rows.label == 0]
     if len(good) < least_good:
         return None

@@ -64,9 +64,10 @@ def add_rows(high: np.ndarray, low: np.ndarray):
     return high[0], low[0]
 
 
-def outer_sums(high: np.ndarray, low: np.ndarray, i: np.ndarray, j: np.ndarray, rows: int = 32):
-    """Sums over rows of z_i * z_j in double-double, z = high + low, for the pairs of columns (i, j)."""
+def outer_sums(high: np.ndarray, low: np.ndarray, i: np.ndarray, j: np.ndarray, products: int = 1 << 16):
+    """Sums over rows of z_i * z_j in double-double, z = high + low, for the pairs of columns (i, j); about `products` of them, or one row's, at a time."""
     total = np.zeros(len(i)), np.zeros(len(i))
+    rows = max(1, products // len(i))
     for at in range(0, len(high), rows):
         z, w = high[at : at + rows], low[at : at + rows]
         h, e = halves(z)

@@ -94,3 +94,30 @@ def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, "u", html_of)] * 3 + [(1, "v", html_of)], "page_id long, url string, html string")
     got = extract_text(df).collect()
     assert len(got) == 4 and len({r.text for r in got}) == 1 and got[0].n_chars > 100
+
+
+def test_long_pages_by_segments_get_the_same_scores():
+    import numpy as np
+
+    from lexilink.llm.blocklabel import Labeller, vectors
+    from lexilink.llm.htmlblocks import blocks
+
+    page = "".join(f"<div class='{k}'><p>Some words here number {i}.</p><a href=x>more</a></div>" for i in range(300) for k in ("content", "menu"))
+    found = blocks(page)
+    model = Labeller.load()
+    x = vectors(found)[None].astype(np.float64)
+    whole = model.scores(x, np.ones((1, len(found)), bool))[0]
+    assert np.allclose(model.long_scores(found, 64), whole, atol=1e-6)
+    assert (model.label([found], long=10)[0] == model.label([found])[0]).all()
+
+
+def test_memory_of_very_many_blocks():
+    import subprocess
+    import sys
+
+    code = (
+        "import resource\nfrom lexilink.llm.htmltext import main_texts\nfrom lexilink.llm.blocklabel import Labeller\nm = Labeller.load()\nmain_texts(['<p>a'], m)\n"
+        "a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\nmain_texts(['<p>a' * 100_000], m)\nprint((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a) // 1024)"
+    )
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert grown < 110  # MB: about 1 KB a block, less than a third of what whole matrices took

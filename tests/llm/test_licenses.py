@@ -121,3 +121,15 @@ def test_clashing_names_and_ties(spark):
     df = spark.createDataFrame([(1, "mit license", "a", "b", 3, "c")] * 2, "doc_id long, text string, row string, found string, n_base int, labels string")
     got = scan_licenses(df).collect()
     assert len(got) == 2 and all((r.n_base, r.labels) == (1, "mit") for r in got)
+
+
+def test_very_many_notices_in_one_text(spark):
+    import time
+
+    notice = next(text for label, text, _ in NOTICES if label.startswith("mit"))
+    one = spark.createDataFrame([(1, notice)], "doc_id long, text string")
+    want = scan_licenses(one).first()
+    df = spark.createDataFrame([(1, f"{notice} and then " * 5000)], "doc_id long, text string")
+    began = time.time()
+    got = scan_licenses(df).first()
+    assert time.time() - began < 30 and got.labels == want.labels and got.score == want.score
