@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexilink.functions.arrays import pad_batches
+
 MISSING = -100
 
 
@@ -64,3 +66,29 @@ def l2_norm(values: Column) -> Column:
 def joined_scores(local: DataFrame, other: DataFrame) -> DataFrame:
     """(mention, score, label) of local candidates and of those from the rest of the document or batch, for one loss over both."""
     return local.select("mention", "score", "label").unionByName(other.select("mention", "score", "label"))
+
+
+def by_address(ranked: DataFrame, addresses: DataFrame, store, cls: int, sep: int, most: int = 64, pad_id: int = 0) -> DataFrame:
+    """What a scorer needs of each batch's candidates: (batch, mention, rank, uid, identifier, position, name, encoded).
+
+    ranked: batch, mention, rank, uid; addresses: uid, row; store: a ShardStore of identifier, name and tokens by row number. Each candidate of a batch is fetched once by its address, its tokens get marks and are padded to the longest of the batch, and `position` is
+    its place among the batch's candidates by uid, from 0. A uid without an address has the identifier MISSING, an empty name, marks only, and no position."""
+    own = ranked.select("batch", "uid").distinct().join(addresses.select("uid", "row"), "uid", "left")
+    found = store.gather(own, "row", ["identifier", "name", "tokens"])
+    known = F.col("row").isNotNull()
+    place = F.when(known, F.row_number().over(Window.partitionBy("batch", known).orderBy("uid")) - 1)
+    marked = F.concat(F.array(F.lit(cls)), F.slice(F.coalesce("tokens", F.array().cast("array<int>")), 1, most - 2), F.array(F.lit(sep)))
+    encoded = found.select("batch", "uid", F.coalesce("identifier", F.lit(MISSING)).cast("long").alias("identifier"), F.coalesce("name", F.lit("")).alias("name"), place.cast("long").alias("position"), marked.alias("encoded"))
+    padded = pad_batches(encoded, ["batch"], "encoded", pad_id)
+    return ranked.select("batch", "mention", "rank", "uid").join(padded, ["batch", "uid"]).select("batch", "mention", "rank", "uid", "identifier", "position", "name", "encoded")
+
+
+def all_identifiers(ranked: DataFrame, names: DataFrame) -> DataFrame:
+    """ranked with `identifiers`, every identifier that a candidate's name stands for, ascending; [MISSING] where there is none. names: uid, identifier, one row each."""
+    held = names.groupBy("uid").agg(F.array_sort(F.collect_set("identifier")).alias("identifiers"))
+    return ranked.join(held, "uid", "left").withColumn("identifiers", F.coalesce("identifiers", F.array(F.lit(MISSING).cast("long"))))
+
+
+def any_labels(ranked: DataFrame, gold: DataFrame) -> DataFrame:
+    """ranked (mention, identifiers) with label: is any of a candidate's identifiers a gold one of its mention."""
+    return ranked.join(gold.select("mention", "gold"), "mention").withColumn("label", F.arrays_overlap("identifiers", "gold").cast("int"))

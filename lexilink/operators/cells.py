@@ -111,7 +111,7 @@ class Cells:
         return self.n_fine * self.coarse.shape[1] * 8 <= most
 
 
-def train_cells(rows: DataFrame, cells: int, path: str, per_cell: int = 64, rounds: int = 8) -> Cells:
+def train_cells(rows: DataFrame, cells: int, path: str, per_cell: int = 64, coarse_rounds: int = 4, rounds: int = 8) -> Cells:
     """About `cells` cells for rows (uid, embedding), their fine centroids as a table in path."""
     spark = rows.sparkSession
     rows = rows.select("uid", F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("embedding").isNotNull())
@@ -126,7 +126,7 @@ def train_cells(rows: DataFrame, cells: int, path: str, per_cell: int = 64, roun
     if sample.limit(1).count() == 0:
         sample = rows
     first = sample.select("embedding", place(turn=1).alias("p")).groupBy("embedding").agg(F.min("p").alias("p")).orderBy("p").limit(want).toArrow()
-    coarse = k_means_rounds(sample, _matrix(first.column(0).combine_chunks()), rounds)
+    coarse = k_means_rounds(sample, _matrix(first.column(0).combine_chunks()), coarse_rounds)
     # How many vectors each coarse cell has, over all of them.
     sizes = {r["cell"]: r["n"] for r in summed_by(rows, coarse).select("cell", "n").collect()}
     share = max(1, cells // len(coarse))

@@ -161,3 +161,62 @@ def split_arrays(packed: DataFrame, key: str, columns: list[str]) -> DataFrame:
     off = F.raise_error(F.concat(F.lit("arrays of different lengths in "), F.col(key).cast("string")))
     checked = packed.select(key, F.when(even, zipped).otherwise(off.cast(packed.select(zipped.alias("z")).schema["z"].dataType)).alias("z"))
     return checked.select(key, F.explode("z").alias("z")).select(key, *[F.col("z")[c].alias(c) for c in columns])
+
+
+def checked_examples(rows: DataFrame, pad_id: int = PAD) -> DataFrame:
+    """Passage rows back in their examples: a new one wherever the ordinal changes.
+
+    rows: row (their order), idx (the ordinal), eid, passage_id, tokens, and by mention offsets (pairs), identifiers and ids (lists). An example of two eids, and a passage whose three lists of mentions differ in length, are errors. Lists of
+    identifiers are padded to the longest of their passage, and a passage without mentions gets one of padding. Returned: eid, passage_ids, tokens, offsets, identifiers, ids (arrays by passage, in order). An ordinal that
+    comes back later is an example of its own, told apart by row numbers that don't run on; nothing is numbered over all rows."""
+    w = Window.partitionBy("idx").orderBy("row")
+    island = F.col("row") - F.row_number().over(w)
+
+    def filled(lists: str) -> Column:
+        most = F.greatest(F.array_max(F.transform(lists, F.size)), F.lit(1))
+        return F.when(F.size(lists) == 0, F.array(F.array(F.lit(pad_id).cast("long")))).otherwise(F.transform(lists, lambda x: pad(x, most, value=F.lit(pad_id).cast("long"))))
+
+    counts = [F.size(c) for c in ("offsets", "identifiers", "ids")]
+    even = (counts[0] == counts[1]) & (counts[1] == counts[2])
+    off = F.raise_error(F.concat(F.lit("mentions, offsets and identifiers differ in number in "), F.col("eid").cast("string")))
+    none = F.array(F.array(F.lit(pad_id).cast("long"), F.lit(pad_id).cast("long")))
+    offsets = F.when(~even, off.cast("array<array<bigint>>")).when(counts[0] == 0, none).otherwise(F.col("offsets"))
+    passage = F.struct("row", "passage_id", "tokens", offsets.alias("offsets"), filled("identifiers").alias("identifiers"), filled("ids").alias("ids"))
+    held = rows.withColumns({"island": island, "passage": passage}).groupBy("idx", "island").agg(F.min("eid").alias("low"), F.max("eid").alias("high"), F.array_sort(F.collect_list("passage")).alias("p"))
+    mixed = F.raise_error(F.concat(F.lit("one example of two documents: "), F.col("low").cast("string"), F.lit(" and "), F.col("high").cast("string")))
+    eid = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(mixed.cast(rows.schema["eid"].dataType))
+    part = lambda name: F.transform("p", lambda x: x[name])
+    return held.select(eid.alias("eid"), part("passage_id").alias("passage_ids"), *[part(c).alias(c) for c in ("tokens", "offsets", "identifiers", "ids")])
+
+
+def whole_texts(passages: DataFrame, annotations: DataFrame, title_abstract: bool = True) -> DataFrame:
+    """(eid, part, text, mentions): title and abstract as one text, joined by a space, with the annotations of both; each later passage as a text of its own.
+
+    passages: eid, passage_id, text; annotations: eid, passage_id, start, end (in the document, whose passages stand one character apart) and mention. Mentions are (start, end, mention) in the part's text, by place. Without title_abstract every passage is a part."""
+    mine = annotations.groupBy("eid", "passage_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "mention"))).alias("found"))
+    known = passages.select("eid", "passage_id", F.coalesce("text", F.lit("")).alias("text")).join(mine, ["eid", "passage_id"], "left")
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,mention:string>>")
+    held = known.groupBy("eid").agg(F.array_sort(F.collect_list(F.struct("passage_id", "text", F.coalesce("found", empty).alias("found")))).alias("p"))
+    # Where each passage begins in the document.
+    begins = F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.aggregate(F.slice("p", F.lit(1), i), F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"]) + 1))
+    placed = held.select("eid", F.zip_with("p", begins, lambda x, b: F.struct(x["text"].alias("text"), x["found"].alias("found"), b.alias("begin"))).alias("p"))
+    rebased = lambda x: F.transform(x["found"], lambda m: F.struct((m["start"] - x["begin"]).alias("start"), (m["end"] - x["begin"]).alias("end"), m["mention"].alias("mention")))
+    alone = lambda x: F.struct(x["text"].alias("text"), rebased(x).alias("mentions"))
+    if title_abstract:
+        head = F.slice("p", 1, 2)
+        first = F.struct(F.array_join(F.transform(head, lambda x: x["text"]), " ").alias("text"), F.flatten(F.transform(head, lambda x: x["found"])).alias("mentions"))
+        parts = F.concat(F.array(first), F.transform(F.slice("p", F.lit(3), F.size("p")), alone))
+    else:
+        parts = F.transform("p", alone)
+    return placed.select("eid", F.posexplode(parts).alias("part", "t")).select("eid", "part", "t.text", "t.mentions")
+
+
+def collected_mentions(annotations: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """(hexdigest, text, ids): one row per native mention with all its identifiers as in the map (identifier, id), in order; identifiers that the map lacks are an error, foreign mentions are left out.
+
+    annotations: hexdigest, text, is_foreign, identifiers (an array)."""
+    native = annotations.where("NOT is_foreign").select("hexdigest", "text", F.posexplode("identifiers").alias("k", "identifier"))
+    met = native.join(identifiers.select("identifier", "id"), "identifier", "left")
+    unknown = F.raise_error(F.concat(F.lit("no number for identifier "), F.col("identifier").cast("string")))
+    mapped = met.withColumn("id", F.when(F.col("id").isNull(), unknown.cast("string")).otherwise(F.col("id").cast("string")))
+    return mapped.groupBy("hexdigest").agg(F.max("text").alias("text"), F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda s: s["id"]).alias("ids"))

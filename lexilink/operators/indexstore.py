@@ -83,11 +83,37 @@ def train(known: Trained, x: np.ndarray, own: np.ndarray, codes: int, bits: int,
     return known
 
 
+_VECTORS = "uid long, embedding array<float>, cell long, coarse long, code binary"
+
+
+def _placed(rows: DataFrame, known: Trained, cells: K.Cells | None) -> DataFrame:
+    """rows (uid, embedding) with their cells and codes."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+    zero = F.lit(0).cast("long")
+    in_cells = K.nearest_cells(rows, cells, "uid") if cells else rows.select("uid", zero.alias("cell"), zero.alias("coarse"), "embedding")
+
+    def run(iterator):
+        t = shared.value
+        for batch in iterator:
+            if batch.num_rows:
+                coded = [c.tobytes() for c in t.codes_of(R._matrix(batch.column(3)), batch.column(2).to_numpy(zero_copy_only=False))] if len(t.books) else [b""] * batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(1), batch.column(2), pa.array(coded, pa.binary())], ["uid", "embedding", "cell", "coarse", "code"])
+
+    return in_cells.select("uid", "cell", "coarse", "embedding").mapInArrow(run, _VECTORS)
+
+
+def _plain(vectors: DataFrame) -> DataFrame:
+    return vectors.select(F.col("uid").cast("long").alias("uid"), F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("embedding").isNotNull())
+
+
 @dataclass
 class VectorIndex:
+    """more: folders of vectors that came after the index was built."""
+
     spark: SparkSession
     path: str
     trained: Trained
+    more: list[str] = field(default_factory=list)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> VectorIndex | None:
@@ -108,7 +134,7 @@ class VectorIndex:
             raise ValueError(f"{kind} index by {metric}: none of {KINDS} by {R.METRICS}")
         if not overwrite and (found := cls.open(spark, path)) is not None:
             return found
-        rows = vectors.select(F.col("uid").cast("long").alias("uid"), F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("embedding").isNotNull())
+        rows = _plain(vectors)
         n = rows.count()
         count, probes = R.ivf_parameters(n, factor)
         delete(spark, f"{path}/trained")
@@ -118,17 +144,7 @@ class VectorIndex:
         known = Trained(kind, metric, d, probes, found.n_fine if found else 0, R.factory_string(kind, n, codes, bits, opq), found.coarse if found else np.zeros((0, d)), np.zeros((0, 0, 0)), np.eye(d))
         if len(x):
             known = train(known, x, K.nearest(x, known.centers) if found else np.zeros(len(x), np.int64), codes, bits, opq)
-        shared = spark.sparkContext.broadcast(known)
-        in_cells = K.nearest_cells(rows, found, "uid") if found else rows.select("uid", F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("coarse"), "embedding")
-
-        def run(iterator):
-            t = shared.value
-            for batch in iterator:
-                if batch.num_rows:
-                    coded = [c.tobytes() for c in t.codes_of(R._matrix(batch.column(3)), batch.column(2).to_numpy(zero_copy_only=False))] if len(t.books) else [b""] * batch.num_rows
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(1), batch.column(2), pa.array(coded, pa.binary())], ["uid", "embedding", "cell", "coarse", "code"])
-
-        placed = in_cells.select("uid", "cell", "coarse", "embedding").mapInArrow(run, "uid long, embedding array<float>, cell long, coarse long, code binary")
+        placed = _placed(rows, known, found)
         # Hashes of the ids split cells that are large, so that no range of cells is one task's.
         ranged = placed.repartitionByRange(files or int(spark.conf.get("spark.sql.shuffle.partitions")), "cell", F.xxhash64("uid")).sortWithinPartitions("cell", "uid")
         ranged.write.mode("overwrite").parquet(f"{path}/vectors")
@@ -138,7 +154,11 @@ class VectorIndex:
         return cls(spark, path, known)
 
     def vectors(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/vectors")
+        return self.spark.read.schema(_VECTORS).parquet(f"{self.path}/vectors", *self.more)
+
+    def place(self, vectors: DataFrame, path: str) -> None:
+        """Writes more vectors, in the index's cells and codes, to a folder of their own."""
+        _placed(_plain(vectors), self.trained, self.cells() if self.trained.n_cells else None).write.mode("overwrite").parquet(path)
 
     def cells(self) -> K.Cells:
         fine = self.spark.read.schema("cell long, coarse long, center array<double>").parquet(f"{self.path}/cells")
@@ -151,8 +171,9 @@ class VectorIndex:
             return R.knn(queries, self.vectors(), k, t.metric)
         most = k * refine if len(t.books) else k
         parts = None
-        for ids, q in R.query_blocks(queries, min(200_000, max(1, (4 << 20) // (probes or t.probes)))):
-            part = self._partial(ids, q, most, probes or t.probes)
+        probes = min(probes or t.probes, max(1, t.n_cells))
+        for ids, q in R.query_blocks(queries, min(200_000, max(1, (4 << 20) // probes))):
+            part = self._partial(ids, q, most, probes)
             parts = part if parts is None else parts.unionByName(part)
         best = R.merge_top_k(parts, most)
         if not len(t.books):
@@ -184,7 +205,7 @@ class VectorIndex:
             t, ids, q, asked = shared.value
             top = R.RunningTop(k)
             for batch in iterator:
-                if not batch.num_rows:
+                if not batch.num_rows or not len(ids):
                     continue
                 uids, cells = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
                 order = np.argsort(cells, kind="stable")

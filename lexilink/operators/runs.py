@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,16 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, what: str) -> str:
+    """A new folder's path in the shared folder. What stands there when the driver's JVM ends goes."""
+    path = f"{scratch(spark)}/{what}-{uuid.uuid4().hex}"
+    fs, p = hadoop_file(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    fs.delete(p, True)
+    return path
+
+
 def config_digest(settings: dict[str, Column]) -> Column:
     """SHA-256 of the settings as JSON with sorted keys and all values as strings."""
     return F.sha2(F.to_json(F.struct(*[settings[k].cast("string").alias(k) for k in sorted(settings)])), 256)
@@ -84,22 +95,23 @@ def zipped(parts: dict[str, DataFrame], place: str) -> DataFrame:
     return whole.select(place, *checked)
 
 
-def _file(spark: SparkSession, path: str):
+def hadoop_file(spark: SparkSession, path: str):
+    """(file system, path) of a path, as Spark itself would open it."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    fs, p = _file(spark, path)
+    fs, p = hadoop_file(spark, path)
     fs.delete(p, True)
 
 
 def is_done(spark: SparkSession, path: str) -> bool:
     """Whether a folder has its marker, in any file system that Spark knows."""
-    fs, p = _file(spark, f"{path}/_DONE")
+    fs, p = hadoop_file(spark, f"{path}/_DONE")
     return fs.exists(p)
 
 
 def mark_done(spark: SparkSession, path: str) -> None:
-    fs, p = _file(spark, f"{path}/_DONE")
+    fs, p = hadoop_file(spark, f"{path}/_DONE")
     fs.create(p, True).close()

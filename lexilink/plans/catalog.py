@@ -31,7 +31,7 @@ def _load() -> None:
         import_module(f"lexilink.plans.{module}")
 
 
-MODULES: tuple[str, ...] = ("homonym_plans", "retrieval_plans", "corpus_plans", "io_plans", "store_plans")
+MODULES: tuple[str, ...] = ("homonym_plans", "retrieval_plans", "corpus_plans", "io_plans", "store_plans", "growth_plans")
 
 
 def queries() -> dict[str, Query]:

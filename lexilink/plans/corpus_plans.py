@@ -117,13 +117,12 @@ def attention_mask(spark, d):
     return _tokens(spark, d).select("eid", "passage_id", _joined(C.attention_mask(t, 2)).alias("mask"), _joined(C.global_attention_mask(t, [3, 4])).alias("global_mask"))
 
 
-@register("squeeze_mentions", f"WITH {_TOK}, m AS (SELECT eid, passage_id, unnest(generate_series(1, 6)) AS i, tokens FROM tk) SELECT eid, passage_id, coalesce(string_agg((CASE WHEN i % 3 = 0 THEN -1 ELSE coalesce(tokens[i], 0) END) || ',-1', ' ' ORDER BY i) FILTER (WHERE i % 3 <> 0), '') AS mentions FROM m GROUP BY eid, passage_id")
+@register("squeeze_mentions", f"WITH {_TOK} SELECT eid, passage_id, array_to_string(list_transform(list_filter(tokens, lambda x: x % 3 <> 0), lambda x: x || ',-1'), ' ') AS mentions FROM tk")
 def squeeze_mentions(spark, d):
-    def cell(i):
-        return F.array(F.lit(-1) if i % 3 == 0 else F.coalesce(F.get("tokens", F.lit(i - 1)), F.lit(0)), F.lit(-1))
-
-    nested = F.array(F.array(*map(cell, (1, 2, 3))), F.array(*map(cell, (4, 5, 6))))
-    done = F.transform(C.squeeze_mentions(nested), lambda m: F.array_join(F.transform(m, lambda x: x.cast("string")), ","))
+    """Tokens as mentions of two places, in sentences of three; those that are all padding go."""
+    cell = lambda x: F.array(F.when(x % 3 == 0, -1).otherwise(x), F.lit(-1))
+    sentences = F.transform(F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / 3).cast("int")), lambda i: F.transform(F.slice("tokens", 3 * i + 1, F.lit(3)), cell))
+    done = F.transform(C.squeeze_mentions(sentences), lambda m: F.array_join(F.transform(m, lambda x: x.cast("string")), ","))
     return _tokens(spark, d).select("eid", "passage_id", F.array_join(done, " ").alias("mentions"))
 
 
@@ -138,12 +137,13 @@ def reshape_rows(spark, d):
     return _tokens(spark, d).select("eid", "passage_id", F.posexplode(rows).alias("row", "part")).select("eid", "passage_id", F.col("row").cast("long").alias("row"), _joined("part").alias("part"))
 
 
-@register("extract_mentions", f"WITH {_TOK}, q AS (SELECT eid, passage_id, list_concat([1], tokens[1:3], [2, 9, 1], tokens[4:5], [2]) AS t, tokens FROM tk) SELECT eid, passage_id, {_text('tokens[1:3]')} || '|' || {_text('tokens[4:5]')} AS mentions FROM q WHERE NOT list_has_any(tokens[1:5], [1, 2])")
+@register("extract_mentions", f"WITH {_TOK} SELECT eid, passage_id, array_to_string(list_transform(list_filter(list_zip(tokens, list_concat(tokens[2:], [0])), lambda p: p[1] > 7), lambda p: p[1] || ' ' || p[2]), '|') AS mentions FROM tk")
 def extract_mentions(spark, d):
-    t = _tokens(spark, d).where(~F.arrays_overlap(F.slice("tokens", 1, 5), F.array(F.lit(MS), F.lit(ME))))
-    marked = F.concat(F.array(F.lit(MS)), F.slice("tokens", 1, 3), F.array(F.lit(ME), F.lit(9), F.lit(MS)), F.slice("tokens", 4, 2), F.array(F.lit(ME)))
-    runs = F.transform(C.extract_mentions(marked, MS, ME), lambda m: F.array_join(F.transform(m, lambda x: x.cast("string")), " "))
-    return t.select("eid", "passage_id", F.array_join(runs, "|").alias("mentions"))
+    """Every long word, with the length of the one after it, between marks; marks are no lengths."""
+    after = F.concat(F.slice("tokens", F.lit(2), F.size("tokens")), F.array(F.lit(0)))
+    marked = F.flatten(F.zip_with("tokens", after, lambda t, n: F.when(t > 7, F.array(F.lit(-1), t, n, F.lit(-2))).otherwise(F.array(t))))
+    runs = F.transform(C.extract_mentions(marked, -1, -2), lambda m: F.array_join(F.transform(m, lambda x: x.cast("string")), " "))
+    return _tokens(spark, d).select("eid", "passage_id", F.array_join(runs, "|").alias("mentions"))
 
 
 @register("context_window", f"WITH {_TOK}, p AS (SELECT eid, passage_id, tokens[1:5] AS l, tokens[6:8] AS m, tokens[9:] AS r FROM tk), s AS (SELECT *, CAST(ceil((14 - len(m) - 2) / 2) AS INT) AS k FROM p) SELECT eid, passage_id, {_text('list_concat(l[greatest(1, len(l) - k + 1):], m, r[1:k])')} AS context FROM s")
@@ -178,10 +178,14 @@ def mention_markup(spark, d):
     return S.passages(spark, d).select("eid", "passage_id", F.concat(left, F.lit("START "), mention, F.lit(" END"), right).alias("source"), F.concat(mention, F.lit(" is")).alias("target"))
 
 
-@register("mention_markers", f"WITH {PA} SELECT eid, passage_id, substr(text, 1, 2) || '[MS] ' || substr(text, 3, 3) || ' [ME]' || substr(text, 6, 4) || '[MS] ' || substr(text, 10, 2) || ' [ME]' || substr(text, 12) AS marked FROM pa")
+@register("mention_markers", f"WITH {PA} SELECT eid, passage_id, array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN length(w) > 7 THEN '[MS] ' || w || ' [ME]' ELSE w END), ' ') AS marked FROM pa")
 def mention_markers(spark, d):
-    spans = F.array(F.struct(F.lit(9).alias("start"), F.lit(11).alias("end")), F.struct(F.lit(2).alias("start"), F.lit(5).alias("end")))
-    return S.passages(spark, d).select("eid", "passage_id", C.mark_mentions(F.col("text"), spans).alias("marked"))
+    """Every word of more than seven letters is a mention."""
+    p, keys = S.passages(spark, d), ["eid", "passage_id"]
+    long = C.tokens_with_offsets(p, keys, "text").where(F.length("word") > 7)
+    spans = long.groupBy(*keys).agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("spans"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return p.join(spans, keys, "left").select(*keys, C.mark_mentions(F.col("text"), F.coalesce("spans", none)).alias("marked"))
 
 
 @register("char_to_token_spans", f"WITH {PA}, w AS (SELECT eid, passage_id, ws, unnest(generate_series(1, len(ws))) AS i FROM (SELECT *, string_split(text, ' ') AS ws FROM pa)), t AS (SELECT eid, passage_id, CAST(i - 1 AS INT) AS token, CAST(list_sum(list_concat([0], list_transform(ws[1:i - 1], lambda x: length(x) + 1))) AS BIGINT) AS s, length(ws[i]) AS n FROM w) SELECT a.eid, a.passage_id, a.s AS start, a.token AS first_token, b.token AS last_token FROM t a JOIN t b ON a.eid = b.eid AND a.passage_id = b.passage_id AND b.token = a.token + 1")
@@ -258,30 +262,38 @@ def ambiguous_exact(spark, d):
     return found.agg(F.count_distinct("mention").alias("n"))
 
 
-# Abbreviations, over literal rows: the driver tables have none.
-_LINES = ["1|first text", "MS|multiple sclerosis|0.99", "2|next", "AD|Alzheimer disease|0.95", " -GT|-glucosyl transferase|0.8", "broken|row", "3|none"]
-_PAIRS = [(1, 0, "MS", "multiple sclerosis"), (2, 0, "AD", "Alzheimer disease"), (2, 1, "a -GT", "alpha -glucosyl-transferase")]
-_PAIRS_SQL = "p AS (SELECT * FROM (VALUES (1, 0, 'MS', 'multiple sclerosis'), (2, 0, 'AD', 'Alzheimer disease'), (2, 1, 'a -GT', 'alpha -glucosyl-transferase')) v(doc, ord, short, long))"
+# Abbreviations: parts stand for definitions, their initials for short forms.
+_INITIALS = "upper(substr(p_name, 1, 1) || substr(string_split(p_name, ' ')[2], 1, 1))"
+_PAIRS_SQL = "p AS (SELECT p_partkey AS doc, p_size AS ord, CASE WHEN p_size % 2 = 0 THEN 'a -' || p_brand ELSE p_brand END AS short, p_name || '-' || p_type AS long FROM part)"
+
+
+def _initials():
+    return F.upper(F.concat(F.substring("p_name", 1, 1), F.substring(F.get(F.split("p_name", " "), F.lit(1)), 1, 1)))
 
 
-def _pairs(spark):
-    return spark.createDataFrame(_PAIRS, "doc int, ord int, short string, long string")
+def _pairs(spark, d):
+    short = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("a -"), "p_brand")).otherwise(F.col("p_brand"))
+    return S.table(spark, d, "part").select(F.col("p_partkey").alias("doc"), F.col("p_size").alias("ord"), short.alias("short"), F.concat_ws("-", "p_name", "p_type").alias("long"))
 
 
-@register("ab3p_output_parse", "SELECT * FROM (VALUES (1, 'MS', 'multiple sclerosis', 0.99::DOUBLE), (2, 'AD', 'Alzheimer disease', 0.95::DOUBLE), (2, '-GT', '-glucosyl transferase', 0.8::DOUBLE)) v(doc, short, long, score)")
+@register("ab3p_output_parse", f"SELECT CAST(p_partkey AS INT) AS doc, {_INITIALS} AS short, p_name AS long, p_size / 100.0::DOUBLE AS score FROM part")
 def ab3p_output_parse(spark, d):
-    return A.parse_extractor_output(spark.createDataFrame(list(enumerate(_LINES)), "ord int, line string"))
+    """A header, a row and a broken row for each part, as a finder prints them."""
+    lines = F.array(F.concat(F.col("p_partkey").cast("string"), F.lit("|text of it")), F.concat(F.lit(" "), F.concat_ws("|", _initials(), "p_name", (F.col("p_size") / 100).cast("string"))), F.lit("broken|row"))
+    each = S.table(spark, d, "part").select("p_partkey", F.posexplode(lines).alias("k", "line"))
+    return A.parse_extractor_output(each.select((F.col("p_partkey") * 3 + F.col("k")).alias("ord"), "line"))
 
 
 @register("abbr_clean", f"WITH {_PAIRS_SQL} SELECT * FROM p UNION ALL SELECT doc, ord, trim(replace(short, '-', '')), trim(replace(long, '-', '')) FROM p WHERE contains(short, ' -')")
 def abbr_clean(spark, d):
-    return C.clean_abbreviations(_pairs(spark))
+    return C.clean_abbreviations(_pairs(spark, d))
 
 
-@register("abbr_union", f"WITH {_PAIRS_SQL}, u AS (SELECT 1 AS o, doc, short, long FROM p UNION ALL SELECT 2, doc, short, upper(long) FROM p WHERE doc = 2) SELECT doc, short, arg_max(long, o) AS long FROM u GROUP BY doc, short")
+@register("abbr_union", f"WITH {_PAIRS_SQL}, u AS (SELECT 1 AS o, doc, short, long FROM p UNION ALL SELECT 2, doc, short, upper(long) FROM p WHERE ord % 3 = 0) SELECT doc, short, arg_max(long, o) AS long FROM u GROUP BY doc, short")
 def abbr_union(spark, d):
-    p = _pairs(spark).select("doc", "short", "long")
-    both = p.withColumn("o", F.lit(1)).unionByName(p.where("doc = 2").withColumn("long", F.upper("long")).withColumn("o", F.lit(2)))
+    p = _pairs(spark, d)
+    later = p.where("ord % 3 = 0").select("doc", "short", F.upper("long").alias("long"))
+    both = p.select("doc", "short", "long").withColumn("o", F.lit(1)).unionByName(later.withColumn("o", F.lit(2)))
     return C.last_dictionary(both, "o")
 
 
@@ -298,10 +310,11 @@ def remap_mentions(spark, d):
     return A.remap_mentions(p.select(F.col("eid").alias("doc"), F.col("passage_id").cast("long").alias("passage_id"), F.col("offset").cast("long").alias("offset"), "text", F.split("text", " ", -1).alias("mentions")))
 
 
-@register("abbr_extract", "SELECT * FROM (VALUES (1::BIGINT, 0::BIGINT, 'MS', 'multiple sclerosis'), (1, 1, 'AD', 'Alzheimer disease')) v(doc, ord, short, long)")
+@register("abbr_extract", f"SELECT p_partkey AS doc, CAST(0 AS BIGINT) AS ord, {_INITIALS} AS short, p_name AS long FROM part")
 def abbr_extract(spark, d):
-    rows = [(1, "We saw multiple sclerosis (MS) and Alzheimer disease (AD, old)."), (2, "no (x) here"), (3, None)]
-    return A.extract(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    """A sentence that defines each part's initials, among other parentheses."""
+    text = F.concat(F.lit("No (x) here. We saw the "), "p_name", F.lit(" ("), _initials(), F.lit(", old)."))
+    return A.extract(S.table(spark, d, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
 
 
 @register("abbr_documents", "SELECT doc_id AS doc, 'XQZ' AS short, 'xeno quartz zone' AS long FROM documents WHERE text IS NOT NULL")
@@ -311,10 +324,10 @@ def abbr_documents(spark, d):
     return A.extract(docs, "doc_id", "text").where("short = 'XQZ'").select("doc", "short", "long")
 
 
-@register("abbr_mentions", f"WITH {PA} SELECT eid, passage_id, replace(replace(string_split(text, ' ')[1], 'th', 'ter'), 'er', 'long') AS mention, md5(replace(replace(text, 'th', 'ter'), 'er', 'long')) AS text FROM pa")
+@register("abbr_mentions", f"WITH {PA} SELECT eid, passage_id, md5(array_to_string(list_transform(string_split(text, ' '), lambda w: replace(replace(w, 'th', 'ter'), 'er', 'long')), ' ')) AS mentions, md5(replace(replace(text, 'th', 'ter'), 'er', 'long')) AS text FROM pa")
 def abbr_mentions(spark, d):
-    """Short forms go from a text and from the mentions in it alike, also within a mention."""
+    """Short forms go from a text and from the mentions in it alike, here every word, also within a mention."""
     pairs = F.array(F.struct(F.lit("th").alias("short"), F.lit("ter").alias("long")), F.struct(F.lit("er").alias("short"), F.lit("long").alias("long")))
-    rows = S.passages(spark, d).withColumns({"mentions": F.slice(F.split("text", " ", -1), 1, 1), "pairs": pairs})
+    rows = S.passages(spark, d).withColumns({"mentions": F.split("text", " ", -1), "pairs": pairs})
     done = A.expand(rows, "text", "mentions", "pairs")
-    return done.select("eid", "passage_id", F.get("mentions", F.lit(0)).alias("mention"), F.md5("text").alias("text"))
+    return done.select("eid", "passage_id", F.md5(F.array_join("mentions", " ")).alias("mentions"), F.md5("text").alias("text"))

@@ -16,25 +16,16 @@ from lexilink.sources import pubtator as P
 PA, AN, KB = S.PASSAGES_SQL, S.ANNOTATIONS_SQL, S.KB_SQL
 EV = "ev AS (SELECT user_id AS doc, event_type AS type, event_id AS id FROM events)"
 
-_SAMPLE = """100|t|Effect of BRCA1 in patients.
-100|a|A study (n|5) of aspirin.
-100\t10\t15\tBRCA1\tGene\t672,675
-100\t19\t27\tpatients\tOrganismTaxon\tTax:9606
-100\tAssociation\t672\tD001241\tNovel
-
-200|t|Rat.
-200|a|
-200\t0\t3\tRat\tOrganismTaxon\t*10116
-200\t0\t3\tRat\tSpecies\t-
-"""
-
-
-@register("pubtator_parse", """SELECT * FROM (VALUES (100::BIGINT, 10, 15, 'BRCA1', 'Gene', '672/675', 'Effect of BRCA1 in patients.'), (100, 19, 27, 'patients', 'OrganismTaxon', '9606', 'Effect of BRCA1 in patients.'),
-(200, 0, 3, 'Rat', 'OrganismTaxon', '10116', 'Rat.'), (200, 0, 3, 'Rat', 'Species', '', 'Rat.')) v(pmid, start, "end", text, type, ids, title)""")
+@register("pubtator_parse", """SELECT c_custkey AS pmid, 10 AS start, 15 AS "end", c_name AS text, 'Gene' AS type, c_nationkey || '/' || c_mktsegment || '/7' AS ids, 'Effect of ' || c_name || ' (n|5).' AS title FROM customer""")
 def pubtator_parse(spark, d):
-    """What a file can hold besides annotations: relations, empty lines, bars in texts, prefixes, placeholders. Whole tables go through pubtator_files."""
-    lines = spark.createDataFrame([(x,) for x in _SAMPLE.split("\n")], "value string")
-    found = P.parse_annotations(lines).join(P.parse_texts(lines).where("kind = 't'").select("pmid", F.col("text").alias("title")), "pmid")
+    """What a file can hold besides annotations: relations, empty lines, bars in texts, prefixes, placeholders."""
+    key = F.col("c_custkey").cast("string")
+    lines = F.array(
+        F.concat(key, F.lit("|t|Effect of "), "c_name", F.lit(" (n|5).")), F.concat(key, F.lit("|a|")), F.concat_ws("\t", key, F.lit("10"), F.lit("15"), "c_name", F.lit("Gene"), F.concat(F.lit("Tax:"), F.col("c_nationkey").cast("string"), F.lit(",MESH:"), "c_mktsegment", F.lit("|*7;-"))),
+        F.concat_ws("\t", key, F.lit("Association"), F.lit("672"), F.lit("D001241"), F.lit("Novel")), F.lit(""),
+    )
+    each = S.table(spark, d, "customer").select(F.explode(lines).alias("value"))
+    found = P.parse_annotations(each).join(P.parse_texts(each).where("kind = 't'").select("pmid", F.col("text").alias("title")), "pmid")
     return found.withColumn("ids", F.array_join("ids", "/"))
 
 

@@ -24,8 +24,7 @@ PA, KB, AN, V = S.PASSAGES_SQL, S.KB_SQL, S.ANNOTATIONS_SQL, S.VECTORS_SQL
 _LINE = r"regexp_replace(text, '[\r\n\t]', ' ', 'g')"
 
 
-def _path(spark, what: str) -> str:
-    return f"{runs.scratch(spark)}/{what}-{uuid.uuid4().hex}"
+_path = runs.fresh_path
 
 
 @register("shard_store", f"WITH {KB}, r AS (SELECT uid, name, (row_number() OVER (ORDER BY uid) - 1) AS k FROM kb) SELECT k // 300 AS shard, k % 300 AS position, uid, name FROM r")
@@ -264,17 +263,33 @@ def split_selection(spark, d):
     return C.only_test_of(p, "role", ["assistant"]).select("eid", "passage_id")
 
 
-@register("file_filter", "SELECT * FROM (VALUES ('run2_undirected.txt'), ('run10_undirected.txt')) v(name)")
+@register("corpus_options", """WITH o AS (SELECT DISTINCT c_mktsegment AS corpus FROM customer), e AS (SELECT corpus, f.f AS is_foreign, m.m AS max_mentions FROM o, (VALUES ('False'), ('True')) f(f), (VALUES (NULL), (20), (50)) m(m))
+SELECT corpus, is_foreign = 'True' AS is_foreign, max_mentions, '/data/' || sha256('{"corpus":"' || corpus || '","foreign":"' || is_foreign || '"' || coalesce(',"max_mentions":"' || max_mentions || '"', '') || ',"sentences":"False"}') || '/3' || CASE WHEN is_foreign = 'True' THEN '/abbreviations' ELSE '' END AS path FROM e""")
+def corpus_options(spark, d):
+    """Every way a corpus is prepared, and where it lies then: by the digest of its options."""
+    import pandas as pd
+
+    from lexilink.operators import settings
+
+    def run(frames):
+        for names in frames:
+            found = [o for name in names["corpus"] for o in settings.expanded({"corpus": [name], "sentences": [False]})]
+            yield pd.DataFrame({"corpus": [o["corpus"] for o in found], "is_foreign": [o["foreign"] for o in found], "max_mentions": pd.array([o.get("max_mentions") for o in found], "Int32"), "path": [settings.data_path("/data", o, 3, o["foreign"]) for o in found]})
+
+    return S.table(spark, d, "customer").select(F.col("c_mktsegment").alias("corpus")).distinct().mapInPandas(run, "corpus string, is_foreign boolean, max_mentions int, path string")
+
+
+@register("file_filter", "SELECT 'run' || n_nationkey || '_undirected.txt' AS name, CAST(row_number() OVER (ORDER BY n_nationkey) AS INT) AS place FROM nation")
 def file_filter(spark, d):
-    """Files by extension and a part of their names; run2 stands before run10."""
-    path = _path(spark, "files").replace("file://", "")
-    for name in ("run10_undirected", "run2_undirected", "run1_directed"):
-        spark.range(1).selectExpr("'x' AS value").coalesce(1).write.text(f"{path}/{name}.txt")
-    names = K.sorted_files(spark, path, ".txt", recursive=True, holding="undirected").orderBy("place").select(F.regexp_extract("path", r"/([^/]+)/part-[^/]*$", 1).alias("name"))
-    listed = [r.name for r in names.collect()]
-    if listed != sorted(listed, key=len):
-        raise ValueError(f"not in natural order: {listed}")
-    return names
+    """Of two files for each nation those with a part in their names, in natural order: run2 stands before run10."""
+    from pyspark.sql import Window
+
+    path = _path(spark, "files")
+    kinds = F.explode(F.array(F.lit("_undirected.txt"), F.lit("_directed.txt"))).alias("kind")
+    rows = S.table(spark, d, "nation").select("n_nationkey", "n_name", kinds)
+    rows.select(F.concat(F.lit("run"), F.col("n_nationkey").cast("string"), "kind").alias("file"), F.col("n_name").alias("value")).repartition("file").write.partitionBy("file").text(path)
+    found = K.sorted_files(spark, path, ".txt", recursive=True, holding="undirected")
+    return found.select(F.regexp_extract("path", r"/file=([^/]+)/[^/]*$", 1).alias("name"), F.row_number().over(Window.orderBy("place")).alias("place"))
 
 
 @register("every_n_steps", "WITH ml AS (SELECT user_id AS run, value AS metric, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events) SELECT run, CAST(step AS INT) AS step, metric FROM ml WHERE step % 5 = 0")
@@ -300,13 +315,14 @@ def joint_loss(spark, d):
     return candidates.marginal_nll(scored).withColumn("nll", F.round("nll", 6))
 
 
-@register("done_marker", "SELECT false AS before, true AS after")
+@register("done_marker", f"WITH {KB} SELECT uid, name, false AS before, true AS after FROM kb")
 def done_marker(spark, d):
-    """A knowledge base is marked as disambiguated by a file, which others look for."""
+    """A knowledge base is written and then marked as whole by a file, which others look for before they read it."""
     path = _path(spark, "kb")
     before = runs.is_done(spark, path)
+    S.kb(spark, d).select("uid", "name").write.parquet(f"{path}/kb")
     runs.mark_done(spark, path)
-    return spark.createDataFrame([(before, runs.is_done(spark, path))], "before boolean, after boolean")
+    return spark.read.parquet(f"{path}/kb").withColumns({"before": F.lit(before), "after": F.lit(runs.is_done(spark, path))})
 
 
 @register("outside_predictor", f"WITH {PA} SELECT CAST(eid AS INT) AS doc, 'XQZ' AS short, 'xeno quartz zone' AS long, CAST(1.0 AS DOUBLE) AS score FROM pa GROUP BY eid")

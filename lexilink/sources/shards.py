@@ -2,10 +2,13 @@
 
 A store is a folder with one partition per shard (`shard=0`, `shard=1`, ...); rows keep their position in the shard. All shards but the last have `shard_size` rows, so a global row number
 gives shard and position by arithmetic, and a reader prunes to that shard. Fixed-size arrays of more dimensions are stored flat with their shape beside them.
+
+A growing store takes more rows later: they fill up the last shard and open new ones. What counts is its manifest, which lists the batches that are whole; a batch that failed half-way is in none and is never read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +16,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexilink.functions.encoder import Encoder, encode
+from lexilink.operators.settings import digest
 from lexilink.operators.sharding import global_row_number, shard_address
+from lexilink.sources.manifests import Manifest
 
 
 def write_shards(df: DataFrame, path: str, by: list[str], shard_size: int = 1_000_000, codec: str = "zstd") -> None:
@@ -63,6 +69,25 @@ class ShardStore:
         size = self.shard_size()
         return self.rows().where((F.col("shard") == number // size) & (F.col("position") == number % size)).drop("shard", "position")
 
+    def gather(self, wanted: DataFrame, number: str = "row", columns: list[str] | None = None, most_shards: int = 1000, most_rows: int = 1000) -> DataFrame:
+        """wanted with the stored columns (all, or those named) of the row that each number says; nulls where the store has no such row or the number is null.
+
+        One job for all rows. Only shards that are asked for are read, and where few rows are asked for, only parts of files that may hold their positions."""
+        size = max(1, self.shard_size())
+        shard, position = shard_address(F.col(number), size)
+        asked = wanted.withColumns({"__shard": shard, "__position": position})
+        stored = self.rows()
+        kept = [c for c in (columns or stored.columns) if c not in ("shard", "position")]
+        which = [r[0] for r in asked.where("__shard IS NOT NULL").select("__shard").distinct().limit(most_shards + 1).collect()]
+        if len(which) <= most_shards:
+            stored = stored.where(F.col("shard").isin(which))
+            at = [r[0] for r in asked.where("__position IS NOT NULL").select("__position").distinct().limit(most_rows + 1).collect()]
+            if len(at) <= most_rows:
+                stored = stored.where(F.col("position").isin(at))
+        stored = stored.select(F.col("shard").alias("__s"), F.col("position").alias("__p"), *kept)
+        met = asked.join(stored, (F.col("__shard") == F.col("__s")) & (F.col("__position") == F.col("__p")), "left")
+        return met.drop("__shard", "__position", "__s", "__p")
+
     def shards(self) -> Iterator[DataFrame]:
         """Shard after shard, each in the order of its rows."""
         for r in self.sizes().orderBy("shard").select("shard").toLocalIterator():
@@ -72,3 +97,91 @@ class ShardStore:
         """(values, offsets) of a list column of one shard."""
         column = self.rows().where(F.col("shard") == shard).orderBy("position").select(key).toArrow().column(0).combine_chunks()
         return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
+
+
+class GrowingStore(ShardStore):
+    """A store that is appended to. Its manifest has the shard size, the number of rows and the batches."""
+
+    def manifest(self) -> Manifest:
+        return Manifest(self.spark, f"{self.path}/manifest")
+
+    def rows(self) -> DataFrame:
+        known = self.manifest().read()
+        if known is None:
+            raise ValueError(f"{self.path} holds no store yet")
+        return self.spark.read.option("basePath", self.path).parquet(*[f"{self.path}/batch={b}" for b in known["batches"]]).drop("batch")
+
+    def shard_size(self) -> int:
+        known = self.manifest().read()
+        return known["shard_size"] if known else 0
+
+    def append(self, df: DataFrame, by: list[str], shard_size: int = 1_000_000, codec: str = "zstd") -> int:
+        """Rows in the order of `by` after those that are there; returns how many rows the store has now. The shard size is that of the first batch. Of two writers at once the later one is told to try again."""
+        manifest = self.manifest()
+        versions = manifest.versions()
+        known = manifest.read() or {"shard_size": shard_size, "rows": 0, "batches": []}
+        numbered = global_row_number(df, by, "row", known["rows"])
+        shard, position = shard_address(F.col("row"), known["shard_size"])
+        batch = f"{len(known['batches']):06d}-{uuid.uuid4().hex}"
+        placed = numbered.withColumns({"position": position, "shard": shard}).drop("row")
+        placed.repartition("shard").sortWithinPartitions("shard", "position").write.mode("error").partitionBy("shard").option("compression", codec).parquet(f"{self.path}/batch={batch}")
+        n = self.spark.read.schema(placed.schema).parquet(f"{self.path}/batch={batch}").count()
+        after = {"shard_size": known["shard_size"], "rows": known["rows"] + n, "batches": known["batches"] + [batch] if n else known["batches"]}
+        if not manifest.publish((versions[-1] if versions else 0) + 1, after):
+            raise RuntimeError(f"another writer appended to {self.path}; append again")
+        return after["rows"]
+
+
+@dataclass
+class EmbeddedShards:
+    """Embeddings of a table's texts in shards, written a few at a time, so that a run that was killed goes on where it stopped.
+
+    `rows` holds the texts by shard and position; `vectors` the embeddings. The manifest says what they are made with and which shards are whole; others are written again, over what is left of them.
+    """
+
+    spark: SparkSession
+    path: str
+
+    def manifest(self) -> Manifest:
+        return Manifest(self.spark, f"{self.path}/manifest")
+
+    def _publish(self, content: dict) -> dict:
+        manifest = self.manifest()
+        versions = manifest.versions()
+        if not manifest.publish((versions[-1] if versions else 0) + 1, content):
+            raise RuntimeError(f"another run writes to {self.path}")
+        return content
+
+    def write(self, df: DataFrame, key: str, text_col: str, encoder: Encoder, shard_size: int = 1_000_000, shards_per_job: int = 64, settings: dict | None = None, most_jobs: int | None = None) -> list[int]:
+        """Writes the shards that are missing, at most most_jobs times shards_per_job of them; returns their numbers. `settings` say what the encoder is: a folder that was begun with others is an error."""
+        made = digest({"key": key, "text": text_col, "shard_size": shard_size, **(settings or {})})
+        known = self.manifest().read()
+        if known is None:
+            numbered = global_row_number(df.select(F.col(key).cast("long").alias("uid"), F.col(text_col).alias("text")), ["uid"], "row")
+            shard, position = shard_address(F.col("row"), shard_size)
+            numbered.withColumns({"position": position, "shard": shard}).drop("row").repartition("shard").sortWithinPartitions("shard", "position").write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/rows")
+            sizes = self.spark.read.parquet(f"{self.path}/rows").groupBy("shard").agg(F.count("*").alias("n")) if df.limit(1).count() else None
+            n = int(sizes.agg(F.sum("n")).first()[0]) if sizes else 0
+            known = self._publish({"made": made, "rows": n, "shards": -(-n // shard_size), "whole": []})
+        if known["made"] != made:
+            raise ValueError(f"{self.path} was begun with other settings")
+        missing = sorted(set(range(known["shards"])) - set(known["whole"]))
+        if most_jobs is not None:
+            missing = missing[: most_jobs * shards_per_job]
+        for at in range(0, len(missing), shards_per_job):
+            some = missing[at : at + shards_per_job]
+            rows = self.spark.read.schema("uid long, text string, position long, shard long").parquet(f"{self.path}/rows").where(F.col("shard").isin(some))
+            vectors = encode(rows.withColumn("place", F.col("shard") * shard_size + F.col("position")), "place", "text", encoder)
+            shard, position = shard_address(F.col("place"), shard_size)
+            placed = vectors.withColumns({"position": position, "shard": shard}).join(rows.select("uid", "shard", "position"), ["shard", "position"]).select("uid", "embedding", "position", "shard")
+            ordered = placed.repartition("shard").sortWithinPartitions("shard", "position")
+            ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(f"{self.path}/vectors")
+            known = self._publish(known | {"whole": sorted({*known["whole"], *some})})
+        return missing
+
+    def store(self) -> ShardStore:
+        """The whole shards; an error while some are missing."""
+        known = self.manifest().read()
+        if known is None or len(known["whole"]) < known["shards"]:
+            raise ValueError(f"{self.path} lacks shards")
+        return ShardStore(self.spark, f"{self.path}/vectors")

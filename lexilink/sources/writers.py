@@ -25,8 +25,7 @@ def _texts(passages: DataFrame) -> DataFrame:
 
 def pubtator_documents(passages: DataFrame, annotations: DataFrame) -> DataFrame:
     """(eid, content): title line, abstract line (the other passages, joined by spaces), the annotations (eid, start, end, text, type, ids) by place, and an empty line at the end."""
-    lines = F.concat_ws("\t", F.col("eid").cast("string"), F.col("start").cast("string"), F.col("end").cast("string"), one_line(F.col("text")), F.col("type"), F.array_join("ids", ","))
-    marked = annotations.groupBy("eid").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", lines.alias("line")))), lambda s: s["line"]).alias("lines"))
+    marked = annotations.groupBy("eid").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", _annotation_line().alias("line")))), lambda s: s["line"]).alias("lines"))
     whole = _texts(passages).join(marked, "eid", "left")
     title = F.concat_ws("|", F.col("eid").cast("string"), F.lit("t"), one_line(F.get("texts", F.lit(0))))
     rest = F.array_join(F.transform(F.slice("texts", F.lit(2), F.size("texts")), one_line), " ")
@@ -34,6 +33,31 @@ def pubtator_documents(passages: DataFrame, annotations: DataFrame) -> DataFrame
     return whole.select("eid", F.concat(F.array_join(F.concat(F.array(title, abstract), F.coalesce("lines", F.array().cast("array<string>"))), "\n"), F.lit("\n")).alias("content"))
 
 
+def append_pubtator(spark: SparkSession, path: str, annotations: DataFrame, out: str) -> None:
+    """The documents of PubTator files in `path`, with annotations (eid, start, end, text, type, ids) put before those that they have, written to `out`. Text lines and the annotations that are there stay as they are, relations too.
+
+    A document is the lines between empty lines; lines are read with their documents by Spark's text reader, one record for each document."""
+    documents = spark.read.option("lineSep", "\n\n").text(path).where(F.trim("value") != "").select(F.rtrim(F.col("value"), F.lit("\n")).alias("value"))
+    eid = F.regexp_extract("value", r"^\s*(\d+)", 1).cast("long")
+    lines = F.split("value", "\n", -1)
+    texts = F.filter(lines, lambda x: x.rlike(r"^\d+\|[ta]\|"))
+    rest = F.filter(lines, lambda x: ~x.rlike(r"^\d+\|[ta]\|"))
+    fresh = annotations.groupBy("eid").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", _annotation_line().alias("line")))), lambda s: s["line"]).alias("lines"))
+    whole = documents.select(eid.alias("eid"), texts.alias("texts"), rest.alias("rest")).join(fresh, "eid", "left")
+    content = F.array_join(F.concat("texts", F.coalesce("lines", F.array().cast("array<string>")), "rest"), "\n")
+    write_contents(whole.select("eid", F.concat(content, F.lit("\n")).alias("content")), out)
+
+
+def _annotation_line() -> Column:
+    return F.concat_ws("\t", F.col("eid").cast("string"), F.col("start").cast("string"), F.col("end").cast("string"), one_line(F.col("text")), F.col("type"), F.array_join("ids", ","))
+
+
+def dictionary_lines(names: DataFrame, id_col: str, name_col: str) -> DataFrame:
+    """(content): `id||name|name`, the distinct names of an identifier in order; empty ones are left out, and so are identifiers without any."""
+    named = names.where(F.trim(name_col) != "").groupBy(F.col(id_col).cast("string").alias("id")).agg(F.array_sort(F.collect_set(one_line(F.col(name_col)))).alias("names"))
+    return named.select(F.concat_ws("||", "id", F.array_join("names", "|")).alias("content"))
+
+
 def plain_documents(passages: DataFrame) -> DataFrame:
     """(eid, content): a document's passages, one a line."""
     return _texts(passages).select("eid", F.array_join(F.transform("texts", one_line), "\n").alias("content"))
