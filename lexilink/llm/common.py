@@ -39,7 +39,8 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    # A task holds one row group when it writes and when it reads, so these are small: long texts and sets of hashes stand in them.
+    df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", str(8 << 20)).parquet(path)
     # Where nobody removes it before, it goes when the driver's JVM ends.
     p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)

@@ -97,6 +97,7 @@ def token_lengths(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col:
 
     def run(iterator):
         encoder = Encoder.at(tokenizer_path, end_id)
+        give_back()  # what reading the vocabulary took
         for batch in wb.batches(iterator, "text"):
             ids, counts = encoder.encode(batch.column(3))
             columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int64())]
