@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -111,19 +113,33 @@ def letter_counts(text: Column, classes: int = 32) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.size(F.filter(code, lambda c: c == k)))
 
 
+def length_classes(length: Column, least: float) -> tuple[Column, list[int]]:
+    """(a class of a length, how far apart the classes of two lengths may be): texts whose lengths let an Indel ratio reach `least` are in classes that near."""
+    share = least / (200 - least)  # of the longer one the shorter one has at least
+    if share >= 1:
+        return length.cast("int"), [0]
+    if share <= 0:
+        return F.lit(0), [0]
+    step = -math.log(share) * (1 + 1e-9)
+    return F.when(length == 0, -1000).otherwise(F.floor(F.log(length.cast("double")) / step)).cast("int"), [-1, 0, 1]
+
+
 def ambiguous_counts(mentions: DataFrame, choices: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
     """at_<t> for each threshold: how many mentions (mention, identifier, text) have a choice (identifier, choice) with an Indel ratio of at least t.
 
-    Texts that are choices themselves have 100 and need no comparison. Of the other distinct pairs only those go to Python whose lengths and letters allow the least
+    Texts that are choices themselves have 100 and need no comparison. The others meet the choices of their identifier in classes of near lengths only, and of these pairs only those go to Python whose lengths and letters allow the least
     threshold, for the common subsequence is at most the shorter length, and at most the letters that both have."""
     least = min(thresholds)
     texts = mentions.select("identifier", "text").distinct()
     own = choices.select("identifier", F.col("choice").alias("text")).distinct()
     rest = texts.join(own, ["identifier", "text"], "left_anti").withColumn("of_text", letter_counts(F.col("text")))
+    own_class, apart = length_classes(F.length("text"), least)
+    rest = rest.withColumn("class", F.explode(F.array(*[own_class + k for k in apart])))
+    named = choices.select("identifier", "choice").distinct().withColumns({"of_choice": letter_counts(F.col("choice")), "class": length_classes(F.length("choice"), least)[0]})
     total = F.length("text") + F.length("choice")
     lengths = 200 * F.least(F.length("text"), F.length("choice")) >= least * total
     both = F.aggregate(F.zip_with("of_text", "of_choice", lambda a, b: F.least(a, b)), F.lit(0), lambda n, x: n + x)
-    pairs = rest.join(choices.select("identifier", "choice").distinct().withColumn("of_choice", letter_counts(F.col("choice"))), "identifier").where(lengths).where(200 * both >= least * total)
+    pairs = rest.join(named, ["identifier", "class"]).where(lengths).where(200 * both >= least * total)
     pairs = pairs.select("identifier", "text", "choice")
     scored = with_indel_ratio(pairs.select("text", "choice").distinct(), "text", "choice").where(F.col("ratio") >= least)
     near = pairs.join(scored, ["text", "choice"]).groupBy("identifier", "text").agg(F.max("ratio").alias("ratio"))

@@ -256,6 +256,19 @@ def corpus_kb(spark, d):
     return K.knowledge_bases(corpora).select("corpus", "kb")
 
 
+@register("run_assembly", """WITH c AS (SELECT DISTINCT event_type AS corpus, CASE event_type WHEN 'click' THEN 'genes' WHEN 'purchase' THEN 'diseases' WHEN 'view' THEN 'chemicals' ELSE 'taxonomy' END AS kb FROM events),
+k AS (SELECT ['genes', 'diseases', 'chemicals', 'taxonomy'][p_partkey % 4 + 1] AS kb, p_partkey AS uid, p_name AS name FROM part) SELECT corpus, uid, name FROM c JOIN k USING (kb)""")
+def run_assembly(spark, d):
+    """Each corpus with the knowledge base of its entity type beside it."""
+    kinds = F.create_map(F.lit("click"), F.lit("gene"), F.lit("purchase"), F.lit("disease"), F.lit("view"), F.lit("chemical"))
+    corpora = S.table(spark, d, "events").select(F.col("event_type").alias("corpus")).distinct().withColumn("type", F.coalesce(kinds[F.col("corpus")], F.lit("species")))
+    names = F.array(*[F.lit(n) for n in ("genes", "diseases", "chemicals", "taxonomy")])
+    kbs = S.table(spark, d, "part").select(F.get(names, (F.col("p_partkey") % 4).cast("int")).alias("kb"), F.col("p_partkey").alias("uid"), F.col("p_name").alias("name"))
+    path = _path(spark, "runs")
+    K.assemble_runs(K.knowledge_bases(corpora), kbs, path)
+    return spark.read.parquet(path).select("corpus", "uid", "name")
+
+
 @register("split_selection", f"WITH {PA} SELECT eid, passage_id FROM pa WHERE role <> 'assistant' OR eid % 3 = 2")
 def split_selection(spark, d):
     """Of some corpora (here: a role) only the test split, of the others all."""

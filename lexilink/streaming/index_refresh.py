@@ -4,7 +4,8 @@ Vectors come as a stream; each micro-batch becomes a version of the index. Most
 were trained on, a version is trained anew over all of them, so training costs a constant share of what arrives. A version is a manifest (sources/manifests.py): the folder of the trained index and its
 segments. It is published when all its files are there, in one rename, and never changes; readers hold on to the version that they opened.
 
-A micro-batch that is run again after a failure finds its version published, or writes the same folders over and publishes it: versions follow the batch numbers, and each is made from the version before it.
+A micro-batch that is run again after a failure finds its version published, or writes the same folders over and publishes it: versions follow the batch numbers, and each is made from the version before it. So a folder of
+versions belongs to one checkpoint: a stream that starts over needs a new folder.
 
 Edge cases: null vectors are left out; a batch without vectors is a version like the one before; versions without vectors find nothing. Ids that come again are vectors of their own.
 """

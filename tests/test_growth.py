@@ -189,3 +189,23 @@ def test_pubtator_on_the_command_line(spark, tmp_path):
     assert [r.value for r in spark.read.text(f"{tmp_path}/b").collect()] == ["1|t|Title", "1|a|Text", "1\t0\t5\tTitle\tGene\t7", ""]
     with pytest.raises(SystemExit):
         main(["pubtator", "--run", "append", "--dir", f"{tmp_path}/new", "--out", f"{tmp_path}/c"])
+
+
+def test_runs_are_assembled_with_their_knowledge_bases(spark, tmp_path):
+    from lexilink.sources import kb_source as B
+
+    kbs = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "kb string, uid long")
+    B.assemble_runs(spark.createDataFrame([("x", "a"), ("y", "a"), ("z", "b")], "corpus string, kb string"), kbs, f"{tmp_path}/r")
+    assert sorted((r.corpus, r.uid) for r in spark.read.parquet(f"{tmp_path}/r").collect()) == [("x", 1), ("x", 2), ("y", 1), ("y", 2), ("z", 3)]
+    with pytest.raises(PySparkException):
+        B.assemble_runs(spark.createDataFrame([("x", "c")], "corpus string, kb string"), kbs, f"{tmp_path}/s")
+
+
+def test_closed_sets(spark):
+    from lexilink.sources.kb_source import domain
+
+    rows = lambda v: spark.createDataFrame([(v,)], "v string").select(domain(F.col("v"), ["a", "b"], "kind").alias("v"))
+    assert rows("a").first().v == "a"
+    for v in ("c", None):
+        with pytest.raises(PySparkException):
+            rows(v).collect()

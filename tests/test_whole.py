@@ -36,3 +36,16 @@ def test_sharded_search_reads_all_query_blocks(spark, monkeypatch):
     monkeypatch.setattr(R, "query_blocks", partial(R.query_blocks, most=40))
     got = catalog.queries()["knn_sharded_merge"](spark, d).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_lengths_that_may_reach_a_ratio_are_in_near_classes(spark):
+    from pyspark.sql import functions as F
+
+    from lexilink.operators.textsim import length_classes
+
+    for least in (100, 95, 80, 50, 0):
+        rows = spark.range(0, 200).select(F.col("id").cast("int").alias("n"))
+        of, apart = length_classes(F.col("n"), least)
+        found = {r.n: r.c for r in rows.select("n", of.alias("c")).collect()}
+        near = [(a, b) for a in range(200) for b in range(200) if a + b and 200 * min(a, b) >= least * (a + b)]
+        assert all(found[b] - found[a] in apart for a, b in near if least > 0 or a * b)
