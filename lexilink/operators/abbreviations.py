@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexilink.operators.corpus import replace_in_order
 
-_PARENTHESES = re.compile(r"([^()\n]*?)\s*\(([^()\n]{2,60})\)")
+_INSIDE = re.compile(r"\(([^()\n]{2,60})\)")
 
 
 def long_form(short: str, before: str) -> str | None:
@@ -35,9 +35,18 @@ def long_form(short: str, before: str) -> str | None:
     return None if len(found) <= len(short) or short in found.split() else found
 
 
+def parentheses(text: str):
+    """(before, inside) of every pair of parentheses without others in it: the rest of the line before it, white space at its end left out. Each character is looked at a fixed number of times, however long lines are."""
+    at = 0
+    for found in _INSIDE.finditer(text):
+        before = text[at : found.start()].rstrip()
+        yield before[max(before.rfind(c) for c in "()\n") + 1 :], found.group(1)
+        at = found.end()
+
+
 def extract_pairs(text: str) -> list[tuple[str, str]]:
     out: dict[str, str] = {}
-    for before, inside in _PARENTHESES.findall(text or ""):
+    for before, inside in parentheses(text or ""):
         short = re.split(r"[,;]", inside)[0].strip()
         if 2 <= len(short) <= 10 and len(short.split()) <= 2 and any(c.isalpha() for c in short) and short[0].isalnum():
             found = long_form(short, before)
