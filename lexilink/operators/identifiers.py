@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOREIGN, NIL = -1, "NIL"
@@ -25,9 +27,13 @@ def or_nil(rows: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     return joined.withColumn(column, F.coalesce(F.col("new_id").cast("string"), F.lit(NIL))).drop("new_id")
 
 
-def reverse(rows: DataFrame, key: str, mapping: DataFrame) -> DataFrame:
-    """(key, ids): all string ids of a key's ints."""
-    return rows.join(mapping, "int_id").groupBy(key).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+def reverse(rows: DataFrame, key: str, mapping: DataFrame, shown: Callable[[Column], Column] = lambda ids: ids) -> DataFrame:
+    """(key, ids): all string ids of a key's ints, in the form that `shown` gives a list.
+
+    Lists are made and shown once for each set of ints that occurs, and then handed to the keys that have it."""
+    sets = rows.join(mapping.select("int_id").distinct(), "int_id", "left_semi").groupBy(key).agg(F.array_sort(F.collect_set("int_id")).alias("ints"))
+    lists = sets.select("ints").distinct().withColumn("int_id", F.explode("ints")).join(mapping, "int_id").groupBy("ints").agg(shown(F.array_sort(F.collect_set("id"))).alias("ids"))
+    return sets.join(lists, "ints").select(key, "ids")
 
 
 def normalise(annotations: DataFrame, history: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ def identifier_nil(spark, d):
 def identifier_reverse(spark, d):
     ints = S.table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc"), (11 + F.col("s_suppkey") % 20).alias("int_id"))
     mapping = S.kb(spark, d).select(F.col("identifier").alias("int_id"), F.concat_ws("-", "string_identifier", "uid").alias("id"))
-    return I.reverse(ints, "doc", mapping).select("doc", F.array_join("ids", ",").alias("ids"))
+    return I.reverse(ints, "doc", mapping, lambda ids: F.array_join(ids, ","))
 
 
 @register("identifier_normalise", f"WITH {_AN}, {_HIST} SELECT hexdigest, CASE WHEN is_foreign THEN -1 ELSE coalesce(new_id, identifier) END AS identifier FROM an LEFT JOIN hist ON identifier = id")

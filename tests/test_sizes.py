@@ -5,6 +5,8 @@ import time
 from pyspark.sql import functions as F
 
 from lexilink.operators import abbreviations as A
+from lexilink.operators import corpus as C
+from lexilink.operators import identifiers as I
 
 
 def test_parentheses_of_long_lines():
@@ -14,3 +16,24 @@ def test_parentheses_of_long_lines():
     assert A.extract_pairs("(a) " * 20_000 + "multiple sclerosis \n (MS)") == [("MS", "multiple sclerosis")]
     assert time.perf_counter() - began < 5
     assert list(A.parentheses("ab (cd) e\nfg \t\n(hi)((jk) l(mn)")) == [("ab", "cd"), ("fg", "hi"), ("", "jk"), (" l", "mn")]
+
+
+def test_mentions_of_long_arrays(spark):
+    """Tokens that are an expression are made once a row, not once for each token."""
+    words = F.split(F.repeat(F.lit("a bb ccc "), 4000), " ", -1)
+    tokens = F.transform(words, lambda w: F.when(F.length(w) == 1, F.lit(-1)).when(F.length(w) == 3, F.lit(-2)).otherwise(F.length(w)))
+    began = time.perf_counter()
+    # The last word is empty, and of no mention.
+    found = spark.range(2).select(C.extract_mentions(tokens, -1, -2).alias("m")).collect()
+    assert all(r.m == [[2]] * 4000 for r in found) and time.perf_counter() - began < 20
+
+
+def test_reverse_makes_lists_once_for_each_set_of_ints(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 1), ("b", 1), ("c", 1), ("d", 9), ("c", 9), ("e", None)], "key string, int_id int")
+    mapping = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (2, "w"), (1, "x"), (3, "z"), (1, None), (None, "q")], "int_id int, id string")
+    assert {r.key: r.ids for r in I.reverse(rows, "key", mapping).collect()} == {"a": ["w", "x", "y"], "b": ["w", "x", "y"], "c": ["x", "y"]}
+    many = spark.range(20_000).select(F.col("id").alias("key"), (F.col("id") % 2).cast("int").alias("int_id"))
+    wide = spark.range(40_000).select((F.col("id") % 2).cast("int").alias("int_id"), F.col("id").cast("string").alias("id"))
+    began = time.perf_counter()
+    r = I.reverse(many, "key", wide).agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).first()
+    assert (r.n, r.ids) == (20_000, 400_000_000) and time.perf_counter() - began < 60
