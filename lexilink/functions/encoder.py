@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,16 +44,17 @@ def _lists(x: np.ndarray, kind=np.float32) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), flat)
 
 
-def encode(df: DataFrame, id_col: str, text_col: str, encoder: Encoder, batch: int = 2048) -> DataFrame:
-    """(id, embedding) of each row's text."""
+def encode(df: DataFrame, id_col: str, text_col: str, encoder: Encoder, batch: int = 2048, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, embedding) of each row's text, and the columns to keep."""
 
     def run(iterator):
         for rows in iterator:
             for at in range(0, rows.num_rows, batch):
                 part = rows.slice(at, batch)
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(encoder(part.column(1).to_pylist()))], [id_col, "embedding"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(encoder(part.column(1).to_pylist())), *part.columns[2:]], [id_col, "embedding", *keep])
 
-    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, f"{id_col} long, embedding array<float>")
+    kept = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(F.col(id_col).cast("long"), text_col, *keep).mapInArrow(run, f"{id_col} long, embedding array<float>{kept}")
 
 
 @dataclass

@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,15 +133,38 @@ class GrowingStore(ShardStore):
         return after["rows"]
 
 
+def _among(column: str, numbers: list[int]) -> Column:
+    """Is a column one of these ascending numbers: by the ranges that they make up, which are few where numbers run on."""
+    ranges: list[list[int]] = []
+    for n in numbers:
+        if ranges and ranges[-1][1] == n - 1:
+            ranges[-1][1] = n
+        else:
+            ranges.append([n, n])
+    return reduce(lambda a, b: a | b, [F.col(column).between(*r) for r in ranges], F.lit(False))
+
+
+class FolderStore(ShardStore):
+    """A store whose rows lie in the folders that a manifest lists, in the order of shards, many small shards to a file; shard and position are columns, so a reader of one shard skips the files and row groups of others."""
+
+    def rows(self) -> DataFrame:
+        known = Manifest(self.spark, f"{self.path}/manifest").read()
+        schema = "uid long, embedding array<float>, position long, shard long"
+        folders = [f"{self.path}/vectors/{f}" for f in known["folders"]]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+
 @dataclass
 class EmbeddedShards:
     """Embeddings of a table's texts in shards, written a few at a time, so that a run that was killed goes on where it stopped.
 
-    `rows` holds the texts by shard and position; `vectors` the embeddings. The manifest says what they are made with and which shards are whole; others are written again, over what is left of them.
+    `rows` holds the texts by shard and position; `vectors` the embeddings, a folder for each job. The manifest says what they are made with, which shards are whole and which folders hold them; what a killed job left is in no list and is never read.
+    Each job of a run writes twice as many shards as the one before it, up to `job_rows` rows, so the jobs of a long run are few, and what a kill costs is no more than what the run had done already.
     """
 
     spark: SparkSession
     path: str
+    job_rows: int = 1_000_000
 
     def manifest(self) -> Manifest:
         return Manifest(self.spark, f"{self.path}/manifest")
@@ -153,30 +177,30 @@ class EmbeddedShards:
         return content
 
     def write(self, df: DataFrame, key: str, text_col: str, encoder: Encoder, shard_size: int = 1_000_000, shards_per_job: int = 64, settings: dict | None = None, most_jobs: int | None = None) -> list[int]:
-        """Writes the shards that are missing, at most most_jobs times shards_per_job of them; returns their numbers. `settings` say what the encoder is: a folder that was begun with others is an error."""
+        """Writes the shards that are missing, at most most_jobs times shards_per_job of them, and shards_per_job in the first job; returns their numbers. `settings` say what the encoder is: a folder that was begun with others is an error."""
         made = digest({"key": key, "text": text_col, "shard_size": shard_size, **(settings or {})})
         known = self.manifest().read()
         if known is None:
             numbered = global_row_number(df.select(F.col(key).cast("long").alias("uid"), F.col(text_col).alias("text")), ["uid"], "row")
             shard, position = shard_address(F.col("row"), shard_size)
-            numbered.withColumns({"position": position, "shard": shard}).drop("row").repartition("shard").sortWithinPartitions("shard", "position").write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/rows")
-            sizes = self.spark.read.parquet(f"{self.path}/rows").groupBy("shard").agg(F.count("*").alias("n")) if df.limit(1).count() else None
-            n = int(sizes.agg(F.sum("n")).first()[0]) if sizes else 0
-            known = self._publish({"made": made, "rows": n, "shards": -(-n // shard_size), "whole": []})
+            placed = numbered.withColumns({"position": position, "shard": shard}).drop("row")
+            placed.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position").write.mode("overwrite").parquet(f"{self.path}/rows")
+            n = self.spark.read.schema(placed.schema).parquet(f"{self.path}/rows").count()
+            known = self._publish({"made": made, "rows": n, "shards": -(-n // shard_size), "whole": [], "folders": []})
         if known["made"] != made:
             raise ValueError(f"{self.path} was begun with other settings")
         missing = sorted(set(range(known["shards"])) - set(known["whole"]))
         if most_jobs is not None:
             missing = missing[: most_jobs * shards_per_job]
-        for at in range(0, len(missing), shards_per_job):
-            some = missing[at : at + shards_per_job]
-            rows = self.spark.read.schema("uid long, text string, position long, shard long").parquet(f"{self.path}/rows").where(F.col("shard").isin(some))
-            vectors = encode(rows.withColumn("place", F.col("shard") * shard_size + F.col("position")), "place", "text", encoder)
-            shard, position = shard_address(F.col("place"), shard_size)
-            placed = vectors.withColumns({"position": position, "shard": shard}).join(rows.select("uid", "shard", "position"), ["shard", "position"]).select("uid", "embedding", "position", "shard")
-            ordered = placed.repartition("shard").sortWithinPartitions("shard", "position")
-            ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(f"{self.path}/vectors")
-            known = self._publish(known | {"whole": sorted({*known["whole"], *some})})
+        at, size = 0, shards_per_job
+        while at < len(missing):
+            some = missing[at : at + size]
+            rows = self.spark.read.schema("uid long, text string, position long, shard long").parquet(f"{self.path}/rows").where(_among("shard", some))
+            vectors = encode(rows, "uid", "text", encoder, keep=["position", "shard"])
+            folder = f"{some[0]:010d}-{uuid.uuid4().hex}"
+            vectors.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position").write.parquet(f"{self.path}/vectors/{folder}")
+            known = self._publish(known | {"whole": sorted({*known["whole"], *some}), "folders": [*known["folders"], folder]})
+            at, size = at + len(some), max(shards_per_job, min(2 * size, self.job_rows // shard_size))
         return missing
 
     def store(self) -> ShardStore:
@@ -184,4 +208,4 @@ class EmbeddedShards:
         known = self.manifest().read()
         if known is None or len(known["whole"]) < known["shards"]:
             raise ValueError(f"{self.path} lacks shards")
-        return ShardStore(self.spark, f"{self.path}/vectors")
+        return FolderStore(self.spark, self.path)

@@ -4,9 +4,11 @@ import time
 
 from pyspark.sql import functions as F
 
+from lexilink.functions.encoder import hashing_encoder
 from lexilink.operators import abbreviations as A
 from lexilink.operators import corpus as C
 from lexilink.operators import identifiers as I
+from lexilink.sources.shards import EmbeddedShards
 
 
 def test_parentheses_of_long_lines():
@@ -37,3 +39,20 @@ def test_reverse_makes_lists_once_for_each_set_of_ints(spark):
     began = time.perf_counter()
     r = I.reverse(many, "key", wide).agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).first()
     assert (r.n, r.ids) == (20_000, 400_000_000) and time.perf_counter() - began < 60
+
+
+def test_embedding_many_small_shards_takes_few_jobs_and_folders(spark, tmp_path):
+    rows = spark.range(0, 400).select(F.col("id").alias("uid"), F.concat(F.lit("word "), F.col("id")).alias("text"))
+    store = EmbeddedShards(spark, f"{tmp_path}/e")
+    assert store.write(rows, "uid", "text", hashing_encoder(8), 10, 2, most_jobs=1) == [0, 1]
+    assert store.write(rows, "uid", "text", hashing_encoder(8), 10, 2) == list(range(2, 40))
+    # Two shards, then 2, 4, 8, 16 and the 8 that are left.
+    known = store.manifest().read()
+    assert len(known["folders"]) == 6 and known["whole"] == list(range(40))
+    got = sorted((r.shard, r.position, r.uid) for r in store.store().rows().collect())
+    assert got == [(k // 10, k % 10, k) for k in range(400)]
+    assert [r.uid for r in store.store().row(137).collect()] == [137] and store.store().shard_size() == 10
+    # A shard that is missing between whole ones.
+    store._publish(known | {"whole": [k for k in range(40) if k not in (5, 6, 9)], "folders": []})
+    assert store.write(rows, "uid", "text", hashing_encoder(8), 10, 2) == [5, 6, 9]
+    assert sorted(r.shard for r in store.store().rows().select("shard").distinct().collect()) == [5, 6, 9]
