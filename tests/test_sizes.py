@@ -2,12 +2,15 @@
 
 import time
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from lexilink.functions.encoder import hashing_encoder
 from lexilink.operators import abbreviations as A
 from lexilink.operators import corpus as C
 from lexilink.operators import identifiers as I
+from lexilink.operators import retrieval as R
 from lexilink.sources.shards import EmbeddedShards
 
 
@@ -56,3 +59,16 @@ def test_embedding_many_small_shards_takes_few_jobs_and_folders(spark, tmp_path)
     store._publish(known | {"whole": [k for k in range(40) if k not in (5, 6, 9)], "folders": []})
     assert store.write(rows, "uid", "text", hashing_encoder(8), 10, 2) == [5, 6, 9]
     assert sorted(r.shard for r in store.store().rows().select("shard").distinct().collect()) == [5, 6, 9]
+
+
+def test_scores_held_at_once_are_bounded(monkeypatch):
+    sizes, plain = [], R.score_block
+    monkeypatch.setattr(R, "MOST_SCORES", 500)
+    monkeypatch.setattr(R, "score_block", lambda *a: sizes.append(plain(*a).size) or plain(*a))
+    rng = np.random.default_rng(3)
+    q, x, uids = rng.normal(size=(40, 4)), np.round(rng.normal(size=(333, 4)), 1), rng.permutation(333)
+    top = R.RunningTop(7)
+    R.add_best(top, 100 + np.arange(40), q, uids, x, "ip")
+    scores = plain(q, x, "ip")
+    r, c = R.best_of(scores, uids, 7)
+    assert max(sizes) <= 500 and list(zip(top.rows, top.uids, top.scores, strict=True)) == list(zip(100 + r, uids[c], scores[r, c], strict=True))
