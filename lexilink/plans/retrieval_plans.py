@@ -50,7 +50,7 @@ def knn_sharded_merge(spark, d):
 @register("knn_ivf", f"WITH {V} SELECT count(*) AS queries, true AS recall_reached, true AS scores_exact FROM qv")
 def knn_ivf(spark, d):
     """Inverted cells against exact search: at least 0.9 of the true ten nearest are found, and what is found has its exact score."""
-    found = knn_ivf_search(S.query_vectors(spark, d), S.kb_vectors(spark, d), 10, factor=3.5)
+    found = knn_ivf_search(S.query_vectors(spark, d), S.kb_vectors(spark, d), 10, factor=3.5, recall=0.95)
     true = _ranked(spark, d, 10).select("mention", "uid", F.col("score").alias("exact"))
     both = true.join(found.select("mention", "uid", "score"), ["mention", "uid"], "left").groupBy("mention").agg(F.count("score").alias("hits"), F.count("*").alias("n"), F.max(F.abs(F.col("score") - F.col("exact"))).alias("off"))
     return both.agg(F.count("*").alias("queries"), (F.sum("hits") >= 0.9 * F.sum("n")).alias("recall_reached"), (F.coalesce(F.max("off"), F.lit(0.0)) < 1e-6).alias("scores_exact"))

@@ -11,6 +11,7 @@ from lexilink.operators import abbreviations as A
 from lexilink.operators import corpus as C
 from lexilink.operators import identifiers as I
 from lexilink.operators import retrieval as R
+from lexilink.operators.indexstore import VectorIndex
 from lexilink.sources.shards import EmbeddedShards
 
 
@@ -72,3 +73,13 @@ def test_scores_held_at_once_are_bounded(monkeypatch):
     scores = plain(q, x, "ip")
     r, c = R.best_of(scores, uids, 7)
     assert max(sizes) <= 500 and list(zip(top.rows, top.uids, top.scores, strict=True)) == list(zip(100 + r, uids[c], scores[r, c], strict=True))
+
+
+def test_probes_reach_a_recall_where_vectors_have_no_clusters(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(4000, 16)).astype(np.float32)
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "uid long, embedding array<float>").cache()
+    queries = rows.where("uid % 50 = 0").withColumnRenamed("uid", "mention")
+    index = VectorIndex.build(rows, f"{tmp_path}/i", "ivf", factor=0.5, recall=0.95)
+    found = index.search(queries, 10).select("mention", "uid").join(R.knn(queries, rows, 10), ["mention", "uid"]).count()
+    assert found >= 0.9 * 10 * 80 and index.trained.probes <= index.trained.n_cells
+    assert VectorIndex.open(spark, f"{tmp_path}/i").trained.probes == index.trained.probes
