@@ -83,3 +83,14 @@ def test_probes_reach_a_recall_where_vectors_have_no_clusters(spark, tmp_path):
     found = index.search(queries, 10).select("mention", "uid").join(R.knn(queries, rows, 10), ["mention", "uid"]).count()
     assert found >= 0.9 * 10 * 80 and index.trained.probes <= index.trained.n_cells
     assert VectorIndex.open(spark, f"{tmp_path}/i").trained.probes == index.trained.probes
+
+
+def test_refined_candidates_reach_a_recall_where_codes_are_coarse(spark, tmp_path):
+    x = np.random.default_rng(6).normal(size=(3000, 16)).astype(np.float32)
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "uid long, embedding array<float>").cache()
+    queries = rows.where("uid % 50 = 0").withColumnRenamed("uid", "mention")
+    true = R.knn(queries, rows, 10)
+    for kind in ("pq", "ivfpq"):
+        index = VectorIndex.build(rows, f"{tmp_path}/{kind}", kind, factor=0.5, codes=2, bits=4, recall=0.95)
+        assert index.search(queries, 10).select("mention", "uid").join(true, ["mention", "uid"]).count() >= 0.9 * 10 * 60
+        assert VectorIndex.open(spark, f"{tmp_path}/{kind}").trained.refine == index.trained.refine > 8
