@@ -17,6 +17,14 @@ def range_borders(df: DataFrame, column: str, parts: int, sample: int = 2000) ->
     return sorted({values[k * len(values) // parts] for k in range(1, parts)}) if values else []
 
 
+def range_of(value: Column, borders: list) -> Column:
+    """How many of the ascending borders are at most value, 0 for null: a binary search, so a row's work grows with the logarithm of the borders. As a lambda's variable the value is made once a row."""
+    among = F.array(*map(F.lit, borders))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(borders).bit_length()))])
+    step = lambda v: lambda at, n: F.when(F.coalesce(F.get(among, at + n - 1) <= v, F.lit(False)), at + n).otherwise(at)
+    return F.get(F.transform(F.array(value), lambda v: F.aggregate(steps, F.lit(0), step(v))), F.lit(0))
+
+
 def global_row_number(df: DataFrame, by: list[str], name: str = "row", first: int = 0) -> DataFrame:
     """Rows numbered in the order of `by`, without a window over all rows.
 
@@ -24,8 +32,7 @@ def global_row_number(df: DataFrame, by: list[str], name: str = "row", first: in
     literals of the plan, so a recomputed task numbers as before. Nulls come first.
     """
     borders = range_borders(df, by[0], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    part = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b <= F.col(by[0]))) if borders else F.lit(0)
-    ranged = df.withColumn("__part", F.greatest(part, F.lit(0)))
+    ranged = df.withColumn("__part", range_of(F.col(by[0]), borders) if borders else F.lit(0))
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     local = ranged.withColumn("__local", F.row_number().over(Window.partitionBy("__part").orderBy(*by)))

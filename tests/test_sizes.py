@@ -11,6 +11,7 @@ from lexilink.operators import abbreviations as A
 from lexilink.operators import corpus as C
 from lexilink.operators import identifiers as I
 from lexilink.operators import retrieval as R
+from lexilink.operators import sharding as H
 from lexilink.operators.indexstore import VectorIndex
 from lexilink.sources.shards import EmbeddedShards
 
@@ -94,3 +95,15 @@ def test_refined_candidates_reach_a_recall_where_codes_are_coarse(spark, tmp_pat
         index = VectorIndex.build(rows, f"{tmp_path}/{kind}", kind, factor=0.5, codes=2, bits=4, recall=0.95)
         assert index.search(queries, 10).select("mention", "uid").join(true, ["mention", "uid"]).count() >= 0.9 * 10 * 60
         assert VectorIndex.open(spark, f"{tmp_path}/{kind}").trained.refine == index.trained.refine > 8
+
+
+def test_ranges_of_many_borders(spark):
+    rows = spark.range(-3, 900).select(F.when(F.col("id") != 7, F.col("id") / 3).alias("v"))
+    for borders in ([0.0], [0.0, 1.0], [k / 2 for k in range(501)]):
+        got = {r.v: r.at for r in rows.select("v", H.range_of(F.col("v"), borders).alias("at")).collect()}
+        assert got == {v: 0 if v is None else sum(b <= v for b in borders) for v in got}
+    # Every border was compared with every row's value before, and the value made anew for each.
+    value = F.regexp_replace(F.regexp_replace(F.lower(F.concat(F.lit("Shard "), F.col("id").cast("string"), F.repeat(F.lit(" x"), 20))), "[^a-z0-9]", " "), " +", " ")
+    began = time.perf_counter()
+    spark.range(400_000).select(H.range_of(value, [f"shard {k:04d}" for k in range(1000)]).alias("at")).agg(F.sum("at")).collect()
+    assert time.perf_counter() - began < 30
