@@ -60,5 +60,5 @@ def assign_codes(names: DataFrame, known: DataFrame, key: str, code: str) -> Dat
 
 def inverted(df: DataFrame, key: str, value: str) -> DataFrame:
     """(value, key) of a map without repeated values; a value that several keys have is an error."""
-    unique = F.when(F.count_distinct(key) == 1, F.min(key)).otherwise(F.raise_error(F.concat(F.lit("several keys have "), F.col(value).cast("string"))).cast(df.schema[key].dataType))
+    unique = F.when(F.min(key) == F.max(key), F.min(key)).otherwise(F.raise_error(F.concat(F.lit("several keys have "), F.col(value).cast("string"))).cast(df.schema[key].dataType))
     return df.groupBy(value).agg(unique.alias(key))
