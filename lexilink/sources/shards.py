@@ -101,7 +101,7 @@ class ShardStore:
 
 
 class GrowingStore(ShardStore):
-    """A store that is appended to. Its manifest has the shard size, the number of rows and the batches."""
+    """A store that is appended to. Its manifest has the shard size, the number of rows and the batches. A batch holds many small shards to a file, with shard and position as columns, so a reader of one shard skips the files and row groups of others."""
 
     def manifest(self) -> Manifest:
         return Manifest(self.spark, f"{self.path}/manifest")
@@ -125,7 +125,7 @@ class GrowingStore(ShardStore):
         shard, position = shard_address(F.col("row"), known["shard_size"])
         batch = f"{len(known['batches']):06d}-{uuid.uuid4().hex}"
         placed = numbered.withColumns({"position": position, "shard": shard}).drop("row")
-        placed.repartition("shard").sortWithinPartitions("shard", "position").write.mode("error").partitionBy("shard").option("compression", codec).parquet(f"{self.path}/batch={batch}")
+        placed.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position").write.mode("error").option("compression", codec).parquet(f"{self.path}/batch={batch}")
         n = self.spark.read.schema(placed.schema).parquet(f"{self.path}/batch={batch}").count()
         after = {"shard_size": known["shard_size"], "rows": known["rows"] + n, "batches": known["batches"] + [batch] if n else known["batches"]}
         if not manifest.publish((versions[-1] if versions else 0) + 1, after):

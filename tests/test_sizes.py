@@ -13,7 +13,7 @@ from lexilink.operators import identifiers as I
 from lexilink.operators import retrieval as R
 from lexilink.operators import sharding as H
 from lexilink.operators.indexstore import VectorIndex
-from lexilink.sources.shards import EmbeddedShards
+from lexilink.sources.shards import EmbeddedShards, GrowingStore
 
 
 def test_parentheses_of_long_lines():
@@ -107,3 +107,12 @@ def test_ranges_of_many_borders(spark):
     began = time.perf_counter()
     spark.range(400_000).select(H.range_of(value, [f"shard {k:04d}" for k in range(1000)]).alias("at")).agg(F.sum("at")).collect()
     assert time.perf_counter() - began < 30
+
+
+def test_appending_many_small_shards_takes_few_files(spark, tmp_path):
+    store = GrowingStore(spark, f"{tmp_path}/g")
+    for first, last in ((0, 3000), (3000, 3005), (3005, 6000)):
+        assert store.append(spark.range(first, last).select(F.col("id").alias("uid")), ["uid"], 7) == last
+    assert len(list(tmp_path.glob("g/batch=*/**/*.parquet"))) < 40
+    assert sorted((r.shard, r.position, r.uid) for r in store.rows().collect()) == [(k // 7, k % 7, k) for k in range(6000)]
+    assert [r.uid for r in store.row(3001).collect()] == [3001]
