@@ -56,7 +56,8 @@ def species_filtered(candidates: DataFrame, species: DataFrame, assigned: DataFr
 
 def common_mentions(predictions: DataFrame, models: int) -> DataFrame:
     """Mentions that every one of `models` models has predictions for."""
-    return predictions.groupBy("hexdigest").agg(F.count_distinct("model").alias("n")).where(F.col("n") == models).select("hexdigest")
+    # Dealt by mention first, rows need no second shuffle for the distinct count.
+    return predictions.select("hexdigest", "model").repartition("hexdigest").groupBy("hexdigest").agg(F.count_distinct("model").alias("n")).where(F.col("n") == models).select("hexdigest")
 
 
 def reconcile(predicted: DataFrame, gold: DataFrame) -> DataFrame:

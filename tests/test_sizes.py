@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexilink.functions.encoder import hashing_encoder
 from lexilink.operators import abbreviations as A
 from lexilink.operators import corpus as C
+from lexilink.operators import evaluation as E
 from lexilink.operators import identifiers as I
 from lexilink.operators import retrieval as R
 from lexilink.operators import sharding as H
@@ -116,3 +117,10 @@ def test_appending_many_small_shards_takes_few_files(spark, tmp_path):
     assert len(list(tmp_path.glob("g/batch=*/**/*.parquet"))) < 40
     assert sorted((r.shard, r.position, r.uid) for r in store.rows().collect()) == [(k // 7, k % 7, k) for k in range(6000)]
     assert [r.uid for r in store.row(3001).collect()] == [3001]
+
+
+def test_common_mentions_are_shuffled_once(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 1), ("b", 1), (None, 1), (None, 2), ("c", 2), ("c", None), ("c", 1)], "hexdigest string, model int")
+    found = E.common_mentions(rows, 2)
+    assert {r.hexdigest for r in found.collect()} == {"a", None, "c"}
+    assert found._jdf.queryExecution().executedPlan().initialPlan().toString().count("Exchange hashpartitioning") == 1
