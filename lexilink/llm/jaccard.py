@@ -78,6 +78,22 @@ def _binary(rows: list[bytes]) -> pa.Array:
     return pa.array(rows, pa.binary())
 
 
+def packed(counts) -> pa.Array:
+    """Points as they are written and shuffled: small counts take two bits rather than eight."""
+    return _binary([pa.compress(c, "zstd", asbytes=True) for c in counts])
+
+
+def unpacked(column: pa.Array, buckets: int) -> np.ndarray:
+    """The points of a column, one a row."""
+    raw = b"".join(pa.decompress(c, buckets, "zstd", asbytes=True) for c in column.to_pylist())
+    return np.frombuffer(raw, np.uint8).reshape(-1, buckets)
+
+
+def point_rows(buckets: int) -> int:
+    """How many points are unpacked at once: about 1 MB."""
+    return max(16, (1 << 20) // buckets)
+
+
 def sets_of(column) -> list[np.ndarray]:
     return [np.frombuffer(b.as_py(), np.uint64) for b in column]
 
@@ -110,7 +126,7 @@ def points_of(sets: DataFrame, low: int, high: int, buckets: int, percent: int)
     def run(iterator):
         for batch in slices(iterator, 200):
             counts = counts_by_class(sets_of(batch.column(2)), buckets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binary([c.tobytes() for c in counts])], ["rid", "n", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed(counts)], ["rid", "n", "counts"])
         give_back()
 
     some = sets.where((F.col("n") > low * percent / 100) & (F.col("n") <= high) & (F.col("n") > 0))
@@ -200,7 +216,8 @@ def shared_regions(rows: DataFrame, percent: int, small: int = 8) -> DataFrame:
     """
 
     def run(iterator):
-        held, large = None, None  # the last region so far, or the token of a large one that goes on
+        held, large = None, None  # the last region so far, or the last row of a large one that goes on, and its token
+        before = -1  # the size of the row before that row
 
         def out(token, a, b, n_a, n_b, pairs):
             return pa.RecordBatch.from_arrays(
@@ -218,6 +235,12 @@ def shared_regions(rows: DataFrame, percent: int, small: int = 8) -> DataFrame:
                 i, j = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield out(tokens[i], rids[i], rids[j], n[i], n[j], True)
 
+        def with_neighbour(tokens, n, before, large):
+            """Rows whose sizes may be linked with those of the next smaller or the next larger row of their region, and so all that may be linked with any."""
+            near = (tokens[1:] == tokens[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
+            first = large is not None and tokens[0] == large and 100 * int(before) >= percent * int(n[0])
+            return np.concatenate([[first], near]) | np.concatenate([near, [False]])
+
         for batch in iterator:
             now = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if held is not None:
@@ -229,19 +252,24 @@ def shared_regions(rows: DataFrame, percent: int, small: int = 8) -> DataFrame:
             sizes = np.diff(np.append(starts, len(tokens)))
             if large is not None and tokens[0] == large:
                 sizes[0] = max(sizes[0], small + 1)
-            # The last region is whole only at the end, unless it is known to be large.
-            cut = len(tokens) if sizes[-1] > small else int(starts[-1])
+            met = with_neighbour(tokens, n, before, large)
+            # The last region is whole only at the end; of one that is known to be large, the last row's neighbour is still to come.
+            cut = len(tokens) - 1 if sizes[-1] > small else int(starts[-1])
+            before = (n[cut - 1] if cut and tokens[cut - 1] == tokens[cut] else before if not cut and large == tokens[0] else -1) if sizes[-1] > small else -1
             large = tokens[-1] if sizes[-1] > small else None
-            held = tuple(x[cut:] for x in now) if cut < len(tokens) else None
+            held = tuple(x[cut:] for x in now)
             size = np.repeat(sizes, np.diff(np.append(starts, len(tokens))))[:cut]
             tokens, rids, n = tokens[:cut], rids[:cut], n[:cut]
             yield from pairs_of(tokens, rids, n, size)
-            big = size > small
+            big = (size > small) & met[:cut]
             if big.any():
                 yield out(tokens[big], rids[big], None, n[big], None, False)
         if held is not None:
             tokens, rids, n = held
-            yield from pairs_of(tokens, rids, n, np.full(len(tokens), len(tokens)))
+            if large is None:
+                yield from pairs_of(tokens, rids, n, np.full(len(tokens), len(tokens)))
+            elif with_neighbour(tokens, n, before, large)[0]:
+                yield out(tokens, rids, None, n, None, False)
 
     # By rid too: two sets of one size must be the same (a, b) in all regions, however shuffle blocks arrive.
     return rows.repartition("token").sortWithinPartitions("token", "n", "rid").select("token", "rid", "n").mapInArrow(run, "token long, a long, b long, n_a int, n_b int")
@@ -271,7 +299,7 @@ def paired_edges(pairs: DataFrame, points: DataFrame, buckets: int, percent: int
         for batch in slices(iterator, max(1, (2000 * 256) // buckets)):
             if batch.num_rows:
                 a, b, n_a, n_b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-                c_a, c_b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, buckets) for k in (4, 5))
+                c_a, c_b = (unpacked(batch.column(k), buckets) for k in (4, 5))
                 ok = passes(n_a.astype(np.int64), n_b.astype(np.int64), c_a, c_b, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
         give_back()
@@ -375,7 +403,7 @@ def candidate_edges(rows: DataFrame, points: DataFrame, buckets: int, percent: i
     def heads(token, region):
         found = region.leaders()
         columns = list(zip(*[(token, rid, None, n, reach, radius, c) for rid, n, reach, radius, c in found], strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns[:-1], kinds, strict=False)), packed(columns[-1])], names)
 
     def run(iterator):
         held, key, region = None, None, None
@@ -383,8 +411,8 @@ def candidate_edges(rows: DataFrame, points: DataFrame, buckets: int, percent: i
         def whole():
             return links(*region_edges(held[0], held[2], held[3], held[4], percent))
 
-        for batch in iterator:
-            counts = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, buckets) if batch.num_rows else np.zeros((0, buckets), np.uint8)
+        for batch in slices(iterator, point_rows(buckets)):
+            counts = unpacked(batch.column(4), buckets)
             part = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)), counts)
             shared = part[1] >= 0
             for k in np.split(np.arange(len(shared)), np.flatnonzero(np.diff(part[0]) | np.diff(part[1])) + 1):
@@ -438,7 +466,7 @@ def leader_links(leaders: DataFrame, buckets: int, percent: int) -> DataFrame:
             for token, rid, n, reach, radius, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if token != key:
                     key, kept = token, [np.zeros(0, np.int64) for _ in range(3)] + [np.zeros((0, buckets), np.uint8)]
-                c = np.frombuffer(c, np.uint8)
+                c = np.frombuffer(pa.decompress(c, buckets, "zstd", asbytes=True), np.uint8)
                 near = kept[1] * 100 >= percent * n
                 if not near.all():
                     kept = [x[near] for x in kept]

@@ -172,3 +172,26 @@ def test_one_stays_of_each_class(spark):
     left = sorted(((r.doc_id, (r.text or "-")[:1]) for r in got.collect()), key=repr)
     assert left == sorted([(1, "w"), (None, "q"), (7, "a"), (8, "-"), (9, "-"), (None, "z")], key=repr)
     assert sorted(map(str, keep_one(df.repartition(3)).collect())) == sorted(map(str, got.collect()))
+
+
+def test_large_regions_keep_rows_with_a_neighbour_in_size(spark):
+    """A row of a large region stays just if another one's size allows a link, wherever Arrow cuts the region."""
+    from lexilink.llm.common import arrow_rows
+
+    sizes = {1: [10, 20, 22, 40, 80, 81, 82, 200, 400, 401], 2: [5, 5], 3: [100 * 2**k for k in range(12)], 4: [7 * 2**k for k in range(11)] + [7 * 2**10 + 1]}
+    rows = [(t, 100 * t + k, n) for t, ns in sizes.items() for k, n in enumerate(ns)]
+    table = spark.createDataFrame(rows, "token long, rid long, n int").coalesce(1)
+    kept = {(t, rid) for t, rid, n in rows if len(sizes[t]) > 8 and any(r != rid and u == t and 100 * min(n, m) >= 85 * max(n, m) for u, r, m in rows)}
+    for most in (1, 2, 3, 7, 1000):
+        with arrow_rows(spark, most):
+            found = jaccard.shared_regions(table, 85).collect()
+        assert sorted((r.token, r.a) for r in found if r.b is None) == sorted(kept)
+        assert [(r.token, r.a, r.b) for r in found if r.b is not None] == [(2, 200, 201)]
+
+
+def test_points_are_packed():
+    sets = [np.sort(np.random.default_rng(k).integers(0, 2**63, 3000).astype(np.uint64)) for k in range(4)]
+    counts = jaccard.counts_by_class(sets, 4096)
+    column = jaccard.packed(counts)
+    assert (jaccard.unpacked(column, 4096) == counts).all() and max(len(c.as_py()) for c in column) < 1600
+    assert jaccard.unpacked(column[:0], 4096).shape == (0, 4096)
