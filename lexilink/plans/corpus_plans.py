@@ -190,10 +190,11 @@ def mention_markers(spark, d):
 
 @register("char_to_token_spans", f"WITH {PA}, w AS (SELECT eid, passage_id, ws, unnest(generate_series(1, len(ws))) AS i FROM (SELECT *, string_split(text, ' ') AS ws FROM pa)), t AS (SELECT eid, passage_id, CAST(i - 1 AS INT) AS token, CAST(list_sum(list_concat([0], list_transform(ws[1:i - 1], lambda x: length(x) + 1))) AS BIGINT) AS s, length(ws[i]) AS n FROM w) SELECT a.eid, a.passage_id, a.s AS start, a.token AS first_token, b.token AS last_token FROM t a JOIN t b ON a.eid = b.eid AND a.passage_id = b.passage_id AND b.token = a.token + 1")
 def char_to_token_spans(spark, d):
-    t = C.tokens_with_offsets(S.passages(spark, d), ["eid", "passage_id"], "text")
-    nxt = t.select("eid", "passage_id", (F.col("token") - 1).alias("token"), F.col("end").alias("span_end"))
-    spans = t.join(nxt, ["eid", "passage_id", "token"]).select("eid", "passage_id", "start", F.col("span_end").alias("end"))
-    return C.char_to_token_spans(spans, t, ["eid", "passage_id"]).select("eid", "passage_id", "start", "first_token", "last_token")
+    """Spans over every two neighbouring words, found again among the words of their passage."""
+    t = C.token_offsets(S.passages(spark, d), ["eid", "passage_id"], "text")
+    pairs = F.greatest(F.size("starts") - 1, F.lit(0))
+    spans = F.zip_with(F.slice("starts", F.lit(1), pairs), F.slice("ends", F.lit(2), pairs), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    return C.char_to_token_spans(t.withColumn("spans", spans), ["eid", "passage_id"]).select("eid", "passage_id", "start", "first_token", "last_token")
 
 
 @register("prefix_trie_next", "WITH s AS (SELECT DISTINCT string_split(p_type, ' ') AS t FROM part) SELECT DISTINCT array_to_string(t[1:i], ' ') AS prefix, t[i + 1] AS next FROM (SELECT t, unnest(generate_series(0, len(t) - 1)) AS i FROM s)")

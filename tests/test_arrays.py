@@ -102,3 +102,18 @@ def test_mentions_keep_all_their_identifiers(spark):
     assert [tuple(r) for r in C.collected_mentions(rows, known).collect()] == [("h1", "x", ["30", "10"])]
     with pytest.raises(PySparkException):
         C.collected_mentions(rows.withColumn("is_foreign", F.lit(False)), known).collect()
+
+
+def test_spans_meet_their_tokens_without_a_shuffle(spark):
+    from lexilink.operators import corpus as C
+
+    texts = spark.createDataFrame([(1, "ab  c"), (2, None), (3, ""), (4, "\u00e9x yz "), (1, "q")], "k long, text string")
+    t = C.token_offsets(texts, ["k"], "text")
+    assert sorted((r.k, r.words, r.starts, r.ends) for r in t.collect()) == [
+        (1, ["ab", "", "c"], [0, 3, 4], [2, 3, 5]), (1, ["q"], [0], [1]), (3, [""], [0], [0]), (4, ["\u00e9x", "yz", ""], [0, 3, 6], [2, 5, 6])]
+    tokens = C.tokens_with_offsets(texts.where("k = 4"), ["k"], "text").collect()
+    assert [tuple(r) for r in tokens] == [(4, 0, "\u00e9x", 0, 2), (4, 1, "yz", 3, 5), (4, 2, "", 6, 6)]
+    rows = [(1, [0, 3], [2, 5], [(0, 5), (3, 2), (-1, 9), (2, 4)]), (2, [0], [4], []), (3, [0, 2, 7], [1, 6, 9], [(7, 9), (0, 6)]), (4, [], [], [(0, 0)]), (5, [0], [3], None)]
+    found = C.char_to_token_spans(spark.createDataFrame(rows, "k long, starts array<long>, ends array<long>, spans array<struct<start:long,end:long>>").coalesce(1), ["k"])
+    assert [tuple(r) for r in found.collect()] == [(1, 0, 5, 0, 1), (1, 3, 2, 1, 0), (1, -1, 9, None, None), (1, 2, 4, None, None), (3, 7, 9, 2, 2), (3, 0, 6, 0, 1), (4, 0, 0, None, None)]
+    assert "Exchange" not in C.char_to_token_spans(t.selectExpr("*", "array(struct(0L AS start, 1L AS end)) AS spans"), ["k"])._jdf.queryExecution().toString()
