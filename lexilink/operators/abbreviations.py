@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,13 +83,24 @@ def parse_extractor_output(lines: DataFrame, block: int = 1_000_000) -> DataFram
     return rows.select("doc", F.trim(F.get("parts", F.lit(0))).alias("short"), F.trim(F.get("parts", F.lit(1))).alias("long"), F.get("parts", F.lit(2)).cast("double").alias("score"))
 
 
+def _in_word(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and (text[at].isalnum() or text[at] == "_")
+
+
 def relocate(text: str, mentions: list[str]) -> list[tuple[int, int] | None]:
     """Whole-word places of mentions, left to right, each looked for from the end of the one before."""
-    out, at = [], 0
+    out, at, lost = [], 0, set()
     for m in mentions:
-        found = re.compile(rf"(?<!\w){re.escape(m)}(?!\w)").search(text, at) if m else None
-        out.append(found.span() if found else None)
-        at = found.end() if found else at
+        # What isn't found from one place on isn't found from a later one.
+        start = text.find(m, at) if m and m not in lost else -1
+        while start >= 0 and (_in_word(text, start - 1) or _in_word(text, start + len(m))):
+            start = text.find(m, start + 1)
+        if start < 0:
+            lost.add(m)
+            out.append(None)
+        else:
+            at = start + len(m)
+            out.append((start, at))
     return out
 
 
@@ -96,17 +108,26 @@ def remap_mentions(passages: DataFrame) -> DataFrame:
     """(doc, passage_id, mention, start, end, place) of the mentions that are found, in offsets of the document, with their places in the passage by start.
 
     passages has (doc, passage_id, offset, text, mentions); mentions are in the order of the text."""
+    names = ["doc", "passage_id", "mention", "start", "end", "place"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
 
     def run(iterator):
-        for pdf in iterator:
-            rows = []
-            for doc, pid, offset, text, mentions in pdf[["doc", "passage_id", "offset", "text", "mentions"]].itertuples(index=False):
-                mentions = [] if mentions is None else list(mentions)
-                found = sorted((span, m) for m, span in zip(mentions, relocate(text or "", mentions), strict=True) if span)
-                rows += [(doc, pid, m, offset + start, offset + end, k) for k, ((start, end), m) in enumerate(found, 1)]
-            yield pd.DataFrame(rows, columns=["doc", "passage_id", "mention", "start", "end", "place"])
-
-    return passages.select("doc", "passage_id", "offset", "text", "mentions").mapInPandas(run, "doc long, passage_id long, mention string, start long, end long, place int")
+        # Few passages at a time: a row for each of their mentions is held.
+        for batch in (whole.slice(at, 200) for whole in iterator for at in range(0, whole.num_rows, 200)):
+            columns = [[] for _ in names]
+            for doc, pid, offset, text, mentions in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mentions = mentions or []
+                # Places ascend, as each mention is looked for from the end of the one before.
+                found = [(m, *span) for m, span in zip(mentions, relocate(text or "", mentions), strict=True) if span]
+                if found:
+                    words, starts, ends = zip(*found, strict=True)
+                    added = [doc] * len(found), [pid] * len(found), words, [offset + x for x in starts], [offset + x for x in ends], range(1, len(found) + 1)
+                    for column, more in zip(columns, added, strict=True):
+                        column.extend(more)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    rows = passages.select(F.col("doc").cast("long"), F.col("passage_id").cast("long"), F.col("offset").cast("long"), "text", "mentions")
+    return rows.mapInArrow(run, "doc long, passage_id long, mention string, start long, end long, place int")
 
 
 def expand(rows: DataFrame, text: str, mentions: str, pairs: str) -> DataFrame:

@@ -166,6 +166,26 @@ def test_relocation_keeps_order():
     assert A.relocate("cat cats cat", ["cat", "cat", "cat", ""]) == [(0, 3), (9, 12), None, None]
 
 
+def test_relocation_makes_no_pattern_for_each_mention(monkeypatch):
+    import random
+    import re
+
+    def by_pattern(text, mentions):
+        out, at = [], 0
+        for m in mentions:
+            found = re.compile(rf"(?<!\w){re.escape(m)}(?!\w)").search(text, at) if m else None
+            out.append(found.span() if found else None)
+            at = found.end() if found else at
+        return out
+
+    draw = random.Random(3)
+    some = lambda n: "".join(draw.choice("ab_ -\u00e9\u0301\u00b2(") for _ in range(n))
+    cases = [(some(40), [some(draw.randint(0, 3)) for _ in range(8)]) for _ in range(500)]
+    expected = [by_pattern(*c) for c in cases]
+    monkeypatch.setattr(A.re, "compile", lambda *_: pytest.fail("a pattern was compiled"))
+    assert [A.relocate(*c) for c in cases] == expected
+
+
 def test_pubtator_round_trip(spark, tmp_path):
     text = "7|t|A title.\n7|a|Some | text.\n7\t0\t1\tA\tGene\tTax:1|MESH:D2,-\n7\tAssoc\t1\t2\tNovel\n\n8|t|B.\n8|a|\n8\t0\t1\tB\tSpecies\t*9606\n8\t0\t1\tB\tSpecies\t\n"
     (tmp_path / "x.PubTator").write_text(text)
