@@ -1,5 +1,7 @@
 """Stores, indexes, writers, settings and the errors that operators raise."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +186,16 @@ def test_uneven_arrays_and_unpaired_marks_are_errors(spark):
     assert marked.where("size(t) = 3").select(C.extract_mentions(F.col("t"), 1, 2).alias("m")).first().m == [[7]]
     with pytest.raises(Exception, match="don't pair"):
         marked.select(C.extract_mentions(F.col("t"), 1, 2).alias("m")).collect()
+
+
+def test_bioc_json_collections_are_files_or_lines(spark, tmp_path):
+    passages = spark.createDataFrame([(e, k, f"p{k}\nof {e}") for e in range(20) for k in range(2)], "eid long, passage_id int, text string")
+    marks = spark.createDataFrame([(3, 1, 0, 2, "p1", "t", "x")], "eid long, passage_id int, start long, end long, text string, type string, identifier string")
+    documents = writers.bioc_json_collections(passages, marks)
+    found = []
+    for lines in (False, True):
+        path = f"{tmp_path}/{lines}"
+        writers.write_contents(documents.coalesce(1), path, per_file=0 if lines else 1)
+        assert len(list(Path(path).glob("part-*"))) == (1 if lines else 20)
+        found.append([sorted(map(tuple, t.collect())) for t in writers.read_bioc_json(spark, path, lines=lines)])
+    assert found[0] == found[1] and len(found[0][0]) == 40 and found[0][1] == [("3", 1, 0, 2, "p1", "t", "x")]
