@@ -120,17 +120,39 @@ def set_table(docs: DataFrame, n: int, id_col: str, text_col: str, scratch: Scra
     return scratch.written(plain.mapInArrow(run, "rid long, id long, mark long, n long, digest binary, tokens binary"), "shingle-sets")
 
 
-def points_of(sets: DataFrame, low: int, high: int, buckets: int, percent: int) -> DataFrame:
-    """(rid, n, counts) of the sets that can be linked with one of over `low` and at most `high` shingles."""
+#: Bits of a map of rids, a power of two: 8 MB, however many rids there are.
+MAP_BITS = 1 << 26
+
+
+def _bit_place(bits: int):
+    return F.pmod(F.xxhash64("rid"), F.lit(bits))
+
+
+def rid_map(rids: DataFrame, bits: int = MAP_BITS) -> np.ndarray:
+    """A bit for the place of each rid, as bytes: what isn't in it is none of the rids, and few others are in it by chance."""
+    place = _bit_place(bits)
+    found = rids.groupBy(F.shiftright(place, 5).cast("int").alias("word")).agg(F.bit_or(F.pow(F.lit(2.0), F.pmod(place, F.lit(32))).cast("long")).alias("set")).toArrow()
+    words = np.zeros(max(1, bits // 32), "<u4")
+    words[found.column("word").to_numpy()] = found.column("set").to_numpy().astype("<u4")
+    return words.view(np.uint8)
+
+
+def points_of(sets: DataFrame, low: int, high: int, buckets: int, percent: int, paired: np.ndarray, met: np.ndarray) -> DataFrame:
+    """(rid, n, counts, paired, met) of the sets that can be linked with one of over `low` and at most `high` shingles and are in one of two maps of rids, and which: of pairs, and of rows of large regions."""
+    shared = sets.sparkSession.sparkContext.broadcast((paired, met))
 
     def run(iterator):
         for batch in slices(iterator, 200):
+            at = batch.column(3).to_numpy(zero_copy_only=False)
+            # Most documents are in no pair and in no large region: their points would be shuffled for nothing.
+            of = [(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) for bits in shared.value]
+            batch, of = batch.filter(pa.array(of[0] | of[1])), [x[of[0] | of[1]] for x in of]
             counts = counts_by_class(sets_of(batch.column(2)), buckets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed(counts)], ["rid", "n", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed(counts), *map(pa.array, of)], ["rid", "n", "counts", "paired", "met"])
         give_back()
 
     some = sets.where((F.col("n") > low * percent / 100) & (F.col("n") <= high) & (F.col("n") > 0))
-    return some.select("rid", "n", "tokens").mapInArrow(run, "rid long, n long, counts binary")
+    return some.select("rid", "n", "tokens", _bit_place(8 * len(met))).mapInArrow(run, "rid long, n long, counts binary, paired boolean, met boolean")
 
 
 def frequent_tokens(sets: DataFrame, one_in: int = 1000, most: int = 1_000_000, chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
@@ -702,13 +724,14 @@ def _found_classes(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     rows = regions.where("b IS NULL").select("token", F.col("a").alias("rid"))
     standing = scratch.written(rows.join(copies.where("rid != rep"), "rid", "left").select("token", F.coalesce("rep", "rid").alias("rid")).distinct(), "region-rows")
     scratch.drop(regions)
+    wanted = rid_map(pairs.select(F.explode(F.array("a", "b")).alias("rid"))), rid_map(standing.select("rid"))
     largest = sets.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     found, low = [], 0
     for high, buckets in SIZES:
         if low < max(largest, 1):
-            points = scratch.written(points_of(sets, low, high, buckets, percent), "points")
+            points = scratch.written(points_of(sets, low, high, buckets, percent, *wanted), "points")
             own = pairs.where((F.greatest("n_a", "n_b") > low) & (F.greatest("n_a", "n_b") <= high))
-            tested = paired_edges(own, points, buckets, percent).unionByName(candidate_edges(standing, points, buckets, percent, scratch))
+            tested = paired_edges(own, points.where("paired"), buckets, percent).unionByName(candidate_edges(standing, points.where("met"), buckets, percent, scratch))
             found.append(scratch.written(tested, "candidate-edges"))
             scratch.drop(points)
         low = high

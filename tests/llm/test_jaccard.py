@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexilink.llm import jaccard
 from lexilink.llm.jaccard import jaccard_classes, keep_one
@@ -195,3 +196,21 @@ def test_points_are_packed():
     column = jaccard.packed(counts)
     assert (jaccard.unpacked(column, 4096) == counts).all() and max(len(c.as_py()) for c in column) < 1600
     assert jaccard.unpacked(column[:0], 4096).shape == (0, 4096)
+
+
+def test_points_are_made_only_of_sets_that_are_compared(spark, monkeypatch):
+    words = [" ".join(f"w{k}_{i}" for i in range(60)) for k in range(300)]
+    rows = [*enumerate(words), *((300 + k, f"{words[k]} more") for k in range(10))]
+    counts, edges = [], jaccard.paired_edges
+    monkeypatch.setattr(jaccard, "paired_edges", lambda own, points, *a: counts.append(points.count()) or edges(own, points, *a))
+    got = {r.doc_id: r.component_id for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - 300 if k >= 300 else k for k in range(310)}
+    assert len(counts) == 1 and 20 <= counts[0] < 30
+
+
+def test_map_of_rids_holds_all_of_them(spark):
+    rids = spark.range(0, 5000, 7).select((F.col("id") + (F.col("id") % 3) * (1 << 33)).alias("rid"))
+    bits = jaccard.rid_map(rids.union(rids), 1 << 16)
+    at = np.array([r.p for r in rids.select(jaccard._bit_place(1 << 16).alias("p")).distinct().collect()])
+    assert len(bits) == 1 << 13 and sorted(np.flatnonzero(np.unpackbits(bits, bitorder="little"))) == sorted(at)
+    assert not jaccard.rid_map(rids.limit(0), 1 << 16).any()
