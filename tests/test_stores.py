@@ -199,3 +199,19 @@ def test_bioc_json_collections_are_files_or_lines(spark, tmp_path):
         assert len(list(Path(path).glob("part-*"))) == (1 if lines else 20)
         found.append([sorted(map(tuple, t.collect())) for t in writers.read_bioc_json(spark, path, lines=lines)])
     assert found[0] == found[1] and len(found[0][0]) == 40 and found[0][1] == [("3", 1, 0, 2, "p1", "t", "x")]
+
+
+def test_document_files_are_as_many_as_tasks(spark, tmp_path, monkeypatch):
+    from lexilink.plans import store_plans
+
+    monkeypatch.setattr(store_plans, "_path", lambda spark, what: f"{tmp_path}/{what}")
+    n = store_plans.document_files(spark, "/root/testdata/sf0.01").count()
+    assert n > 50 and len([p for p in (tmp_path / "documents").rglob("*") if p.is_file() and p.suffix != ".crc"]) < 20
+
+
+@pytest.mark.parametrize("each", [False, True])
+def test_named_documents_come_back(spark, tmp_path, each):
+    rows = [(1, 'a "title"\n\nrest \\   é\r and'), (22, "\n\n"), (3, "x\ty\x85\n\nb")] + ([] if each else [(4, "form\ffeed\n\n")])
+    writers.write_named(spark.createDataFrame(rows, "eid long, content string"), f"{tmp_path}/d", each)
+    assert sorted((int(r.eid), r.content) for r in writers.read_named(spark, f"{tmp_path}/d", each).collect()) == sorted(rows)
+    assert (tmp_path / "d" / "eid=22").is_dir() == each
