@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOREIGN, NIL = -1, "NIL"
+#: Lists of ids that a task hands out, in bytes.
+LIST_BYTES = 32_000_000
 
 
 def map_mandatory(rows: DataFrame, key: str, ids: str, mapping: DataFrame) -> DataFrame:
@@ -30,10 +32,17 @@ def or_nil(rows: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
 def reverse(rows: DataFrame, key: str, mapping: DataFrame, shown: Callable[[Column], Column] = lambda ids: ids) -> DataFrame:
     """(key, ids): all string ids of a key's ints, in the form that `shown` gives a list.
 
-    Lists are made and shown once for each set of ints that occurs, and then handed to the keys that have it."""
+    Lists are made and shown once for each set of ints that occurs, and then copied for as many keys as fill LIST_BYTES, which is about what a task hands out: writers of files hold pages of a hundred rows. Both joins are merges with the short rows on the left: those are taken one at a time, while a broadcast of them would hold all the rows of a list at once."""
     sets = rows.join(mapping.select("int_id").distinct(), "int_id", "left_semi").groupBy(key).agg(F.array_sort(F.collect_set("int_id")).alias("ints"))
-    lists = sets.select("ints").distinct().withColumn("int_id", F.explode("ints")).join(mapping, "int_id").groupBy("ints").agg(shown(F.array_sort(F.collect_set("id"))).alias("ids"))
-    return sets.join(lists, "ints").select(key, "ids")
+    each = sets.groupBy("ints").agg(F.count("*").alias("keys")).withColumn("int_id", F.explode("ints"))
+    lengths = mapping.select("int_id", "id").distinct().groupBy("int_id").agg(F.sum(F.coalesce(F.octet_length("id"), F.lit(0)) + 1).alias("bytes"))
+    sizes = each.join(lengths, "int_id").groupBy("ints", "keys").agg((F.col("keys") * F.sum("bytes")).alias("bytes"))
+    tasks = sizes.agg(F.ceil(F.sum("bytes") / LIST_BYTES)).first()[0] or 1
+    parts = sizes.select("ints", F.greatest(F.lit(1), F.least("keys", F.ceil(F.col("bytes") / LIST_BYTES))).alias("parts"))
+    lists = each.join(mapping, "int_id").groupBy("ints").agg(shown(F.array_sort(F.collect_set("id"))).alias("ids"))
+    copies = parts.select("ints", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(lists.hint("merge"), "ints")
+    dealt = sets.join(parts, "ints").select(key, "ints", F.pmod(F.xxhash64(key), "parts").alias("part"))
+    return dealt.repartition(tasks, "ints", "part").join(copies.repartition(tasks, "ints", "part").hint("merge"), ["ints", "part"]).select(key, "ids")
 
 
 def normalise(annotations: DataFrame, history: DataFrame) -> DataFrame:

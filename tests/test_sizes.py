@@ -1,6 +1,10 @@
 """Work that must grow with the input and no faster: long lines, long arrays, many small shards, many queries."""
 
+import os
+import subprocess
+import sys
 import time
+from pathlib import Path
 
 import numpy as np
 
@@ -47,6 +51,40 @@ def test_reverse_makes_lists_once_for_each_set_of_ints(spark):
     assert (r.n, r.ids) == (20_000, 400_000_000) and time.perf_counter() - began < 60
 
 
+_LONG_LISTS = """
+from pyspark.sql import Observation, functions as F
+from lexilink.operators import identifiers as I
+from lexilink.session import build_session
+
+spark = build_session("local[2]", 4, spark__driver__memory="600m")
+rows = spark.range(2000).select(F.col("id").alias("key"), (F.col("id") % 2).cast("int").alias("int_id"))
+mapping = spark.range(100_000).select((F.col("id") % 2).cast("int").alias("int_id"), F.format_string("identifier-%08d", "id").alias("id"))
+seen = Observation()
+found = I.reverse(rows, "key", mapping, lambda ids: F.array_join(ids, ","))
+found.observe(seen, F.count("*").alias("n"), F.sum(F.length("ids")).alias("chars")).write.format("noop").mode("overwrite").save()
+print(seen.get)
+"""
+
+
+def test_reverse_does_not_hold_all_rows_of_a_long_list(tmp_path):
+    """2000 rows of 1 MB, of two lists, in a JVM of 600 MB."""
+    repo = str(Path(I.__file__).parents[2])
+    done = subprocess.run([sys.executable, "-c", _LONG_LISTS], cwd=tmp_path, env=os.environ | {"PYTHONPATH": repo}, capture_output=True, text=True, timeout=300)
+    assert str({"n": 2000, "chars": 2000 * (50_000 * 20 - 1)}) in done.stdout, done.stderr[-2000:]
+
+
+def test_reverse_deals_out_rows_by_the_bytes_of_their_lists(spark, monkeypatch):
+    monkeypatch.setattr(I, "LIST_BYTES", 10_000)
+    rows = spark.range(3000).select(F.col("id").alias("key"), F.when(F.col("id") < 2900, 1).otherwise(F.col("id") % 3).cast("int").alias("int_id"))
+    mapping = spark.range(300).select((F.col("id") % 3).cast("int").alias("int_id"), F.format_string("%09d", "id").alias("id")).unionByName(spark.range(5).select(F.lit(1).alias("int_id"), F.format_string("%09d", F.lit(1)).alias("id")))
+    found = I.reverse(rows, "key", mapping)
+    sizes = [len(x) for x in found.rdd.glom().collect()]
+    # 3000 lists of 1000 bytes: ten go to a task, but for what hashes put together.
+    assert len(sizes) == 300 and max(sizes) < 100
+    want = {i: [f"{x:09d}" for x in range(i, 300, 3)] for i in range(3)}
+    assert {r.key: r.ids for r in found.collect()} == {k: want[1 if k < 2900 else k % 3] for k in range(3000)}
+
+
 def test_embedding_many_small_shards_takes_few_jobs_and_folders(spark, tmp_path):
     rows = spark.range(0, 400).select(F.col("id").alias("uid"), F.concat(F.lit("word "), F.col("id")).alias("text"))
     store = EmbeddedShards(spark, f"{tmp_path}/e")
